@@ -6,6 +6,8 @@ the event type gives the score, and the number in `props` gives the indicators.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,75 +20,77 @@ from ..operators.transitions import state_name
 ATHLETE = ("sheet_name", "athlete_name")
 STATE_NAMES = {0: "S1", 1: "S2", 2: "S3"}
 KFV_INDICATORS = (1, 7, 13, 19, 25)
-RAW_NAMES = [
-    "metadata__sheet", "metadata__athlete_name", "metadata__weight_class", "metadata__opponent_name",
-    "metadata__event_date", "metadata__bout_id", "metadata__episode_id", "metadata__episode_duration",
-    "metadata__pause_duration", "outcomes__score", "outcomes__finish_action_01", "outcomes__finish_action_04",
-    "outcomes__finish_action_05", "custom_finish_signal",
-    *[f"maneuvering__indicator_{i:02d}" for i in range(1, 5)],
-    *[f"kfv__indicator_{i:02d}" for i in KFV_INDICATORS],
-    *[f"vup__indicator_{i:02d}" for i in (1, 2)],
-]
+
+
+def view(build):
+    """Keep the lazy plan of a binding per session and folder, as a view would.
+
+    Only the plan is kept, no data: every query still scans its tables.
+    """
+    plans: dict = {}
+
+    @functools.wraps(build)
+    def get(spark: SparkSession, sf: str) -> DataFrame:
+        key = (id(spark), spark.sparkContext.applicationId, sf)
+        if key not in plans:
+            plans[key] = build(spark, sf)
+        return plans[key]
+
+    return get
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_POINTS = "CASE event_type WHEN 'view' THEN '0' WHEN 'signup' THEN '1' WHEN 'click' THEN '2' WHEN 'error' THEN '3' ELSE '4' END"
+_RAW = {
+    "metadata__sheet": "concat('s', user_id % 4)",
+    "metadata__athlete_name": "CASE WHEN k = 99 THEN concat('Итого u', user_id) WHEN k = 98 THEN '' ELSE concat('u', user_id) END",
+    "metadata__weight_class": "CASE WHEN user_id % 3 = 0 THEN '' ELSE string(60 + 10 * (user_id % 5)) END",
+    "metadata__opponent_name": "CASE WHEN user_id % 2 = 0 THEN '' ELSE concat('o', user_id % 7) END",
+    "metadata__event_date": "CASE WHEN user_id % 2 = 0 THEN '' ELSE date_format(ts, 'yyyy-MM-dd') END",
+    "metadata__bout_id": "CASE WHEN user_id % 11 = 0 THEN concat('b', event_id div 50) ELSE '' END",
+    "metadata__episode_id": "CASE WHEN k % 10 = 3 THEN 'ep_x' WHEN k % 10 = 4 THEN concat('A', mi) ELSE string(mi) END",
+    "metadata__episode_duration": "value",
+    "metadata__pause_duration": "CASE WHEN event_type = 'view' THEN value / 4 ELSE 0.0D END",
+    "outcomes__score": "CASE WHEN k = 13 THEN '' WHEN k = 14 THEN 'n/a' WHEN k = 15 THEN concat(points, ',4') "
+                       "WHEN k = 16 THEN concat(points, '.5') ELSE points END",
+    "outcomes__finish_action_01": "CASE WHEN event_type = 'signup' AND k < 10 THEN 'да' ELSE 'нет' END",
+    "outcomes__finish_action_04": "CASE WHEN value > 50 THEN '1' ELSE '0' END",
+    "outcomes__finish_action_05": "CASE WHEN value > 80 THEN 'yes' ELSE '' END",
+    "custom_finish_signal": "CASE WHEN k = 77 THEN '1' WHEN k = 78 THEN 'half' ELSE '' END",
+    **{f"maneuvering__indicator_{i + 1:02d}": f"shiftright(act, {i}) & 1" for i in range(4)},
+    **{f"kfv__indicator_{n:02d}": f"shiftright(act, {i + 2}) & 1" for i, n in enumerate(KFV_INDICATORS)},
+    **{f"vup__indicator_{i + 1:02d}": f"shiftright(act, {i + 5}) & 1" for i in range(2)},
+}
+RAW_NAMES = list(_RAW)
+
+
+@view
 def raw_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Tidy-named episode rows, one per event, as a projection of the scan."""
-    user, kind = F.col("user_id"), F.col("event_type")
-    base = table(spark, sf, "events").select(
-        "event_id", "ts", "user_id", "event_type", "value",
-        F.regexp_extract("props", "(\\d+)", 1).cast("int").alias("k"),
-    )
-    k = F.col("k")
-    minute = (F.hour("ts") * 60 + F.minute("ts")).cast("string")
-    points = (
-        F.when(kind == "view", "0").when(kind == "signup", "1").when(kind == "click", "2")
-        .when(kind == "error", "3").otherwise("4")
+    return (
+        table(spark, sf, "events")
+        .selectExpr("*", "int(regexp_extract(props, '([0-9]+)', 1)) AS k", "hour(ts) * 60 + minute(ts) AS mi")
+        .selectExpr("*", "CASE WHEN event_type = 'view' AND user_id % 2 = 0 THEN 0 ELSE k END AS act", f"{_POINTS} AS points")
+        .selectExpr("event_id AS source_row_index", *[f"{text} AS {name}" for name, text in _RAW.items()])
     )
-    act = F.when((kind == "view") & (user % 2 == 0), F.lit(0)).otherwise(k)
-
-    def bit(i: int) -> Column:
-        return F.shiftright(act, i).bitwiseAND(F.lit(1))
-
-    columns = {
-        "metadata__sheet": F.concat(F.lit("s"), (user % 4).cast("string")),
-        "metadata__athlete_name": F.when(k == 99, F.concat(F.lit("Итого u"), user.cast("string")))
-        .when(k == 98, "").otherwise(F.concat(F.lit("u"), user.cast("string"))),
-        "metadata__weight_class": F.when(user % 3 == 0, "").otherwise((60 + 10 * (user % 5)).cast("string")),
-        "metadata__opponent_name": F.when(user % 2 == 0, "").otherwise(F.concat(F.lit("o"), (user % 7).cast("string"))),
-        "metadata__event_date": F.when(user % 2 == 0, "").otherwise(F.date_format("ts", "yyyy-MM-dd")),
-        "metadata__bout_id": F.when(
-            user % 11 == 0, F.concat(F.lit("b"), F.floor(F.col("event_id") / 50).cast("string"))
-        ).otherwise(""),
-        "metadata__episode_id": F.when(k % 10 == 3, "ep_x").when(k % 10 == 4, F.concat(F.lit("A"), minute)).otherwise(minute),
-        "metadata__episode_duration": F.col("value"),
-        "metadata__pause_duration": F.when(kind == "view", F.col("value") / 4).otherwise(0.0),
-        "outcomes__score": F.when(k == 13, "").when(k == 14, "n/a").when(k == 15, F.concat(points, F.lit(",4")))
-        .when(k == 16, F.concat(points, F.lit(".5"))).otherwise(points),
-        "outcomes__finish_action_01": F.when((kind == "signup") & (k < 10), "да").otherwise("нет"),
-        "outcomes__finish_action_04": F.when(F.col("value") > 50, "1").otherwise("0"),
-        "outcomes__finish_action_05": F.when(F.col("value") > 80, "yes").otherwise(""),
-        "custom_finish_signal": F.when(k == 77, "1").when(k == 78, "half").otherwise(""),
-        **{f"maneuvering__indicator_{i + 1:02d}": bit(i) for i in range(4)},
-        **{f"kfv__indicator_{n:02d}": bit(i + 2) for i, n in enumerate(KFV_INDICATORS)},
-        **{f"vup__indicator_{i + 1:02d}": bit(i + 5) for i in range(2)},
-    }
-    return base.select(F.col("event_id").alias("source_row_index"), *[c.alias(n) for n, c in columns.items()])
 
 
+@view
 def observed_rows(spark: SparkSession, sf: str) -> DataFrame:
     return observe(raw_rows(spark, sf), names=RAW_NAMES)
 
 
+@view
 def field_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Canonical fields with observation and codes, before sequences are cut. No shuffle."""
     rows = engineer(observed_rows(spark, sf), FeaturePlan.from_names(RAW_NAMES))
     return episode_fields(rows, FieldPlan.from_names(RAW_NAMES))
 
 
+@view
 def episodes(spark: SparkSession, sf: str) -> DataFrame:
     rows = engineer(observed_rows(spark, sf), FeaturePlan.from_names(RAW_NAMES))
     return build_episodes(rows, FieldPlan.from_names(RAW_NAMES))
@@ -111,10 +115,12 @@ def with_states(df: DataFrame) -> DataFrame:
     )
 
 
+@view
 def analysis(spark: SparkSession, sf: str) -> DataFrame:
     return with_states(episodes(spark, sf))
 
 
+@view
 def row_analysis(spark: SparkSession, sf: str) -> DataFrame:
     """Analysis rows for reports that need no sequence ids; stays free of shuffles."""
     return with_states(field_rows(spark, sf))

@@ -22,8 +22,7 @@ def safe_text(c: Column | None) -> Column:
     """Trimmed text; null and the spelled-out nulls become ''."""
     if c is None:
         return F.lit("")
-    text = strip(c)
-    return F.when(text.isNull() | text.isin(lx.BLANK_EXACT), F.lit("")).otherwise(text)
+    return F.coalesce(F.regexp_replace(strip(c), lx.BLANK_PATTERN, ""), F.lit(""))
 
 
 def is_filled(c: Column) -> Column:
@@ -37,9 +36,7 @@ def is_text_present(c: Column) -> Column:
 
 def number(c: Column) -> Column:
     """Text to double or null. `1d`, `2f` and `nan` are not numbers here."""
-    text = strip(c)
-    plain = text.rlike(lx.NUMBER_TEXT) | F.lower(text).rlike(lx.INFINITY_TEXT)
-    return F.when(plain, text.try_cast("double"))
+    return F.when(c.rlike(lx.NUMBER_PATTERN), c.try_cast("double"))
 
 
 def number_of(df: DataFrame, name: str | None) -> Column:
@@ -61,32 +58,35 @@ def number_or_zero(df: DataFrame, name: str | None) -> Column:
 
 def score(c: Column) -> Column:
     """Score text with a comma or point as decimal mark; null when missing."""
-    text = strip(c)
-    return F.when(~F.lower(text).isin(lx.BLANK_LOWER), number(F.replace(text, F.lit(","), F.lit("."))))
+    return number(F.translate(c.cast("string"), ",", "."))
 
 
 def cell_number(c: Column) -> Column:
     return F.coalesce(score(c), F.lit(0.0))
 
 
+def _yes_or_above_zero(c: Column, yes: list[str]) -> Column:
+    # the no-words are neither yes-words nor numbers above zero
+    return F.coalesce(F.lower(strip(c)).isin(yes), F.lit(False)) | F.coalesce(number(c) > 0, F.lit(False))
+
+
 def is_positive(c: Column) -> Column:
     """Finish signal: yes / no words in two languages, else a number above zero."""
-    text = F.lower(strip(c))
-    return (
-        F.when(text.isNull() | text.isin(lx.BLANK_LOWER), F.lit(False))
-        .when(text.isin(lx.FINISH_YES), F.lit(True))
-        .when(text.isin(lx.FINISH_NO), F.lit(False))
-        .otherwise(F.coalesce(number(c) > 0, F.lit(False)))
-    )
+    return _yes_or_above_zero(c.cast("string"), lx.FINISH_YES)
 
 
 def indicator_flag(c: Column) -> Column:
-    text = F.lower(strip(c))
-    return (
-        F.when(text.isin(lx.INDICATOR_YES), F.lit(1))
-        .when(text.isin(lx.INDICATOR_NO), F.lit(0))
-        .otherwise(F.coalesce((number(c) > 0).cast("int"), F.lit(0)))
-    )
+    return _yes_or_above_zero(c.cast("string"), lx.INDICATOR_YES).cast("int")
+
+
+def indicator_flag_of(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType
+    c = F.col(f"`{name}`")
+    if isinstance(kind, T.BooleanType):
+        return F.coalesce(c.cast("int"), F.lit(0))
+    if isinstance(kind, T.NumericType):
+        return F.coalesce((number_of(df, name) > 0).cast("int"), F.lit(0))
+    return indicator_flag(c)
 
 
 def cell_blank(c: Column) -> Column:
@@ -102,29 +102,21 @@ def label_text(c: Column) -> Column:
 
 
 def cell_flag(c: Column) -> Column:
-    text = label_text(c)
-    return (
-        F.when(cell_blank(c), F.lit(0))
-        .when(text.isin(lx.CELL_YES), F.lit(1))
-        .when(text.isin(lx.CELL_NO), F.lit(0))
-        .otherwise(F.coalesce((number(c) > 0).cast("int"), F.lit(0)))
-    )
+    yes = label_text(c).isin(lx.CELL_YES)
+    return (yes | F.coalesce(number(c.cast("string")) > 0, F.lit(False))).cast("int")
 
 
 def is_episode_id(c: Column) -> Column:
-    text = strip(c)
-    return F.coalesce(number(text).isNotNull() | text.rlike("(?U)" + lx.ID_LIKE), F.lit(False))
+    return F.coalesce(c.cast("string").rlike(lx.EPISODE_ID_PATTERN), F.lit(False))
 
 
 def is_cell_id(c: Column) -> Column:
-    text = strip(c)
-    return ~cell_blank(c) & F.coalesce(number(text).isNotNull() | text.rlike("(?U)" + lx.ID_LIKE_CELL), F.lit(False))
+    return F.coalesce(c.rlike(lx.CELL_ID_PATTERN), F.lit(False))
 
 
 def episode_number(c: Column) -> Column:
     """The whole text as a number, else its first run of digits."""
-    text = strip(c)
-    return F.coalesce(number(text), F.regexp_extract(text, "(?U)(\\d+)", 1).try_cast("double"))
+    return F.coalesce(number(c), F.regexp_extract(c, "(?U)(\\d+)", 1).try_cast("double"))
 
 
 def surrogate_athlete_id(athlete: Column, sheet: Column) -> Column:

@@ -22,10 +22,12 @@ INDICATOR_NO = ["нет", "no", "false", "0"]
 # --- fixed values: subtotal words, default sequence id -----------------------
 TOTAL_WORDS = ["итог", "сумма", "всего", "total", "summary"]
 DEFAULT_SEQUENCE = "sequence_0"
-ID_LIKE = "^[a-zA-Zа-яА-Я]*\\d+[a-zA-Zа-яА-Я]*$"
-ID_LIKE_CELL = "^[a-zA-Z]*\\d+[a-zA-Z]*$"
-NUMBER_TEXT = "^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$"
-INFINITY_TEXT = "^[+-]?inf(inity)?$"
+_NUMBER = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
+_INFINITY = r"[+-]?(?i:inf(inity)?)"
+NUMBER_PATTERN = rf"^\s*({_NUMBER}|{_INFINITY})\s*$"
+EPISODE_ID_PATTERN = rf"(?U)^\s*({_NUMBER}|{_INFINITY}|[a-zA-Zа-яА-Я]*\d+[a-zA-Zа-яА-Я]*)\s*$"
+CELL_ID_PATTERN = rf"(?U)^\s*({_NUMBER}|{_INFINITY}|[a-zA-Z]*\d+[a-zA-Z]*)\s*$"
+BLANK_PATTERN = "^(nan|None|<NA>)$"
 
 # --- fixed values: observed classes and labels -------------------------------
 OBSERVED_CLASSES = [

@@ -126,8 +126,6 @@ def episode_fields(df: DataFrame, plan: FieldPlan, row: str = "source_row_index"
     def text(name: str) -> Column:
         return coerce.safe_text(F.col(f"`{source[name]}`") if source[name] else None)
 
-    sheet, athlete = text("sheet_name"), text("athlete_name")
-    given_id = text("athlete_id")
     codes = {
         new: (F.coalesce(coerce.number_of(df, old), F.lit(0.0)) if old in df.columns else F.lit(0.0))
         for new, old in lx.CODE_NAMES.items()
@@ -147,17 +145,17 @@ def episode_fields(df: DataFrame, plan: FieldPlan, row: str = "source_row_index"
     }
     seen = {n: (F.col(n) if n in df.columns else defaults[n]) for n in OBSERVATION_COLUMNS}
     fields = {
-        "sheet_name": sheet,
-        "athlete_name": athlete,
-        "athlete_id": F.when(given_id != "", given_id).otherwise(coerce.surrogate_athlete_id(athlete, sheet)),
+        **{n: text(n) for n in ("sheet_name", "athlete_name", "athlete_id")},
         **{n: text(n) for n in ("weight_class", "episode_id", "opponent_name", "tournament_name", "event_date")},
         **{n: coerce.number_or_zero(df, source[n]) for n in ("episode_time_sec", "pause_time_sec", "score")},
         "_explicit": text("explicit_sequence_id"),
     }
-    return df.select(
+    rows = df.select(
         F.col(row).cast("long").alias("source_row_index"),
         *[c.alias(n) for n, c in {**fields, **codes, **seen}.items()],
     )
+    surrogate = coerce.surrogate_athlete_id(F.col("athlete_name"), F.col("sheet_name"))
+    return rows.withColumn("athlete_id", F.when(F.col("athlete_id") != "", F.col("athlete_id")).otherwise(surrogate))
 
 
 def build_episodes(df: DataFrame, plan: FieldPlan, row: str = "source_row_index", block: int | None = None) -> DataFrame:

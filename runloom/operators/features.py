@@ -23,7 +23,8 @@ def bitpack(flags: list[Column]) -> Column:
 
 
 def log_of_mask(mask: Column) -> Column:
-    return F.when(mask > 0, F.log2(mask.cast("double") + 1.0)).otherwise(F.lit(0.0))
+    """log2(mask + 1); zero for an empty mask."""
+    return F.log2(mask.cast("double") + 1.0)
 
 
 def encode(flags: list[Column], mode: str) -> Column:
@@ -143,12 +144,14 @@ def signal_source(plan: FeaturePlan) -> dict[str, object]:
 def engineer(df: DataFrame, plan: FeaturePlan | None = None) -> DataFrame:
     """Append the thirteen engineered features in one projection."""
     plan = plan or FeaturePlan.from_names(df.columns)
+    sources = sorted({c for cols in plan.inputs.values() for c in cols})
     codes = {
-        name: encode([coerce.indicator_flag(F.col(f"`{c}`")) for c in cols], plan.encoders.get(name, "log_bitpack"))
+        name: encode([F.col(f"`_bit_{c}`") for c in cols], plan.encoders.get(name, "log_bitpack"))
         for name, cols in plan.inputs.items()
     }
     numbers = {n: coerce.number_or_zero(df, plan.fields[n]) for n in ("duration", "pause", "observed_result")}
-    return df.withColumns({**codes, **numbers})
+    bits = df.withColumns({f"_bit_{c}": coerce.indicator_flag_of(df, c) for c in sources})
+    return bits.withColumns({**codes, **numbers}).drop(*[f"_bit_{c}" for c in sources])
 
 
 def research_sequence_id(athlete: Column | None, sheet: Column | None, episode: Column | None) -> Column:

@@ -52,6 +52,18 @@ class ObservationRules:
         return sorted({*self.any_words, *self.all_words})
 
 
+# quality, resolution and confidence of each case of the decision, in order
+VERDICTS = [
+    ("unknown_ambiguous_finish", "ambiguous", "low"),
+    ("ok_finish_rule", "direct_finish_signal", "high"),
+    ("ok_finish_rule_score_mismatch", "direct_finish_signal", "high"),
+    ("unknown_missing_score_and_finish", "unknown", "low"),
+    ("ok_no_score_rule", "no_score_rule", "high"),
+    ("unknown_unsupported_score", "unknown", "low"),
+    ("ok_score_rule", "inferred_from_score", "medium"),
+]
+
+
 def column_words(text: str) -> str:
     return text.strip().lower().replace("ё", "е")
 
@@ -119,48 +131,43 @@ def observe(
     signals = finish_columns(names, rules, labels)
     score_column = find_column(names, rules.score_columns)
 
-    on = {n: coerce.is_positive(F.col(f"`{n}`")) for n in signals}
-    classes = _texts([F.when(on[n], F.lit(cls)) for n, many in signals.items() for cls in many])
-    columns = _texts([F.when(on[n], F.lit(n)) for n in signals])
     value = coerce.score(F.col(f"`{score_column}`")) if score_column else F.lit(None).cast("double")
-
-    work = (
-        df.withColumn("finish_match_classes", classes)
-        .withColumn("finish_match_columns", columns)
-        .withColumn("score_value", value)
-        .withColumn("score_rounded", F.bround("score_value").try_cast("int"))
-    )
-    work = work.withColumn("score_supported_class", F.coalesce(_class_of_score(F.col("score_rounded"), rules), F.lit("")))
-
-    hits = F.size("finish_match_classes")
-    by_score = F.col("score_supported_class")
-    outcome = (
-        F.when(hits > 1, _verdict(F.lit("unknown"), "unknown_ambiguous_finish", "ambiguous", "low"))
-        .when((hits == 1) & ((by_score == "") | (by_score == F.try_element_at("finish_match_classes", F.lit(1)))),
-              _verdict(F.try_element_at("finish_match_classes", F.lit(1)), "ok_finish_rule", "direct_finish_signal", "high"))
-        .when(hits == 1, _verdict(F.try_element_at("finish_match_classes", F.lit(1)), "ok_finish_rule_score_mismatch",
-                                  "direct_finish_signal", "high"))
-        .when(F.col("score_value").isNull(), _verdict(F.lit("unknown"), "unknown_missing_score_and_finish", "unknown", "low"))
-        .when(F.abs("score_value") < 1e-12, _verdict(F.lit("no_score"), "ok_no_score_rule", "no_score_rule", "high"))
-        .when(by_score == "", _verdict(F.lit("unknown"), "unknown_unsupported_score", "unknown", "low"))
-        .otherwise(_verdict(by_score, "ok_score_rule", "inferred_from_score", "medium"))
+    work = df.withColumns({**{f"_on_{n}": coerce.is_positive(F.col(f"`{n}`")) for n in signals}, "score_value": value})
+    on = {n: F.col(f"`_on_{n}`") for n in signals}
+    work = work.withColumns({
+        "finish_match_classes": _texts([F.when(on[n], F.lit(c)) for n, many in signals.items() for c in many]),
+        "finish_match_columns": _texts([F.when(on[n], F.lit(n)) for n in signals]),
+        "score_rounded": F.bround("score_value").try_cast("int"),
+    }).drop(*[f"_on_{n}" for n in signals])
+    work = work.withColumns({
+        "score_supported_class": F.coalesce(_class_of_score(F.col("score_rounded"), rules), F.lit("")),
+        "_hits": F.size("finish_match_classes"),
+        "_direct": F.try_element_at("finish_match_classes", F.lit(1)),
+    })
+    by_score, direct, hits = F.col("score_supported_class"), F.col("_direct"), F.col("_hits")
+    case = (
+        F.when(hits > 1, 1)
+        .when((hits == 1) & by_score.isin(F.lit(""), direct), 2)
+        .when(hits == 1, 3)
+        .when(F.col("score_value").isNull(), 4)
+        .when(F.abs("score_value") < 1e-12, 5)
+        .when(by_score == "", 6)
+        .otherwise(7)
     )
     sources = F.col("finish_match_columns")
     if score_column:
         sources = F.array_sort(F.array_union(sources, F.array(F.lit(score_column))))
-    return (
-        work.withColumn("_verdict", outcome)
-        .withColumn("observed_zap_class", coerce.clamp(F.col("_verdict.cls"), lx.OBSERVED_CLASSES, "unknown"))
-        .withColumn("observed_zap_source_columns", sources)
-        .withColumn("observation_quality_flag", F.col("_verdict.quality"))
-        .withColumn("observation_resolution_type", coerce.clamp(F.col("_verdict.how"), lx.RESOLUTION_TYPES, "unknown"))
-        .withColumn("observation_confidence_label", coerce.clamp(F.col("_verdict.trust"), lx.CONFIDENCE_LABELS, "low"))
-        .withColumn("mapping_version", F.lit(rules.version))
-        .drop("_verdict")
-    )
-
-
-def _verdict(cls: Column, quality: str, how: str, trust: str) -> Column:
-    return F.struct(
-        cls.alias("cls"), F.lit(quality).alias("quality"), F.lit(how).alias("how"), F.lit(trust).alias("trust")
-    )
+    at = F.col("_case")
+    picked = F.when(at.isin(2, 3), direct).when(at == 5, "no_score").when(at == 7, by_score).otherwise("unknown")
+
+    def label(place: int) -> Column:
+        return F.element_at(F.array(*[F.lit(verdict[place]) for verdict in VERDICTS]), at)
+
+    return work.withColumn("_case", case).withColumns({
+        "observed_zap_class": coerce.clamp(picked, lx.OBSERVED_CLASSES, "unknown"),
+        "observed_zap_source_columns": sources,
+        "observation_quality_flag": label(0),
+        "observation_resolution_type": label(1),
+        "observation_confidence_label": label(2),
+        "mapping_version": F.lit(rules.version),
+    }).drop("_case", "_hits", "_direct")

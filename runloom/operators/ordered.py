@@ -47,8 +47,7 @@ class Ordering:
             df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > self.block)
             .select(*self.keys)
         )
-        crowded = park(crowded, "hot")
-        return replace(self, hot=None if crowded.isEmpty() else crowded)
+        return replace(self, hot=None if crowded.isEmpty() else park(crowded, "hot"))
 
     @property
     def blocked(self) -> bool:
