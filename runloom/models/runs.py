@@ -77,19 +77,22 @@ def collapse(cut: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return one.select(*cut.columns).unionByName(cut.where(~whole))
 
 
-def hold(cut: DataFrame, keys: tuple[str, ...]) -> Segments:
-    """Write the segments once and keep them in memory for the passes to come.
+def hold(cut: DataFrame, keys: tuple[str, ...], passes: bool = True) -> Segments:
+    """Write the segments once; keep them in memory too when many passes follow.
 
     A lost executor re-reads its part of the table; nothing is computed again.
     """
-    table = park(cut, "segments").persist(StorageLevel.MEMORY_AND_DISK)
+    table = park(cut, "segments")
+    if passes:
+        table = table.persist(StorageLevel.MEMORY_AND_DISK)
     inner = table.where(~(F.col("opens") & F.col("closes"))).agg(F.max("seg")).first()[0]
     return Segments(table, (*keys, "run_no"), int(inner or 0))
 
 
 def segments(
     df: DataFrame, order: Ordering, value: Column, sequence: str = "sequence_id", length: int = SEGMENT,
-    vector: bool = False, distinct: bool = False,
+    vector: bool = False, distinct: bool = False, passes: bool = True,
 ) -> Segments:
+    """Segments of the rows given. Call `release` when a table held in memory is done with."""
     cut = cut_runs(df, order, value, sequence, length, vector)
-    return hold(collapse(cut, (*order.keys, "run_no")) if distinct else cut, order.keys)
+    return hold(collapse(cut, (*order.keys, "run_no")) if distinct else cut, order.keys, passes)
