@@ -14,43 +14,34 @@ def nth_largest(df: DataFrame, values: dict[str, Column], n: dict[str, int]) ->
     Each pass is one aggregate job that counts 64 bins per column and then looks
     into the one bin that holds the answer, until that bin has a single value.
     """
-    work = df.select(*[c.cast("double").alias(name) for name, c in values.items()])
-    first = work.agg(
-        *[F.min(v).alias(f"lo_{v}") for v in values], *[F.max(v).alias(f"hi_{v}") for v in values],
-        *[F.count(v).alias(f"n_{v}") for v in values],
-    ).first()
-    answer: dict[str, float | None] = {}
+    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("name"), c.cast("double").alias("value")) for v, c in values.items()]))
+    work = df.select(pairs.alias("p")).select("p.*").where(F.col("value").isNotNull())
+    value = F.col("value")
+    measures = (F.count(value).alias("rows"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    answer: dict[str, float | None] = dict.fromkeys(values)
     open_: dict[str, tuple[float, float, int]] = {}
-    for v in values:
-        lo, hi, rows = first[f"lo_{v}"], first[f"hi_{v}"], first[f"n_{v}"]
-        if not rows or rows < n[v]:
-            answer[v] = lo if rows else None  # fewer rows than asked for: take all
-        elif lo == hi:
-            answer[v] = lo
+    for r in work.groupBy("name").agg(*measures).collect():  # one row per column
+        if r["rows"] < n[r["name"]] or r["lo"] == r["hi"]:
+            answer[r["name"]] = r["lo"]  # too few rows: take all of them
         else:
-            open_[v] = (lo, hi, n[v])
+            open_[r["name"]] = (r["lo"], r["hi"], n[r["name"]])
     while open_:
-        aggs = []
+        bin_ = F.lit(None).cast("long")
         for v, (lo, hi, _) in open_.items():
-            width = (hi - lo) / BINS
-            bin_ = F.least(F.floor((F.col(v) - F.lit(lo)) / F.lit(width)), F.lit(BINS - 1))
-            for b in range(BINS):
-                inside = F.col(v).between(lo, hi) & (bin_ == b)
-                hit = F.when(inside, F.col(v))
-                aggs += [F.count(hit).alias(f"c_{v}_{b}"), F.min(hit).alias(f"a_{v}_{b}"), F.max(hit).alias(f"z_{v}_{b}")]
-        row = work.agg(*aggs).first()
+            place = F.least(F.floor((value - F.lit(lo)) / F.lit((hi - lo) / BINS)), F.lit(BINS - 1))
+            bin_ = F.when((F.col("name") == v) & value.between(lo, hi), place).otherwise(bin_)
+        bins = work.withColumn("bin", bin_).where(F.col("bin").isNotNull()).groupBy("name", "bin").agg(*measures)
+        rows = sorted(bins.collect(), key=lambda r: -r["bin"])  # 64 rows per column at most
         for v in list(open_):
             _, _, left = open_.pop(v)
-            for b in range(BINS - 1, -1, -1):
-                count = row[f"c_{v}_{b}"]
-                if left <= count:
-                    lo, hi = row[f"a_{v}_{b}"], row[f"z_{v}_{b}"]
-                    if lo == hi or (hi - lo) / BINS == 0.0:
-                        answer[v] = hi if lo != hi and left == 1 else lo
+            for r in (r for r in rows if r["name"] == v):
+                if left <= r["rows"]:
+                    if r["lo"] == r["hi"] or (r["hi"] - r["lo"]) / BINS == 0.0:
+                        answer[v] = r["lo"]
                     else:
-                        open_[v] = (lo, hi, left)
+                        open_[v] = (r["lo"], r["hi"], left)
                     break
-                left -= count
+                left -= r["rows"]
     return answer
 
 
