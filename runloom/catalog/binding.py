@@ -43,6 +43,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@functools.lru_cache(maxsize=64)
+def _fills_cores(session: int, path: str) -> bool:
+    spark = SparkSession.getActiveSession()
+    return spark is None or spark.read.parquet(path).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The table; a scan too small to fill the cores is dealt out to all of them.
+
+    Large inputs have many splits and are left as they are.
+    """
+    df = table(spark, sf, name)
+    if _fills_cores(id(spark), f"{sf}/{name}.parquet"):
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)
+
+
 _POINTS = "CASE event_type WHEN 'view' THEN '0' WHEN 'signup' THEN '1' WHEN 'click' THEN '2' WHEN 'error' THEN '3' ELSE '4' END"
 _RAW = {
     "metadata__sheet": "concat('s', user_id % 4)",
@@ -71,7 +88,7 @@ RAW_NAMES = list(_RAW)
 def raw_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Tidy-named episode rows, one per event, as a projection of the scan."""
     return (
-        table(spark, sf, "events")
+        spread_table(spark, sf, "events")
         .selectExpr("*", "int(regexp_extract(props, '([0-9]+)', 1)) AS k", "hour(ts) * 60 + minute(ts) AS mi")
         .selectExpr("*", "CASE WHEN event_type = 'view' AND user_id % 2 = 0 THEN 0 ELSE k END AS act", f"{_POINTS} AS points")
         .selectExpr("event_id AS source_row_index", *[f"{text} AS {name}" for name, text in _RAW.items()])
@@ -126,8 +143,11 @@ def row_analysis(spark: SparkSession, sf: str) -> DataFrame:
     return with_states(field_rows(spark, sf))
 
 
-def athlete_order(df: DataFrame) -> Ordering:
-    return Ordering(ATHLETE, "source_row_index").inspect(df)
+@view
+def athlete_order(spark: SparkSession, sf: str) -> Ordering:
+    """Order inside an athlete; crowded athletes are looked up once, on the raw rows."""
+    rows = field_rows(spark, sf).select(*ATHLETE, "source_row_index")
+    return Ordering(ATHLETE, "source_row_index").inspect(rows)
 
 
 # --- the same binding for the SQL side -------------------------------------------

@@ -40,7 +40,7 @@ def _segments(spark, sf, train=False, **how):
     if train:
         rows = rows.where("is_train_eligible")
     rows = rows.select("sheet_name", "athlete_name", "source_row_index", "sequence_id", "observed_zap_class")
-    return segments(rows, athlete_order(rows), class_number(F.col("observed_zap_class"), lx.OBSERVED_CLASSES), **how)
+    return segments(rows, athlete_order(spark, sf), class_number(F.col("observed_zap_class"), lx.OBSERVED_CLASSES), **how)
 
 
 # --- SQL twins: the three states are unrolled into columns ---------------------------
@@ -319,7 +319,7 @@ def _gaussian_fit(spark, sf, max_iter):
     means, _ = seed_means(rows, scaler, 3, "source_row_index")
     spread = np.array([(1.0 if s > 0 else 0.0) * w * w for s, w in zip(scaler.deviations, scaler.weights)]) + 0.01
     model = GaussianModel.initial(means, spread, "diag", "left_to_right", scaler=scaler)
-    seg = segments(rows, athlete_order(rows), scaler.vector(), vector=True)
+    seg = segments(rows, athlete_order(spark, sf), scaler.vector(), vector=True)
     return model.fit(seg, max_iter=max_iter), seg
 
 

@@ -73,7 +73,7 @@ SELECT sheet_name, athlete_name, CAST(run_no AS BIGINT) AS run_no, min(sequence_
 FROM runs GROUP BY 1, 2, 3"""))
 def lengths(spark, sf):
     rows = episodes(spark, sf).select("sheet_name", "athlete_name", "source_row_index", "sequence_id")
-    return run_lengths(rows, athlete_order(rows))
+    return run_lengths(rows, athlete_order(spark, sf))
 
 
 _MOVES = ANALYSIS_CTE + """,
@@ -86,7 +86,7 @@ mv AS (SELECT a AS from_state, b AS to_state, count(*) AS n FROM nx WHERE after
 
 def _moves(spark, sf):
     rows = analysis(spark, sf).select("sheet_name", "athlete_name", "source_row_index", "sequence_id", "hidden_state")
-    return tr.count_transitions(rows, athlete_order(rows))
+    return tr.count_transitions(rows, athlete_order(spark, sf))
 
 
 @query("w3_transition_summary", with_cte(_MOVES, """
@@ -138,7 +138,7 @@ SELECT from_state, to_state, n AS "count", 'recomputed_only' AS side FROM (SELEC
 def transition_differences(spark, sf):
     """A stored table that ignored run borders, against the recomputed one."""
     rows = analysis(spark, sf).select("sheet_name", "athlete_name", "source_row_index", "sequence_id", "hidden_state")
-    order = athlete_order(rows)
+    order = athlete_order(spark, sf)
     stored = tr.count_transitions(rows.withColumn("sequence_id", F.lit("one")), order)
     return tr.transition_differences(stored, tr.count_transitions(rows, order))
 

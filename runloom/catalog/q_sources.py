@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce
 from ..operators.ordered import Ordering, with_place
+from ..session import park
 from ..sources import cells as cs
 from .binding import table, view, with_cte
 from .registry import query
@@ -58,6 +59,11 @@ def table_cells(spark, sf):
 
 
 def all_cells(spark, sf):
+    """The cell table as an import would leave it: written once."""
+    return park(_all_cells(spark, sf), "cells")
+
+
+def _all_cells(spark, sf):
     return matrix_cells(spark, sf).unionByName(table_cells(spark, sf))
 
 
@@ -78,7 +84,7 @@ def rows_per_sheet(spark, sf):
 @query("s2_selected_sheets", with_cte(_CTE, """
 SELECT 't' || (user_id % 4) AS sheet, 8 * (count(*) + 1) AS cells FROM e WHERE user_id % 4 IN (1, 3) GROUP BY 1"""))
 def selected_sheets(spark, sf):
-    return cs.select_sheets(all_cells(spark, sf), ["t1", "t3"]).groupBy("sheet").agg(F.count(F.lit(1)).alias("cells"))
+    return cs.select_sheets(_all_cells(spark, sf), ["t1", "t3"]).groupBy("sheet").agg(F.count(F.lit(1)).alias("cells"))
 
 
 @query("s3_header_names", """
@@ -92,7 +98,7 @@ def header_names(spark, sf):
 
 @query("s4_matrix_sheets", with_cte(_CTE, "SELECT DISTINCT 'm' || user_id AS sheet FROM e WHERE many >= 2"))
 def matrix_sheets(spark, sf):
-    return cs.matrix_sheets(all_cells(spark, sf))
+    return cs.matrix_sheets(_all_cells(spark, sf))
 
 
 _FEATURES = ["episode_duration", "pause_duration", "observed_result", "maneuver_right_indicator_01", "maneuver_left_indicator_01",
@@ -108,7 +114,7 @@ SELECT 'm' || user_id AS source_sheet, place AS episode_order, CAST(place AS VAR
   CAST(k < 50 AS INTEGER) AS kfv_bodylocks_indicator_01, CAST(k % 4 = 0 AS INTEGER) AS vup_indicator_01,
   CAST(k > 90 AS INTEGER) AS outcome_action_indicator_01 FROM e"""))
 def matrix_rows(spark, sf):
-    cells = matrix_cells(spark, sf)
+    cells = park(matrix_cells(spark, sf), "cells")
     return cs.matrix_rows(cs.parse_matrix(cells), cs.athlete_names(cells, cs.axis_of(cells)), _FEATURES)
 
 
@@ -151,7 +157,7 @@ SELECT 'm' || user_id AS sheet, CASE WHEN row_idx <= 5 THEN kind ELSE kind || '_
   OVER (PARTITION BY user_id, kind ORDER BY row_idx) AS INTEGER)) END AS normalized_column,
   CASE WHEN row_idx <= 5 THEN 'numeric' ELSE 'binary' END AS parser_kind FROM used JOIN (VALUES {_KINDS}) v(row_idx, kind) USING (row_idx)"""))
 def label_mapping(spark, sf):
-    return cs.parse_matrix(matrix_cells(spark, sf)).mapping.select("sheet", "normalized_column", "parser_kind")
+    return cs.parse_matrix(park(matrix_cells(spark, sf), "cells")).mapping.select("sheet", "normalized_column", "parser_kind")
 
 
 @query("s10_numbered_rows", with_cte(_CTE, """

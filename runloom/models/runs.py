@@ -95,4 +95,6 @@ def segments(
 ) -> Segments:
     """Segments of the rows given. Call `release` when a table held in memory is done with."""
     cut = cut_runs(df, order, value, sequence, length, vector)
-    return hold(collapse(cut, (*order.keys, "run_no")) if distinct else cut, order.keys, passes)
+    if distinct:
+        cut = collapse(park(cut, "cut"), (*order.keys, "run_no"))
+    return hold(cut, order.keys, passes)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import coerce
+from ..session import park
 from .frequency import reason_counts
 from .profiles import sequence_quality
 from .tables import beside, codes_where
@@ -78,7 +79,7 @@ def by_length(found: DataFrame) -> DataFrame:
 
 
 def audit(df: DataFrame, context_sources: dict[str, str | None] | None = None, explicit_source: str | None = None) -> dict[str, DataFrame]:
-    table = sequence_table(df)
+    table = park(sequence_table(df), "sequences")  # one row per sequence, read by every part below
     stats = length_stats(table)
     found = suspicious(table, stats)
     shares = sequence_quality(df)
