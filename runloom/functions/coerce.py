@@ -15,14 +15,15 @@ from . import lexicon as lx
 
 def strip(c: Column) -> Column:
     """Trim every Unicode blank, not only the space `trim` knows."""
-    return F.regexp_replace(c.cast("string"), "(?U)^\\s+|\\s+$", "")
+    return F.btrim(c.cast("string"), F.lit(lx.BLANKS))
 
 
 def safe_text(c: Column | None) -> Column:
     """Trimmed text; null and the spelled-out nulls become ''."""
     if c is None:
         return F.lit("")
-    return F.coalesce(F.regexp_replace(strip(c), lx.BLANK_PATTERN, ""), F.lit(""))
+    text = strip(c)
+    return F.when(text.isNull() | text.isin(lx.BLANK_EXACT), F.lit("")).otherwise(text)
 
 
 def is_filled(c: Column) -> Column:

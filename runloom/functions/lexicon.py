@@ -27,7 +27,8 @@ _INFINITY = r"[+-]?(?i:inf(inity)?)"
 NUMBER_PATTERN = rf"^\s*({_NUMBER}|{_INFINITY})\s*$"
 EPISODE_ID_PATTERN = rf"(?U)^\s*({_NUMBER}|{_INFINITY}|[a-zA-Zа-яА-Я]*\d+[a-zA-Zа-яА-Я]*)\s*$"
 CELL_ID_PATTERN = rf"(?U)^\s*({_NUMBER}|{_INFINITY}|[a-zA-Z]*\d+[a-zA-Z]*)\s*$"
-BLANK_PATTERN = "^(nan|None|<NA>)$"
+# the characters that count as blank at the ends of a text
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 # --- fixed values: observed classes and labels -------------------------------
 OBSERVED_CLASSES = [

@@ -167,10 +167,10 @@ def axis_of(cells: DataFrame) -> DataFrame:
 
 
 def episode_columns(cells: DataFrame, axis: DataFrame) -> DataFrame:
-    """(sheet, col_idx, episode_id, episode_order): the columns right of the marker."""
-    ids = _axis_columns(cells, axis).select("sheet", "col_idx", coerce.strip(F.col("episode_id")).alias("episode_id"))
-    placed = with_place(ids, Ordering(("sheet",), "col_idx").inspect(ids), "episode_order")
-    return placed
+    """(sheet, m_row, col_idx, episode_id, episode_order): the columns right of the marker."""
+    ids = _axis_columns(cells, axis).select("sheet", "m_row", "col_idx", coerce.strip(F.col("episode_id")).alias("episode_id"))
+    ids = park(ids, "ids")  # one row per episode
+    return with_place(ids, Ordering(("sheet",), "col_idx").inspect(ids), "episode_order")
 
 
 def row_labels(cells: DataFrame, axis: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def row_labels(cells: DataFrame, axis: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Matrix:
-    """`values`: one row per episode and feature; `mapping`: one row per feature row."""
+    """`values`: one row per episode and filled feature; `mapping`: one row per feature row."""
 
     values: DataFrame
     mapping: DataFrame
@@ -202,11 +202,10 @@ def parse_matrix(cells: DataFrame) -> Matrix:
     several times, so they are written once.
     """
     axis = park(axis_of(cells), "axis")
-    episodes = episode_columns(cells, axis)
-    data = cells.join(episodes, ["sheet", "col_idx"]).join(axis, "sheet").where(F.col("row_idx") > F.col("m_row"))
-    data = data.select("sheet", "row_idx", "col_idx", "episode_id", "episode_order", "value")
-    used = data.where(~coerce.cell_blank(F.col("value"))).select("sheet", "row_idx").distinct()
-    labels = row_labels(cells, axis).join(used, ["sheet", "row_idx"], "left_semi")
+    episodes = park(episode_columns(cells, axis), "episodes")
+    below = cells.join(episodes, ["sheet", "col_idx"]).where(F.col("row_idx") > F.col("m_row"))
+    data = park(below.where(~coerce.cell_blank(F.col("value"))).drop("m_row"), "data")  # the filled cells
+    labels = row_labels(cells, axis).join(data.select("sheet", "row_idx").distinct(), ["sheet", "row_idx"], "left_semi")
     labels = labels.withColumn("kind", label_kind(F.col("source_label"))).where(F.col("kind") != "episode_id")
     numeric = F.col("kind").isin(lx.NUMERIC_KINDS)
     nth = F.row_number().over(Window.partitionBy("sheet", "kind").orderBy("row_idx"))
@@ -219,17 +218,20 @@ def parse_matrix(cells: DataFrame) -> Matrix:
     parsed = F.when(F.col("parser_kind") == "numeric", coerce.cell_number(F.col("value"))).otherwise(
         coerce.cell_flag(F.col("value")).cast("double")
     )
-    values = data.join(mapping.select("sheet", "row_idx", "normalized_column", "parser_kind"), ["sheet", "row_idx"])
+    # of two rows with one numeric kind the later counts, blank cells included
+    last = F.max("row_idx").over(Window.partitionBy("sheet", "normalized_column"))
+    counted = mapping.withColumn("_last", last).where(F.col("row_idx") == F.col("_last"))
+    values = data.join(counted.select("sheet", "row_idx", "normalized_column", "parser_kind"), ["sheet", "row_idx"])
     values = values.select("sheet", "col_idx", "episode_id", "episode_order", "row_idx",
                            F.col("normalized_column").alias("name"), parsed.alias("value"))
-    return Matrix(values, mapping, episodes)
+    return Matrix(values, mapping, episodes.drop("m_row"))
 
 
 def matrix_rows(matrix: Matrix, athletes: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
-    """Wide rows, one per episode. A numeric kind that occurs twice keeps its last row."""
+    """Wide rows, one per episode; features without a value are 0."""
     names = names or [r["normalized_column"] for r in
                       matrix.mapping.select("normalized_column").distinct().orderBy("normalized_column").collect()]
-    wide = matrix.values.groupBy("sheet", "col_idx").pivot("name", names).agg(F.max_by("value", "row_idx"))
+    wide = matrix.values.groupBy("sheet", "col_idx").pivot("name", names).agg(F.first("value"))
     wide = wide.select("sheet", "col_idx", *[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias(n) for n in names])
     rows = matrix.episodes.join(wide, ["sheet", "col_idx"], "left").drop("col_idx").fillna(0.0, names)
     if athletes is not None:

@@ -37,8 +37,8 @@ MATRIX = [
 def test_header_names(spark):
     names = {r["col_idx"]: r["name"] for r in cs.header_names(grid(spark, {"s": TABLE}), 2).collect()}
     assert names == {
-        0: "фио | борца", 1: "эпизод | номер", 2: "эпизод | время", 3: "баллы | x", 4: "баллы | x_2", 5: "note", 6: "note | x",
-    } or names[5] == "note"
+        0: "фио | борца", 1: "эпизод | номер", 2: "эпизод | время", 3: "баллы | x", 4: "баллы | x_2", 5: "note", 6: "note_2",
+    }
 
 
 def test_table_rows_and_selection(spark):
@@ -60,7 +60,7 @@ def test_matrix_sheet(spark):
     assert [r["sheet"] for r in cs.matrix_sheets(cells).collect()] == ["m"]
     one = cells.where("sheet = 'm'")
     rows = cs.matrix_rows(cs.parse_matrix(one), cs.athlete_names(one, cs.axis_of(one))).orderBy("episode_order").collect()
-    assert [r["episode_id"] for r in rows] == ["1", "2", "3а"] or [r["episode_id"] for r in rows] == ["1", "2"]
+    assert [r["episode_id"] for r in rows] == ["1", "2"]  # an id with a Cyrillic letter is none here
     assert rows[0]["athlete_name"] == "Сидоров А." and rows[0]["episode_duration"] == 10.5 and rows[1]["observed_result"] == 1.0
     assert rows[0]["maneuver_right_indicator_01"] == 1 and rows[1]["kfv_grips_indicator_02"] == 1 and rows[1]["kfv_underhooks_indicator_01"] == 1
     assert rows[1]["vup_indicator_01"] == 1  # `-1` loses its sign in the label form
