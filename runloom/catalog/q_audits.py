@@ -6,12 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..operators import charts, frequency, health, metadata_audit, observation_audit, picks, profiles, sequence_audit
-from ..operators import transitions as tr
 from ..operators.observation import ObservationRules
-from ..operators.tables import beside
 from .binding import (
-    ANALYSIS_CTE, EPISODE_CTE, OBS_CTE, RAW_CTE, RAW_NAMES, ROW_ANALYSIS_CTE, STATE_NAMES, analysis, athlete_order,
-    episodes, field_rows, observed_rows, raw_rows, row_analysis, table, with_cte,
+    ANALYSIS_CTE, EPISODE_CTE, OBS_CTE, RAW_CTE, RAW_NAMES, ROW_ANALYSIS_CTE, STATE_NAMES, analysis,
+    episodes, observed_rows, raw_rows, row_analysis, table, with_cte,
 )
 from .q_sequences import _MOVES, _moves
 from .registry import query

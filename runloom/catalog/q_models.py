@@ -12,13 +12,13 @@ from ..models.gaussian import GaussianModel
 from ..models.kernel import EPS
 from ..models.runs import segments
 from ..models.seeds import dominance, seed_means
-from ..models.semantics import block_profile, feature_means, name_decoded, names_table
+from ..models.semantics import feature_means, name_decoded, names_table
 from ..operators.features import Scaler, block_weights, semantic_view
 from ..operators.profiles import with_row_signals
 from ..operators.selection import nth_largest
 from ..sources import params
 from .binding import (
-    ANALYSIS_CTE, EPISODE_CTE, FIELD_CTE, ROW_ANALYSIS_CTE, analysis, athlete_order, class_state, episodes,
+    FIELD_CTE, ROW_ANALYSIS_CTE, athlete_order, episodes,
     field_rows, observed_rows, row_analysis, with_cte,
 )
 from .q_sequences import _RUNS
@@ -48,7 +48,7 @@ def _segments(spark, sf, train=False, **how):
 S = range(3)
 
 
-def _pick(table, state, default="o"):
+def _pick(table, state):
     """CASE over the class number with one literal per class."""
     return "CASE o " + " ".join(f"WHEN {c} THEN {table[state][c]!r}" for c in range(len(lx.OBSERVED_CLASSES))) + " END"
 
@@ -69,7 +69,7 @@ def _argmax(a, b, c):
     return f"CASE WHEN {a} >= {b} AND {a} >= {c} THEN 0 WHEN {b} >= {c} THEN 1 ELSE 2 END"
 
 
-_OBS = _RUNS.replace("ev AS", "ev AS", 1) + f""",
+_OBS = _RUNS + f""",
 seq AS (
   SELECT source_row_index AS row, sheet_name || '/' || athlete_name || '/' || CAST(run_no AS BIGINT) AS rid,
     row_number() OVER (PARTITION BY sheet_name, athlete_name, run_no ORDER BY source_row_index) AS pos,
@@ -333,4 +333,5 @@ def gaussian_parameters(spark, sf):
 @query("h22_gaussian_decode")
 def gaussian_decode(spark, sf):
     model, seg = _gaussian_fit(spark, sf, 3)
+    seg.release()
     return passes.decode(seg, model).select("source_row_index", "hidden_state", "confidence")

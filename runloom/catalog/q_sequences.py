@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import transitions as tr
 from ..operators.ordered import Ordering
-from ..operators.sequences import number_runs, run_lengths
+from ..operators.sequences import run_lengths
 from .binding import (
-    ANALYSIS_CTE, EPISODE_CTE, OBS_CTE, STATE_NAMES, analysis, athlete_order, class_state, episodes,
+    ANALYSIS_CTE, EPISODE_CTE, OBS_CTE, STATE_NAMES, analysis, athlete_order, episodes,
     observed_rows, table, with_cte,
 )
 from .registry import query

@@ -17,7 +17,7 @@ from ..plans import diagnostics, research
 from ..session import park, shared_folder
 from ..sources import manifest, params, sinks
 from . import q_models
-from .binding import EPISODE_CTE, RAW_CTE, analysis, episodes, field_rows, raw_rows, with_cte
+from .binding import EPISODE_CTE, RAW_CTE, analysis, episodes, raw_rows, with_cte
 from .q_audits import _SEQ
 from .registry import query
 
@@ -72,6 +72,7 @@ def saved_discrete(spark, sf):
 @query("s16_saved_gaussian_model")
 def saved_gaussian(spark, sf):
     model, seg = q_models._gaussian_fit(spark, sf, 2)
+    seg.release()
     path = scratch(spark, "model")
     params.save_model(spark, model, path, "saved")
     loaded, _ = params.load_model(spark, path)

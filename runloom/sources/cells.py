@@ -98,7 +98,7 @@ def matrix_sheets(cells: DataFrame) -> DataFrame:
     wide = axis.groupBy("sheet", "m_row", "m_col").agg(F.count(F.lit(1)).alias("ids")).where(F.col("ids") >= 2)
     filled = top.where(~coerce.cell_blank(F.col("value"))).select("sheet", "row_idx", "col_idx")
     below = (F.col("row_idx") > F.col("m_row")) & (F.col("row_idx") < F.col("m_row") + LOOK_DOWN)
-    labelled = filled.join(wide, "sheet").where(below & (F.col("col_idx") <= F.col("m_col")))
+    labelled = filled.where(F.col("col_idx") < SCAN_COLS).join(wide, "sheet").where(below & (F.col("col_idx") <= F.col("m_col")))
     labelled = labelled.select("sheet", "m_row", "m_col", "row_idx").distinct()
     data = filled.join(axis.select("sheet", "m_row", "m_col", "col_idx"), ["sheet", "col_idx"]).where(below)
     data = data.select("sheet", "m_row", "m_col", "row_idx").distinct()

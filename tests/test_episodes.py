@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions import lexicon as lx
 from runloom.operators import cleaning, features
-from runloom.operators.episodes import FieldPlan, align, build_episodes, episode_fields
+from runloom.operators.episodes import FieldPlan, align, build_episodes
 from runloom.operators.observation import ObservationRules, finish_columns, mapped_classes, observe
 from runloom.operators.tidy import tidy, validate
 
