@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from runloom.session import shared_folder
 
-from . import mixing, quality_rules, sharding, url_filter
+from . import bpe, mixing, nearest, quality_rules, sharding, url_filter, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -36,10 +41,53 @@ def oracle_sql() -> dict[str, str]:
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 
+def vocabulary() -> str:
+    """Place of the production tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op3_nearest")
+def op3_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest.search(table(spark, sf, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
+@query("op4_bpe")
+def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf, "documents"), vocabulary())
+    back = bpe.decode(coded, vocabulary())
+    return back.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op5_warc", r"""
+WITH raw AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+p AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS hex FROM raw),
+quint AS (
+  SELECT *, list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(hex, CAST(10 * (i // 8) + 1 AS INT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INT)) & 31), 1)) AS c FROM p),
+d AS (SELECT page_id, payload_bytes, array_to_string(c, '') AS payload_digest FROM quint),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN NULL ELSE first END AS refers_to
+FROM f
+""")
+def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/runloom/archive-{uuid.uuid4().hex}"
+    warc.write(warc.records(table(spark, sf, "pages"), min_bytes=0), path)
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    # size and digest of responses from the payload as it was read back; revisits have no payload to decode
+    full = warc.read(spark, path, [*out, "payload"]).where("record_type = 'response'")
+    full = full.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("payload_digest", warc.base32_sha1(F.col("payload")))
+    return full.select(*out).unionByName(warc.read(spark, path, out).where("record_type = 'revisit'"))
+
+
 @query("op7_sharding")
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     dealt = sharding.shuffle(sharding.sized(table(spark, sf, "documents")), shards=16)
     return dealt.select("*", F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
 
