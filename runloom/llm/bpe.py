@@ -32,6 +32,7 @@ tables stay empty; columns not named by `keep` are left out.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import unicodedata
@@ -46,9 +47,8 @@ from pyspark.sql import types as T
 
 from .arrow import add_columns
 
-#: Entries a task keeps before it starts afresh.
-KEPT_CHUNKS = 400_000
-KEPT_ARCS = 1_000_000
+#: Entries of a generation of kept chunks and words, and arcs kept before the table starts afresh.
+KEPT_CHUNKS, KEPT_WORDS, KEPT_ARCS = 150_000, 80_000, 400_000
 #: Symbol behind a word's last one; stands for the file's word-end suffix.
 END = "\0"
 #: ASCII separators that Python takes for white space and the tokenizers do not.
@@ -182,6 +182,24 @@ class Automaton:
         return out[::-1]
 
 
+class Kept(dict):
+    """What was made for recent keys: a full generation becomes the old one, whose entries come back when asked for."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key: str):
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 class Tokenizer:
     """Encoder and decoder for a tokenizer file's contents."""
 
@@ -189,24 +207,27 @@ class Tokenizer:
         spec = json.loads(content)
         model = spec["model"]
         self.vocab = model["vocab"]
-        self.automaton = Automaton(self.vocab, [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]], model.get("end_of_word_suffix") or "")
+        self.merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.suffix = model.get("end_of_word_suffix") or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.labels = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
         self.alphabet = byte_alphabet()
-        self.words: dict[str, list[int]] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.words = Kept(self.word, KEPT_WORDS)
+        self.chunks = Kept(lambda chunk: array("i", self.ids(chunk)).tobytes(), KEPT_CHUNKS)
+
+    @functools.cached_property
+    def automaton(self) -> Automaton:
+        """Compiled when a first word asks for it; decoding needs the labels only."""
+        made = Automaton(self.vocab, self.merges, self.suffix)
+        del self.merges
+        return made
 
     def word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= KEPT_CHUNKS:
-                self.words.clear()
-            alphabet = self.alphabet
-            ids = self.words[word] = self.automaton.path(word if word.isascii() and word.isalnum() else "".join([alphabet[b] for b in word.encode()]))
-        return ids
+        alphabet = self.alphabet
+        return self.automaton.path(word if word.isascii() and word.isalnum() else "".join([alphabet[b] for b in word.encode()]))
 
     def plain(self, text: str) -> list[int]:
         """Ids of a text without special tokens."""
@@ -217,7 +238,7 @@ class Tokenizer:
             text = text.lower()
         out: list[int] = []
         for w in self.pattern.findall(text):
-            out += self.word(w)
+            out += self.words[w]
         return out
 
     def ids(self, text: str) -> list[int]:
@@ -236,17 +257,7 @@ class Tokenizer:
             return b""
         if ODD_SPACE.search(text):
             return np.array(self.ids(text), "<i4").tobytes()
-        found = text.split()
-        known = self.chunks
-        try:
-            return b"".join(map(known.__getitem__, found))
-        except KeyError:
-            if len(known) >= KEPT_CHUNKS:
-                known.clear()
-            for chunk in found:
-                if chunk not in known:
-                    known[chunk] = array("i", self.ids(chunk)).tobytes()
-            return b"".join(map(known.__getitem__, found))
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
     def decode(self, ids: Sequence[int]) -> str:
         """Labels of the ids, parted by blanks, as the library does for files without a decoder."""

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.session import shared_folder
+from runloom.session import park, shared_folder
 
-from . import bpe, mixing, nearest, quality_rules, sharding, url_filter, warc
+from . import bpe, html_text, mixing, nearest, quality_rules, sharding, url_filter, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -48,6 +48,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_html_text")
+def op1_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    plans = park(html_text.wrappers(pages).select("host", "plan"), "html")
+    return html_text.main_text(pages, plans).select("*", F.length("text").cast("bigint").alias("n_chars"))
+
+
 @query("op3_nearest")
 def op3_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return nearest.search(table(spark, sf, "embeddings"), F.col("id") % 100 == 0, k=10)
