@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runloom.session import park, shared_folder
 
-from . import bpe, html_text, mixing, nearest, quality_rules, sharding, url_filter, warc
+from . import bpe, html_text, mixing, nearest, ngram_join, quality_rules, sharding, url_filter, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -55,6 +55,33 @@ def op1_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.main_text(pages, plans).select("*", F.length("text").cast("bigint").alias("n_chars"))
 
 
+@query("op2_ngram_join", rf"""
+WITH RECURSIVE
+docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+grams AS (
+  SELECT rid, doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+                           WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM docs),
+classes AS (SELECT list_sort(g) AS g, min(rid) AS cid, min(doc_id) AS first, len(any_value(g)) AS n FROM grams GROUP BY list_sort(g)),
+flat AS (SELECT cid, n, unnest(g) AS t FROM classes),
+pairs AS (
+  SELECT a.cid AS a, b.cid AS b FROM flat a JOIN flat b ON a.t = b.t AND a.cid < b.cid
+  GROUP BY a.cid, b.cid, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (
+  SELECT cid AS a, cid AS b FROM classes
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT r.a AS cid, min(c.first) AS component_id FROM reach r JOIN classes c ON r.b = c.cid GROUP BY r.a)
+SELECT d.doc_id, CAST(len(d.g) AS BIGINT) AS n_shingles, CASE WHEN len(d.g) = 0 THEN d.doc_id ELSE l.component_id END AS component_id
+FROM grams d JOIN classes c ON list_sort(d.g) = c.g JOIN least l ON l.cid = c.cid
+""")
+def op2_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf, "documents"), n=4, similarity=85).drop("same")
+
+
 @query("op3_nearest")
 def op3_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return nearest.search(table(spark, sf, "embeddings"), F.col("id") % 100 == 0, k=10)
