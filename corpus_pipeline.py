@@ -1,10 +1,17 @@
-"""From raw documents to token ids: rules, near duplicates, mixing, encoding."""
+"""From raw documents to token ids: quality rules, near duplicates, mixing, encoding.
+
+Every stage works on all that its predecessor kept. The first three return the
+columns of `documents`; the last one returns `doc_id`, `source` and the token ids.
+Documents that the mix repeats come as so many rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runloom.llm import mixing, quality_rules
+from runloom.llm import bpe, catalog, mixing, ngram_join, quality_rules
+from runloom.session import park
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,14 +19,29 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(docs, "v2")
 
 
-STAGES = [("quality_rules", keep_good)]
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five words, similarity 0.8."""
+    return ngram_join.keep_one(docs, n=5, similarity=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.repeat(docs, weights=(3, 1, 2), share=1.5, max_epochs=2.0)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text."""
+    coded = bpe.encode(docs, catalog.vocabulary(), keep=("doc_id", "source"))
+    return coded.withColumn("n_tokens", F.size("ids").cast("bigint"))
+
+
+STAGES = [("quality_rules", keep_good), ("ngram_join", keep_one_of_each), ("mixing", mix_sources), ("bpe", encode_texts)]
+#: Token ids can not be expressed in SQL; tests/llm compares run() with a brute-force pipeline.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each is written and read again before the next."""
-    from runloom.session import park
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = park(stage(spark, docs, sf_dir), name)

@@ -75,13 +75,16 @@ def mix(
     key: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    carry: bool = False,
 ) -> DataFrame:
     """`doc_id`, `size`, `source`, `source_size`, `target`, `times`, `taken` of every document.
 
-    Weights repeat over the sources in code-point order, null last.
+    Weights repeat over the sources in code-point order, null last. With `carry`, the
+    document itself comes along as a struct `row`.
     """
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
     rows = docs.select(
-        F.col(key).alias("doc_id"), F.size(words(F.col(text))).cast("bigint").alias("size"), F.col(source).alias("source")
+        F.col(key).alias("doc_id"), F.size(words(F.col(text))).cast("bigint").alias("size"), F.col(source).alias("source"), *row
     ).withColumn("at", seeded(F.col("doc_id"), seed))
     summed = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -106,5 +109,12 @@ def mix(
     return (
         ordered.join(before, ["sid", "bucket"])
         .withColumn("times", F.when(F.col("size") > 0, times).otherwise(0).cast("bigint"))
-        .select("doc_id", "size", "source", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+        .select("doc_id", "size", "source", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), *(["row"] if carry else []))
     )
+
+
+def repeat(docs: DataFrame, **mixing) -> DataFrame:
+    """The documents with their own columns, each as many times as `mix` takes it."""
+    taken = mix(docs, carry=True, **mixing).where(F.col("times") > 0)
+    again = taken.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
+    return again.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
