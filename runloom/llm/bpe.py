@@ -189,14 +189,17 @@ class Kept(dict):
         super().__init__()
         self.make, self.size, self.old = make, size, {}
 
-    def __missing__(self, key: str):
+    def put(self, key: str, value) -> None:
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
+        self[key] = value
+
+    def __missing__(self, key: str):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        self.put(key, value)
         return value
 
 

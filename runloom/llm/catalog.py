@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runloom.session import park, shared_folder
 
-from . import bpe, html_text, mixing, nearest, ngram_join, quality_rules, sharding, url_filter, warc
+from . import bpe, html_text, mixing, nearest, ngram_join, quality_rules, sharding, token_files, url_filter, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -120,6 +120,13 @@ def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
     return full.select(*out).unionByName(warc.read(spark, path, out).where("record_type = 'revisit'"))
 
 
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/runloom/ids-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf, "documents"), path, vocabulary(), end=1)
+    return token_files.read(spark, path, ids=False)
+
+
 @query("op7_sharding")
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     dealt = sharding.shuffle(sharding.sized(table(spark, sf, "documents")), shards=16)
