@@ -79,7 +79,7 @@ SELECT d.doc_id, CAST(len(d.g) AS BIGINT) AS n_shingles, CASE WHEN len(d.g) = 0
 FROM grams d JOIN classes c ON list_sort(d.g) = c.g JOIN least l ON l.cid = c.cid
 """)
 def op2_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
-    return ngram_join.linked(table(spark, sf, "documents"), n=4, similarity=85).drop("same")
+    return ngram_join.linked(table(spark, sf, "documents"), n=4, similarity=85).drop("same", "root")
 
 
 @query("op3_nearest")

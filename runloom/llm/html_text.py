@@ -239,6 +239,9 @@ def plan(wrapper: list) -> dict:
 
 
 def template(node: list) -> set[int]:
+    """Hashes of the texts that stand on all pages; what only some pages have is never template."""
+    if node[1]:
+        return set()
     if node[0] == "#":
         return {node[3][3]} if node[3][3] is not None and node[3][0] >= TEMPLATE_PAGES else set()
     return {h for k in node[4] for h in template(k)}

@@ -15,9 +15,11 @@ set that is linked to another one shares an n-gram with it among its first
    and subtrees are left as soon as what remains in them and in the set can no longer
    give the needed overlap. That is done twice, with different smallest classes.
 3. What is linked so far is joined into components. For n-grams whose documents lie
-   in different components, pairs across components are checked exactly. So no link
-   between components is lost, and a large group of near copies, being one component,
-   makes no pairs at all.
+   in different components, pairs across components are compared by signatures: the
+   parity of the n-grams that fall on each of `SIGNATURE` places. Signatures differ in
+   at most as many places as sets differ in n-grams, so pairs that differ in more can be
+   left out; the others are checked exactly. So no link between components is lost, and
+   a large group of near copies, being one component, makes no pairs at all.
 
 Defined results: texts that are null or without words have an empty set, are linked
 with nothing, and are their own component; a text with fewer words than an n-gram has
@@ -48,6 +50,8 @@ MAX_BITS = 1 << 27
 FREQUENT = 16
 #: Classes in a chunk that one trie holds.
 CHUNK = 400
+#: Places of a signature.
+SIGNATURE = 1024
 
 
 def ngram_hashes(found: Column, n: int) -> Column:
@@ -101,9 +105,9 @@ def frequent(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ordered_sets(docs: DataFrame, text: str, key: str, n: int, similarity: int) -> DataFrame:
-    """`rid`, `doc_id`, `same` (equal for equal word sequences), `n`, and `tokens` in global order.
+    """`rid`, `doc_id`, `same` (equal for equal word sequences), `n`, `tokens` in global order, and `signature`.
 
-    `tokens` is null for documents that can not be linked to another text.
+    The last two are null for documents that can not be linked to another text.
     """
     found = words(ascii_lower(F.col(text)))
     base = docs.select(
@@ -128,22 +132,26 @@ def ordered_sets(docs: DataFrame, text: str, key: str, n: int, similarity: int)
         for batch in batches:
             lists = batch.column(2)
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            out = []
+            out, signs = [], []
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                 t, size = values[a:b], b - a
                 lack = size - (size * similarity + 99) // 100
                 length = min(size, lack + -(-lack // 2) + 1)
                 if not size or repeated_in(t[:length]) < length - lack:
                     out.append(None)
+                    signs.append(None)
                     continue
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, t), len(hot) - 1)
                     rank = np.where(hot[at] == t, hot_n[at], 0)
                     t = t[np.lexsort((t, rank))]
                 out.append(t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "same", "n", "tokens"])
+                odd = np.bincount((t >> 40) & (SIGNATURE - 1), minlength=SIGNATURE) & 1
+                signs.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out, longs), pa.array(signs, longs)], names=["doc_id", "same", "n", "tokens", "signature"])
 
-    made = base.select("doc_id", "same", "tokens", "n").mapInArrow(order, "doc_id bigint, same binary, n int, tokens array<bigint>")
+    made = base.select("doc_id", "same", "tokens", "n").mapInArrow(order, "doc_id bigint, same binary, n int, tokens array<bigint>, signature array<bigint>")
     return park(made.select(F.monotonically_increasing_id().alias("rid"), "*"), "sets")
 
 
@@ -264,14 +272,16 @@ def grouped_links(sets: DataFrame, labels: DataFrame, similarity: int, tasks: in
 
 
 def linked(docs: DataFrame, n: int = 5, similarity: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """`doc_id`, `same`, `n_shingles` and `component_id` of every document.
+    """`doc_id`, `same`, `root`, `n_shingles` and `component_id` of every document.
 
     Two documents are linked when 100 * intersection >= similarity * union of their
-    n-gram sets; `component_id` is the smallest id reachable over links.
+    n-gram sets; `component_id` is the smallest id reachable over links. `same` is
+    equal for equal word sequences and `root` for a component's rows, also where ids are
+    null or stand for several texts.
     """
     rows = ordered_sets(docs, text, key, n, similarity)
     picks = park(rows.groupBy("same").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("first"), F.max("n").alias("n")), "classes")
-    open_rows = rows.where(F.col("tokens").isNotNull()).select("rid", "n", "tokens")
+    open_rows = rows.where(F.col("tokens").isNotNull()).select("rid", "n", "tokens", "signature")
     sets = park(open_rows.join(picks.select(F.col("cid").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "cid"), "open")
     tasks = max(1, -(-sets.count() // CHUNK))
 
@@ -292,14 +302,19 @@ def linked(docs: DataFrame, n: int = 5, similarity: int = 80, text: str = "text"
     # n-grams that lie in several components: pairs across them
     placed = shared.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     crossing = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    sides = park(placed.join(crossing, "token").select("token", "cid", "n", "pos", "root"), "crossing")
-    left = sides.select(F.col("token"), *[F.col(c).alias(f"{c}_a") for c in ("cid", "n", "pos", "root")])
-    right = sides.select(F.col("token").alias("token_b"), *[F.col(c).alias(f"{c}_b") for c in ("cid", "n", "pos", "root")])
+    sides = placed.join(crossing, "token").join(sets.select("cid", "signature"), "cid")
+    own = ("cid", "n", "pos", "root", "signature")
+    sides = park(sides.select("token", *own), "crossing")
+    left = sides.select(F.col("token"), *[F.col(c).alias(f"{c}_a") for c in own])
+    right = sides.select(F.col("token").alias("token_b"), *[F.col(c).alias(f"{c}_b") for c in own])
+    apart = F.expr(" + ".join(f"bit_count(signature_a[{i}] ^ signature_b[{i}])" for i in range(SIGNATURE // 64)))
     bound = F.expr("1 + least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) - 1")
     near = (
         (F.col("token") == F.col("token_b")) & (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b"))
         & (100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
         & ((100 + similarity) * bound >= similarity * (F.col("n_a") + F.col("n_b")))
+        # overlap = (n_a + n_b - difference) / 2
+        & ((100 + similarity) * (F.col("n_a") + F.col("n_b") - apart) >= 2 * similarity * (F.col("n_a") + F.col("n_b")))
     )
     pairs = park(left.join(right, near).select("cid_a", "cid_b").distinct(), "pairs")
     a = sets.select(F.col("cid").alias("cid_a"), F.col("tokens").alias("tokens_a"))
@@ -314,9 +329,9 @@ def linked(docs: DataFrame, n: int = 5, similarity: int = 80, text: str = "text"
 
     whole = picks.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = whole.groupBy("root").agg(F.min("first").alias("component"))
-    named = park(whole.join(least, "root").select("same", "component"), "named")
+    named = park(whole.join(least, "root").select("same", "root", "component"), "named")
     return rows.join(named, "same").select(
-        "doc_id", "same", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
+        "doc_id", "same", "root", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
     )
 
 
@@ -324,7 +339,7 @@ def keep_one(docs: DataFrame, n: int = 5, similarity: int = 80, text: str = "tex
     """One document of each component, with the columns of `docs`: that with the smallest id."""
     found = linked(docs, n, similarity, text, key)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")).alias("k")
-    kept = found.where("n_shingles > 0").groupBy("component_id").agg(first).select("k.doc_id", "k.same").withColumnsRenamed({"doc_id": "__id", "same": "__same"})
+    kept = found.where("n_shingles > 0").groupBy("root").agg(first).select("k.doc_id", "k.same").withColumnsRenamed({"doc_id": "__id", "same": "__same"})
     same = F.unhex(F.md5(F.array_join(words(ascii_lower(F.col(text))), " ")))
     marked = docs.withColumn("__same", same)
     with_words = F.col("__same") != F.unhex(F.md5(F.lit("")))
