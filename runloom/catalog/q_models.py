@@ -12,7 +12,7 @@ from ..models.gaussian import GaussianModel
 from ..models.kernel import EPS
 from ..models.runs import segments
 from ..models.seeds import dominance, seed_means
-from ..models.semantics import feature_means, name_decoded, names_table
+from ..models.semantics import block_profiles, feature_means, name_decoded, names_table
 from ..operators.features import Scaler, block_weights, semantic_view
 from ..operators.profiles import with_row_signals
 from ..operators.selection import nth_largest
@@ -213,20 +213,12 @@ _PROFILE = """
 @query("h12_state_block_profile", with_cte(ROW_ANALYSIS_CTE + _PROFILE, """
 SELECT hidden_state, round(m, 6) AS maneuvering_score, round(k, 6) AS kfv_score, round(v, 6) AS vup_score,
   round(m / (m + k + v), 6) AS maneuvering_share, round(k / (m + k + v), 6) AS kfv_share, round(v / (m + k + v), 6) AS vup_share,
-  CASE WHEN m >= k AND m >= v THEN 'maneuvering' WHEN k >= v THEN 'kfv' ELSE 'vup' END AS dominant_block FROM sc2"""))
+  CASE WHEN m >= k AND m >= v THEN 'maneuvering' WHEN k >= v THEN 'kfv' ELSE 'vup' END AS dominant_block,
+  round((greatest(m, k, v) - (m + k + v - greatest(m, k, v) - least(m, k, v))) / (m + k + v), 6) AS margin FROM sc2"""))
 def state_block_profile(spark, sf):
-    means = feature_means(semantic_view(row_analysis(spark, sf)))
-    scores = {
-        block: sum((F.abs(F.col(c)) for c in cols), F.lit(0.0)) / len(cols) for block, cols in lx.BLOCK_FEATURES.items()
-    }
-    out = means.select("hidden_state", *[s.alias(f"{b}_score") for b, s in scores.items()])
-    total = sum((F.col(f"{b}_score") for b in scores), F.lit(0.0))
-    top = F.greatest(*[F.col(f"{b}_score") for b in scores])
-    dominant = F.when(F.col("maneuvering_score") == top, "maneuvering").when(F.col("kfv_score") == top, "kfv").otherwise("vup")
-    return out.select(
-        "hidden_state", *[F.round(f"{b}_score", 6).alias(f"{b}_score") for b in scores],
-        *[F.round(F.col(f"{b}_score") / total, 6).alias(f"{b}_share") for b in scores], dominant.alias("dominant_block"),
-    )
+    found = block_profiles(feature_means(semantic_view(row_analysis(spark, sf))))
+    rounded = [F.round(f"{b}_{part}", 6).alias(f"{b}_{part}") for part in ("score", "share") for b in lx.BLOCK_FEATURES]
+    return found.select("hidden_state", *rounded, "dominant_block", F.round("margin", 6).alias("margin"))
 
 
 @query("h13_state_names")

@@ -48,9 +48,7 @@ def tidy(df: DataFrame, row: str = "source_row_index", dictionary: HeaderDiction
     dictionary = dictionary or HeaderDictionary()
     sources = [c for c in df.columns if c != row]
     named = df.select(row, *[F.col(f"`{c}`").alias(n) for c, n in zip(sources, normal_columns(sources))])
-    mapping = dictionary.mapping(normal_columns(sources))
-    if blocks:
-        mapping = [(s, t, blocks.get(s, b), p) for s, t, b, p in mapping]
+    mapping = dictionary.mapping(normal_columns(sources), blocks)
     renamed = named.withColumnsRenamed({s: t for s, t, _, _ in mapping})
     facts = [t for _, t, _, _ in mapping if not t.startswith("metadata__sheet")]
     empty = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNull() for c in facts], F.lit(True))

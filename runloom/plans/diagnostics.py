@@ -172,7 +172,6 @@ def run_cells(cells: DataFrame, folder: str, settings: Settings = Settings(), de
     rows = read["rows"].drop("episode_order")
     if "source_sheet" in rows.columns:
         rows = rows.drop("source_sheet")
-    kinds = {c: "kfv" for c in rows.columns if c.startswith("kfv_")} | {
-        c: "outcomes" for c in rows.columns if c.startswith("outcome_action_")
-    }
+    parts = {"kfv_": "kfv", "maneuver_": "maneuvering"}
+    kinds = {c: block for c in rows.columns for start, block in parts.items() if c.startswith(start) and "_indicator_" in c}
     return run(park(rows, "rows"), folder, settings, rules, blocks=kinds)

@@ -9,7 +9,7 @@ from runloom.models import passes, regimes
 from runloom.models.discrete import DiscreteModel, class_number, normal_rows
 from runloom.models.gaussian import GaussianModel, bidiagonal
 from runloom.models.runs import segments
-from runloom.models.semantics import assignment_quality, name_states
+from runloom.models.semantics import assignment_quality, block_profiles, name_states
 from runloom.operators.features import Scaler
 from runloom.operators.ordered import Ordering
 from runloom.operators.selection import mean_of_top, nth_largest
@@ -122,16 +122,23 @@ def test_save_and_load(spark, model, tmp_path):
     assert np.array_equal(back.covs, g.covs) and back.scaler == g.scaler
 
 
-def test_naming_of_permuted_states():
+def profiles_of(spark, means):
+    columns = ["maneuver_right_code", "maneuver_left_code", "kfv_code", "vup_code"]
+    rows = [(state, *(row.get(c) for c in columns)) for state, row in means.items()]
+    table = spark.createDataFrame(rows, "hidden_state int, " + ", ".join(f"{c} double" for c in columns))
+    return [r.asDict() for r in block_profiles(table).collect()]
+
+
+def test_naming_of_permuted_states(spark):
     means = {
         0: {"maneuver_right_code": 0.1, "maneuver_left_code": 0.1, "kfv_code": 3.0, "vup_code": 0.1},
         1: {"maneuver_right_code": 0.1, "maneuver_left_code": 0.0, "kfv_code": 0.1, "vup_code": 3.0},
         2: {"maneuver_right_code": 3.0, "maneuver_left_code": 2.0, "kfv_code": 0.1, "vup_code": 0.1},
     }
-    found = name_states(means, 3)
+    found = name_states(profiles_of(spark, means), 3)
     assert found.order == [2, 0, 1] and found.names == {0: "S1", 1: "S2", 2: "S3"} and found.assigned == {"S1": 0, "S2": 1, "S3": 2}
     assert assignment_quality(found.assigned, found.confidence)[0] == "full"
-    weak = name_states({**means, 1: {"kfv_code": 0.01, "vup_code": 0.01}}, 3)
+    weak = name_states(profiles_of(spark, {**means, 1: {"kfv_code": 0.01, "vup_code": 0.01}}), 3)
     assert weak.names[2] == "state_1" and "S3" not in weak.assigned
     assert assignment_quality({"S1": 0}, {"S1": 0.2})[0] == "failed"
 
