@@ -185,7 +185,7 @@ def expected_counts(spark, sf):
 @query("h7_trained_parameters")
 def trained_parameters(spark, sf):
     seg = _segments(spark, sf, train=True, distinct=True)
-    model = MODEL.fit(seg, max_iter=10)
+    model = MODEL.fit(seg)
     seg.release()
     return params.discrete_table(spark, model, "trained")
 
@@ -306,24 +306,24 @@ def seeds(spark, sf):
     return table.withColumn("mean_duration", F.round("mean_duration", 4))
 
 
-def _gaussian_fit(spark, sf, max_iter):
+def _gaussian_fit(spark, sf):
     rows, scaler = _gaussian_input(spark, sf)
     means, _ = seed_means(rows, scaler, 3, "source_row_index")
     spread = np.array([(1.0 if s > 0 else 0.0) * w * w for s, w in zip(scaler.deviations, scaler.weights)]) + 0.01
     model = GaussianModel.initial(means, spread, "diag", "left_to_right", scaler=scaler)
     seg = segments(rows, athlete_order(spark, sf), scaler.vector(), vector=True)
-    return model.fit(seg, max_iter=max_iter), seg
+    return model.fit(seg), seg
 
 
 @query("h19_gaussian_parameters")
 def gaussian_parameters(spark, sf):
-    model, seg = _gaussian_fit(spark, sf, 6)
+    model, seg = _gaussian_fit(spark, sf)
     seg.release()
     return params.gaussian_table(spark, model, "gaussian")
 
 
 @query("h22_gaussian_decode")
 def gaussian_decode(spark, sf):
-    model, seg = _gaussian_fit(spark, sf, 3)
+    model, seg = _gaussian_fit(spark, sf)
     seg.release()
     return passes.decode(seg, model).select("source_row_index", "hidden_state", "confidence")

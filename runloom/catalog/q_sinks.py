@@ -61,7 +61,7 @@ def exported_audits(spark, sf):
 def saved_discrete(spark, sf):
     """A trained model, saved, loaded and used to decode."""
     seg = q_models._segments(spark, sf, distinct=True)
-    model = DiscreteModel.initial(3).fit(seg, max_iter=3)
+    model = DiscreteModel.initial(3).fit(seg)
     seg.release()
     path = scratch(spark, "model")
     params.save_model(spark, model, path, "saved")
@@ -71,7 +71,7 @@ def saved_discrete(spark, sf):
 
 @query("s16_saved_gaussian_model")
 def saved_gaussian(spark, sf):
-    model, seg = q_models._gaussian_fit(spark, sf, 2)
+    model, seg = q_models._gaussian_fit(spark, sf)
     seg.release()
     path = scratch(spark, "model")
     params.save_model(spark, model, path, "saved")
@@ -102,7 +102,7 @@ def run_manifest(spark, sf):
 @query("d13_diagnostic_cycle")
 def diagnostic_cycle(spark, sf):
     """Raw rows to a run summary, through training, decoding and all audits."""
-    settings = diagnostics.Settings(max_iter=5)
+    settings = diagnostics.Settings()
     return diagnostics.run(raw_rows(spark, sf), scratch(spark, "cycle"), settings).tables["run_summary"]
 
 

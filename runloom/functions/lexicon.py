@@ -13,11 +13,8 @@ BLANK_CELL = ["", "nan", "none"]
 
 # --- fixed values: yes / no words, one pair per kind of source ---------------
 FINISH_YES = ["да", "yes", "true", "истина", "y"]
-FINISH_NO = ["нет", "no", "false", "ложь", "n"]
 CELL_YES = ["да", "yes", "true", "истина", "1"]
-CELL_NO = ["нет", "no", "false", "0"]
 INDICATOR_YES = ["да", "yes", "true", "1"]
-INDICATOR_NO = ["нет", "no", "false", "0"]
 
 # --- fixed values: subtotal words, default sequence id -----------------------
 TOTAL_WORDS = ["итог", "сумма", "всего", "total", "summary"]
@@ -34,9 +31,6 @@ BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, rang
 OBSERVED_CLASSES = [
     "zap_r", "zap_n", "zap_t", "hold", "arm_submission", "leg_submission", "no_score", "unknown",
 ]
-RESOLUTION_TYPES = [
-    "direct_finish_signal", "inferred_from_score", "no_score_rule", "ambiguous", "unknown",
-]
 CONFIDENCE_LABELS = ["high", "medium", "low"]
 
 # --- fixed values: observation mapping ---------------------------------------
@@ -236,20 +230,20 @@ EMISSION_BUMPS = [
 # --- fixed values: matrix sheets -----------------------------------------------
 AXIS_HINTS = ["№ эпизода", "номер эпизода", "эпизод №", "episode id", "episode number"]
 NAME_WORDS = ["фио", "athlete", "fighter", "борца"]
-# kind of a row label: first line whose condition holds; "+" joins words that must all occur
+# kind of a row label: first line of which one list of words occurs, with all its words
 LABEL_KINDS = [
-    ("pause_duration", ["время+пауз"]),
-    ("episode_duration", ["время+эпизод", "длительность"]),
-    ("observed_result", ["балл", "очк", "результ", "score", "points"]),
-    ("maneuver_right_indicator", ["правосторон", "правой стойк", "стойка прав", "right"]),
-    ("maneuver_left_indicator", ["левосторон", "левой стойк", "стойка лев", "left"]),
-    ("kfv_bodylocks_indicator", ["обхват"]),
-    ("kfv_underhooks_indicator", ["прихват"]),
-    ("kfv_grips_indicator", ["захват"]),
-    ("kfv_posts_indicator", ["упор"]),
-    ("kfv_holds_indicator", ["хват"]),
-    ("vup_indicator", ["вуп", "выведен", "vup"]),
-    ("outcome_action_indicator", ["заверша", "атак", "прием", "finish", "outcome"]),
+    ("pause_duration", [["время", "пауз"]]),
+    ("episode_duration", [["время", "эпизод"], ["длительность"]]),
+    ("observed_result", [["балл"], ["очк"], ["результ"], ["score"], ["points"]]),
+    ("maneuver_right_indicator", [["правосторон"], ["правой стойк"], ["стойка прав"], ["right"]]),
+    ("maneuver_left_indicator", [["левосторон"], ["левой стойк"], ["стойка лев"], ["left"]]),
+    ("kfv_bodylocks_indicator", [["обхват"]]),
+    ("kfv_underhooks_indicator", [["прихват"]]),
+    ("kfv_grips_indicator", [["захват"]]),
+    ("kfv_posts_indicator", [["упор"]]),
+    ("kfv_holds_indicator", [["хват"]]),
+    ("vup_indicator", [["вуп"], ["выведен"], ["vup"]]),
+    ("outcome_action_indicator", [["заверша"], ["атак"], ["прием"], ["finish"], ["outcome"]]),
 ]
 NUMERIC_KINDS = ["episode_duration", "pause_duration", "observed_result"]
 

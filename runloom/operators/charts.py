@@ -29,7 +29,7 @@ def top_athletes(df: DataFrame, n: int = 10) -> DataFrame:
 
 def keep_top_athletes(df: DataFrame, n: int = 10) -> DataFrame:
     """Rows of the n athletes with most rows. The kept list has n rows."""
-    return df.join(F.broadcast(top_athletes(df, n)), "athlete_name", "left_semi")
+    return df.join(top_athletes(df, n), "athlete_name", "left_semi")
 
 
 def athlete_comparison(df: DataFrame, states: list[int], n: int = 10, result: str = "observed_result") -> DataFrame:

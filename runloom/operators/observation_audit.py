@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import coerce
@@ -73,14 +73,14 @@ def score_values(df: DataFrame, rules: ObservationRules, score_column: str) -> D
     counts = df.select(rounded.alias("score_rounded")).where(F.col("score_rounded").isNotNull()).groupBy("score_rounded").agg(
         F.count(F.lit(1)).alias("rows")
     )
-    return counts.withColumn("share", F.col("rows") / F.sum("rows").over(Window.partitionBy(F.lit(1)))).withColumn(
+    return counts.withColumn("share", F.col("rows") / counts.agg(F.sum("rows")).scalar()).withColumn(
         "supported", F.col("score_rounded").isin(0, *rules.score_classes)
     )
 
 
 def resolution_shares(df: DataFrame) -> DataFrame:
     counts = df.groupBy("observation_resolution_type").agg(F.count(F.lit(1)).alias("rows"))
-    return counts.withColumn("share", F.col("rows") / F.sum("rows").over(Window.partitionBy(F.lit(1))))
+    return counts.withColumn("share", F.col("rows") / df.agg(F.count(F.lit(1))).scalar())
 
 
 def audit(df: DataFrame, rules: ObservationRules | None = None, names: list[str] | None = None) -> dict[str, DataFrame]:

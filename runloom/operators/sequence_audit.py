@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import coerce
@@ -36,7 +36,7 @@ def sequence_table(df: DataFrame) -> DataFrame:
 
 def length_distribution(table: DataFrame) -> DataFrame:
     counts = table.groupBy("sequence_length").agg(F.count(F.lit(1)).alias("sequence_count"))
-    return counts.withColumn("share_of_sequences", F.col("sequence_count") / F.sum("sequence_count").over(Window.partitionBy(F.lit(1))))
+    return counts.withColumn("share_of_sequences", F.col("sequence_count") / table.agg(F.count(F.lit(1))).scalar())
 
 
 def length_stats(table: DataFrame) -> DataFrame:
@@ -78,7 +78,9 @@ def by_length(found: DataFrame) -> DataFrame:
     return found.orderBy(F.desc("sequence_length"), "sequence_id")
 
 
-def audit(df: DataFrame, context_sources: dict[str, str | None] | None = None, explicit_source: str | None = None) -> dict[str, DataFrame]:
+def audit(df: DataFrame, context_sources: dict[str, str | None] | None = None, explicit_source: str | None = None,
+          preview_ids: int = 30) -> dict[str, DataFrame]:
+    """Tables of the audit. The summary shows the first `preview_ids` possible multi-bout ids; their table has all."""
     table = park(sequence_table(df), "sequences")  # one row per sequence, read by every part below
     stats = length_stats(table)
     found = suspicious(table, stats)
@@ -90,7 +92,7 @@ def audit(df: DataFrame, context_sources: dict[str, str | None] | None = None, e
         F.count(F.when(F.array_contains("suspicion_reasons", LONG), 1)).alias("suspicious_long_sequences"),
         F.count(F.when(F.array_contains("suspicion_reasons", "flat_observed_and_hidden"), 1)).alias("suspicious_flat_sequences"),
     )
-    preview = by_length(multi_bout(found)).limit(30).agg(F.collect_list("sequence_id").alias("potential_multi_bout_ids"))
+    preview = by_length(multi_bout(found)).limit(preview_ids).agg(F.collect_list("sequence_id").alias("potential_multi_bout_ids"))
     rows = df.agg(F.count(F.lit(1)).alias("rows_total"))
     limit = stats.select(F.greatest(F.lit(25), F.ceil("p95")).alias("long_sequence_threshold"))
     summary = beside(stats, rows, shares, limit, counted, preview).withColumns({
@@ -108,6 +110,7 @@ def audit(df: DataFrame, context_sources: dict[str, str | None] | None = None, e
         "summary": summary,
         "length_distribution": length_distribution(table),
         "suspicious_sequences": by_length(found),
+        "potential_multi_bout_sequences": by_length(multi_bout(found)),
         "surrogate_reasons": reason_counts(df.where(F.col("sequence_resolution_type") == "surrogate"), "sequence_quality_reason"),
         "fallback_reasons": reason_counts(df.where(F.col("sequence_resolution_type") == "fallback"), "sequence_quality_reason"),
     }

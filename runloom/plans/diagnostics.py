@@ -161,7 +161,7 @@ def run(rows: DataFrame, folder: str, settings: Settings = Settings(), rules: Ob
         manifest.append_status(spark, runs, run_id, "completed", parameters, counts)
         return out
     except Exception as error:
-        manifest.append_status(spark, runs, run_id, "failed", parameters, error=f"{type(error).__name__}: {error}"[:2000])
+        manifest.append_status(spark, runs, run_id, "failed", parameters, error=f"{type(error).__name__}: {error}")
         raise
 
 

@@ -36,8 +36,7 @@ def select_sheets(cells: DataFrame, sheets: str | list[str] | None = None) -> Da
     chosen = cells.where(F.col("sheet").isin(wanted))
     unknown = [r["sheet"] for r in asked.join(chosen.select("sheet").distinct(), "sheet", "left_anti").collect()]
     if unknown:
-        known = [r["sheet"] for r in cells.select("sheet").distinct().orderBy("sheet").limit(50).collect()]
-        raise ValueError(f"no such sheet: {sorted(unknown)}; sheets are {known}")
+        raise ValueError(f"no such sheet: {sorted(unknown)}; {cells.select('sheet').distinct().count()} sheets are there")
     return chosen
 
 
@@ -57,7 +56,7 @@ def label_kind(label: Column) -> Column:
         hit = F.lit(False)
         for phrase in phrases:
             words = F.lit(True)
-            for word in phrase.split("+"):
+            for word in phrase:
                 words = words & text.contains(word)
             hit = hit | words
         out = out.when(hit, F.lit(kind))
@@ -257,12 +256,24 @@ def athlete_names(cells: DataFrame, axis: DataFrame) -> DataFrame:
 
 # --- all sheets together --------------------------------------------------------------------
 
+def running_offsets(sizes: DataFrame, sheet: str) -> DataFrame:
+    """(sheet, _offset): rows in all sheets before it by name.
+
+    Sheets are dealt out by ranges of their names; sums inside a range are shifted
+    by the sums of the ranges before, of which there are as many as partitions.
+    """
+    ranged = park(sizes.repartitionByRange(sheet).withColumn("_range", F.spark_partition_id()), "sheet-sizes")
+    ahead = Window.rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(F.sum("_n").alias("_total"))
+    shifts = totals.select("_range", F.coalesce(F.sum("_total").over(ahead.orderBy("_range")), F.lit(0)).alias("_shift"))
+    inside = F.coalesce(F.sum("_n").over(ahead.partitionBy("_range").orderBy(sheet)), F.lit(0))
+    return ranged.withColumn("_inside", inside).join(shifts, "_range").select(sheet, (F.col("_inside") + F.col("_shift")).alias("_offset"))
+
+
 def number_rows(rows: DataFrame, sheet: str, place: str, row: str = "source_row_index") -> DataFrame:
     """0-based row number over all sheets: sheets by name, rows by place."""
     placed = with_place(rows, Ordering((sheet,), place).inspect(rows), "_nth")
-    sizes = rows.groupBy(sheet).agg(F.count(F.lit(1)).alias("_n"))  # one row per sheet
-    before = F.sum("_n").over(Window.orderBy(sheet).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(sheet, F.coalesce(before, F.lit(0)).alias("_offset"))
+    offsets = running_offsets(rows.groupBy(sheet).agg(F.count(F.lit(1)).alias("_n")), sheet)
     return placed.join(offsets, sheet).withColumn(row, F.col("_offset") + F.col("_nth") - 1).drop("_nth", "_offset", place)
 
 
@@ -279,8 +290,9 @@ def read_sheets(cells: DataFrame, depth: int = 2, mode: str = "auto", sheets: st
     transposed = park(matrix_sheets(chosen), "matrix-sheets") if mode != "table" else None
     if mode == "matrix":
         plain = chosen.select("sheet").distinct().join(transposed, "sheet", "left_anti")
-        if not plain.isEmpty():
-            raise ValueError(f"not a matrix sheet: {[r['sheet'] for r in plain.limit(20).collect()]}")
+        wrong = plain.agg(F.count(F.lit(1)).alias("n"), F.min("sheet").alias("first")).first()
+        if wrong["n"]:
+            raise ValueError(f"not a matrix sheet: {wrong['first']!r}, the first of {wrong['n']} such sheets")
     parts, out = [], {}
     tables = chosen if transposed is None else chosen.join(transposed, "sheet", "left_anti")
     matrices = None if transposed is None else chosen.join(transposed, "sheet", "left_semi")
