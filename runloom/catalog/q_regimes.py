@@ -199,7 +199,7 @@ def regime_states(spark, sf):
 
 @query("h26_model_choice")
 def model_choice(spark, sf):
-    grid = regimes.fit_grid(_table(spark, sf), [2, 3, 4])
+    grid = regimes.fit_grid(_table(spark, sf), list(range(2, 9)))
     return regimes.choose_states(regimes.with_criteria(grid), "series_id")
 
 
@@ -210,4 +210,4 @@ def temporal_validation(spark, sf):
 
 @query("h28_multi_start")
 def multi_start(spark, sf):
-    return regimes.stability(regimes.fit_grid(_table(spark, sf), [3], list(range(5)), "spherical", 100), "series_id", "n_states")
+    return regimes.stability(regimes.fit_grid(_table(spark, sf), [3], list(range(20)), "spherical", 100), "series_id", "n_states")

@@ -8,6 +8,7 @@ paths give the same model.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -37,25 +38,49 @@ def parameter_count(n: int, d: int, rule: str, covariance: str = "full") -> int:
 
 # --- small numpy parts that run per series ------------------------------------------
 
+ROUNDS = 5
+
+
+def first_bins(d: int, n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A seeded direction, and where along it (in deviations) n bins end and have their middle."""
+    way = np.random.default_rng(seed).normal(size=d)
+    z = np.array([NormalDist().inv_cdf((i + 1) / (2 * n)) for i in range(2 * n - 1)])
+    return way / np.linalg.norm(way), z[1::2], z[0::2]
+
+
 def first_means(x: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """k-means centres: spread-out starts, then a few refinement rounds."""
-    rng = np.random.default_rng(seed)
-    centres = [x[rng.integers(len(x))]]
-    for _ in range(1, n):
-        away = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
-        centres.append(x[rng.choice(len(x), p=away / away.sum())] if away.sum() > 0 else x[rng.integers(len(x))])
-    centres = np.array(centres)
-    for _ in range(25):
-        near = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-        moved = np.array([x[near == k].mean(axis=0) if (near == k).any() else centres[k] for k in range(n)])
-        if np.allclose(moved, centres):
-            break
-        centres = moved
+    """Means of bins along a seeded direction, then a few rounds of k-means; all rows take part."""
+    way, ends, middles = first_bins(x.shape[1], n, seed)
+    score = x @ way
+    centres = x.mean(axis=0) + np.outer(middles * score.std(), way)
+    bins = np.searchsorted(score.mean() + score.std() * ends, score, side="right")
+    for turn in range(ROUNDS + 1):
+        if turn:
+            bins = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.array([x[bins == k].mean(axis=0) if (bins == k).any() else centres[k] for k in range(n)])
+    return centres
+
+
+def first_means_of_table(rows: DataFrame, features: list[str], n: int, seed: int) -> np.ndarray:
+    """`first_means` of a table too long for one task: one small aggregate per round."""
+    way, ends, middles = first_bins(len(features), n, seed)
+    score = sum((F.col(c) * float(w) for c, w in zip(features, way)), F.lit(0.0))
+    base = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)], F.avg(score).alias("m"), F.stddev_pop(score).alias("s")).first()
+    centres = np.array([base[f"m{i}"] for i in range(len(features))]) + np.outer(middles * base["s"], way)
+    bins = sum((F.when(score >= float(base["m"] + base["s"] * e), 1).otherwise(0) for e in ends), F.lit(0))
+    for turn in range(ROUNDS + 1):
+        if turn:
+            away = [sum(((F.col(c) - float(v)) ** 2 for c, v in zip(features, centre)), F.lit(0.0)) for centre in centres]
+            bins = F.array_min(F.array(*[F.struct(a.alias("d"), F.lit(k).alias("k")) for k, a in enumerate(away)]))["k"]
+        found = rows.groupBy(bins.alias("k")).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)]).collect()  # n rows
+        for r in found:
+            centres[r["k"]] = [r[f"m{i}"] for i in range(len(features))]
     return centres
 
 
-def start_model(x: np.ndarray, n: int, covariance: str, seed: int) -> GaussianModel:
-    model = GaussianModel.initial(first_means(x, n, seed), np.maximum(x.var(axis=0), 1e-3), covariance)
+def start_model(means: np.ndarray, variances: np.ndarray, covariance: str) -> GaussianModel:
+    n = len(means)
+    model = GaussianModel.initial(means, np.maximum(variances, 1e-3), covariance)
     stay = 0.7 if n > 1 else 1.0
     trans = np.full((n, n), (1.0 - stay) / max(1, n - 1))
     np.fill_diagonal(trans, stay)
@@ -87,7 +112,7 @@ def fit_series(x: np.ndarray, n: int, covariance: str, seed: int, max_iter: int,
     """Fit, with `diag` as second try when `full` breaks down."""
     for kind in dict.fromkeys((covariance, "diag")):
         try:
-            model, ll = local_fit(x, start_model(x, n, kind, seed), max_iter, tol)
+            model, ll = local_fit(x, start_model(first_means(x, n, seed), x.var(axis=0), kind), max_iter, tol)
             if np.isfinite(ll):
                 return model, ll
         except np.linalg.LinAlgError:
@@ -136,16 +161,17 @@ class SeriesTable:
 
 
 def _long_fit(table: SeriesTable, rows: DataFrame, key, n: int, covariance: str, seed: int, max_iter: int, tol: float):
-    """Distributed EM for one long series. Starts from the means of a sample; all rows are trained on."""
+    """Distributed EM for one long series, from the same start as in a task."""
     one = table.one(rows, key)
     order = Ordering((table.key,), table.order).inspect(one)
     x = F.array(*table.features)
     seg = segments(one.withColumn("_run", F.lit("one")), order, x, "_run", vector=True)
-    total = one.count()
-    sample = one.sample(min(1.0, 20_000 / max(1, total)), seed=seed).select(*table.features).limit(40_000).toPandas()
+    base = one.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(c).alias(c) for c in table.features]).first()
+    total, means = base["n"], first_means_of_table(one, table.features, n, seed)
+    variances = np.array([base[c] for c in table.features])
     for kind in dict.fromkeys((covariance, "diag")):
         try:
-            model = start_model(sample.to_numpy(), n, kind, seed).fit(seg, max_iter, tol)
+            model = start_model(means, variances, kind).fit(seg, max_iter, tol)
             return model, model.training.log_likelihood, seg, total
         except Exception as error:  # a singular covariance surfaces as a failed Spark task
             if kind == "diag" or "LinAlgError" not in str(error):
@@ -153,17 +179,17 @@ def _long_fit(table: SeriesTable, rows: DataFrame, key, n: int, covariance: str,
     raise AssertionError("unreachable")
 
 
-GRID_SCHEMA = "n_states int, seed int, covariance string, log_likelihood double, n_rows bigint, n_params_full_square int, n_params_free int, n_params_spherical int"
+GRID_SCHEMA = "n_states int, seed int, covariance string, log_likelihood double, n_rows bigint, n_params_full_square int, n_params_free int, n_params_spherical int, status string"
 
 
 def _grid_row(key, n, seed, covariance, ll, rows, d):
     counts = [parameter_count(n, d, rule, covariance) for rule in PARAMETER_COUNTS]
-    return (key, n, seed, covariance, ll, rows, *counts)
+    return (key, n, seed, covariance, ll, rows, *counts, "failed" if ll is None else "fitted")
 
 
 def fit_grid(table: SeriesTable, states: list[int], seeds: list[int] = (42,), covariance: str = "full", max_iter: int = 200,
              tol: float = 1e-4) -> DataFrame:
-    """Log-likelihood of every (series, state count, seed); failed fits are left out."""
+    """Log-likelihood of every (series, state count, seed); a failed fit has none, and says so in `status`."""
     rows, d, names = table.scaled(), len(table.features), list(table.features)
     key, order = table.key, table.order
     schema = f"`{key}` {table.key_type}, {GRID_SCHEMA}"
@@ -172,9 +198,9 @@ def fit_grid(table: SeriesTable, states: list[int], seeds: list[int] = (42,), co
         x = pdf.sort_values(order)[names].to_numpy(float)
         n, seed = int(pdf["_n"].iloc[0]), int(pdf["_seed"].iloc[0])
         model, ll = fit_series(x, n, covariance, seed, max_iter, tol)
-        kept = [] if model is None else [_grid_row(pdf[key].iloc[0], n, seed, model.covariance, ll, len(x), d)]
-        return pd.DataFrame(kept, columns=[key, "n_states", "seed", "covariance", "log_likelihood", "n_rows",
-                                           *[f"n_params_{r}" for r in PARAMETER_COUNTS]])
+        tried = (model.covariance, ll) if model else ("diag", None)
+        return pd.DataFrame([_grid_row(pdf[key].iloc[0], n, seed, *tried, len(x), d)], columns=[
+            key, "n_states", "seed", "covariance", "log_likelihood", "n_rows", *[f"n_params_{r}" for r in PARAMETER_COUNTS], "status"])
 
     cells = F.array(*[F.struct(F.lit(n).alias("_n"), F.lit(s).alias("_seed")) for n in states for s in seeds])
     spread = table.short(rows).withColumn("_c", F.explode(cells)).select("*", "_c._n", "_c._seed").drop("_c")
@@ -200,8 +226,9 @@ def with_criteria(grid: DataFrame, rule: str = "full_square") -> DataFrame:
 
 
 def choose_states(criteria: DataFrame, key: str) -> DataFrame:
-    """State count with the lowest BIC per series; fewer states win a tie."""
-    return criteria.groupBy(key).agg(F.min_by("n_states", F.struct("bic", "n_states")).alias("n_states"), F.min("bic").alias("bic"))
+    """State count with the lowest BIC per series; fewer states win a tie. Null where every fit failed."""
+    order = F.when(F.col("bic").isNotNull(), F.struct("bic", "n_states"))
+    return criteria.groupBy(key).agg(F.min_by("n_states", order).alias("n_states"), F.min("bic").alias("bic"))
 
 
 def bic_elbow(criteria: DataFrame, key: str) -> DataFrame:
@@ -230,7 +257,7 @@ def stability(grid: DataFrame, *keys: str) -> DataFrame:
 def best_runs(grid: DataFrame, *keys: str) -> DataFrame:
     """The seed with the highest log-likelihood; the lowest seed wins a tie."""
     return grid.groupBy(*keys).agg(
-        F.max_by("seed", F.struct("log_likelihood", -F.col("seed"))).alias("seed"), F.max("log_likelihood").alias("log_likelihood")
+        F.max_by("seed", F.when(F.col("log_likelihood").isNotNull(), F.struct("log_likelihood", -F.col("seed")))).alias("seed"), F.max("log_likelihood").alias("log_likelihood")
     )
 
 
@@ -245,8 +272,8 @@ def decode_series(table: SeriesTable, n: int, covariance: str = "full", seed: in
         pdf = pdf.sort_values(order)
         x = pdf[names].to_numpy(float)
         model, _ = fit_series(x, n, covariance, seed, max_iter, tol)
-        if model is None:
-            return pd.DataFrame(columns=[key, order, "hidden_state", *posteriors])
+        if model is None:  # the rows stay, without a state
+            return pdf[[key, order]].assign(hidden_state=None, **dict.fromkeys(posteriors))
         _, gamma = local_counts(x, model)
         cut = kernel.Slice(np.array([0]), np.array([len(x)]))
         none = np.array([-1])
@@ -285,7 +312,7 @@ def temporal_validation(table: SeriesTable, n: int, ratio: float = 0.8, covarian
         head = int(len(x) * ratio)
         first, train = fit_series(x[:head], n, covariance, seed, max_iter, tol)
         full, _ = fit_series(x, n, covariance, seed, max_iter, tol)
-        kept = []
+        kept = [(pdf[key].iloc[0], *[None] * 5)]  # a series stays also where a fit fails
         if first is not None and full is not None:
             tail = [float(local_counts(x[head:], m)[0][0]) for m in (first, full)]
             kept = [row(pdf[key].iloc[0], train, *tail)]

@@ -172,6 +172,12 @@ def run_cells(cells: DataFrame, folder: str, settings: Settings = Settings(), de
     rows = read["rows"].drop("episode_order")
     if "source_sheet" in rows.columns:
         rows = rows.drop("source_sheet")
+    if "matrix_rows" in read:
+        sinks.write_tables({name: read[name] for name in ("matrix_rows", "label_mapping")}, f"{folder}/preprocessing")
+    return run(park(rows, "rows"), folder, settings, rules, blocks=blocks_of(rows.columns))
+
+
+def blocks_of(columns: list[str]) -> dict[str, str]:
+    """Blocks that a matrix sheet's own column kinds tell."""
     parts = {"kfv_": "kfv", "maneuver_": "maneuvering"}
-    kinds = {c: block for c in rows.columns for start, block in parts.items() if c.startswith(start) and "_indicator_" in c}
-    return run(park(rows, "rows"), folder, settings, rules, blocks=kinds)
+    return {c: block for c in columns for start, block in parts.items() if c.startswith(start) and "_indicator_" in c}

@@ -68,6 +68,22 @@ def test_matrix_sheet(spark):
     assert "unknown_indicator_01" not in kinds and "kfv_holds_indicator_01" in kinds and "outcome_action_indicator_01" in kinds
 
 
+def test_contact_parts_of_a_matrix_sheet(spark):
+    """Columns keep their part, so the codes of that part are not zero; the export has rows and labels."""
+    from runloom.operators.features import FeaturePlan
+    from runloom.operators.tidy import tidy
+    from runloom.plans.diagnostics import blocks_of
+
+    read = cs.read_sheets(grid(spark, {"m": MATRIX}), 2)
+    rows = read["rows"].drop("episode_order", "source_sheet")
+    found = tidy(rows, blocks=blocks_of(rows.columns))
+    plan = FeaturePlan.from_names([t for _, t, _, _ in found.mapping])
+    assert plan.inputs["grips_code"] == ["kfv__grips_indicator_01", "kfv__grips_indicator_02"]
+    assert plan.inputs["underhooks_code"] == ["kfv__underhooks_indicator_01"] and plan.inputs["holds_code"] == ["kfv__holds_indicator_01"]
+    assert plan.inputs["maneuver_right_code"] == ["maneuvering__maneuver_right_indicator_01"]
+    assert found.rows.agg(F.sum("kfv__grips_indicator_02")).first()[0] == 1
+
+
 def test_both_kinds_in_one_table(spark):
     read = cs.read_sheets(grid(spark, {"m": MATRIX, "t": TABLE}), 2)
     rows = read["rows"].orderBy("source_row_index").collect()
