@@ -21,7 +21,7 @@ PRECISION = 18
 #: Blocks that advance together; more are done in turns.
 LANES = 2048
 #: Slots of the order-1 and order-2 tables of a block.
-SLOTS1, SLOTS2 = 2048, 4096
+SLOTS1, SLOTS2 = 1024, 2048
 #: Chances are in parts of 2^CHANCE and move by 1/2^RATE of the way to what happened.
 CHANCE, RATE = 12, 5
 
@@ -49,8 +49,8 @@ class State:
 
     def __init__(self, lanes: int):
         #: A slot holds 4 * symbol + confidence; -4: nothing yet.
-        self.slots1 = np.full(lanes * SLOTS1, -4, np.int64)
-        self.slots2 = np.full(lanes * SLOTS2, -4, np.int64)
+        self.slots1 = np.full(lanes * SLOTS1, -4, np.int32)
+        self.slots2 = np.full(lanes * SLOTS2, -4, np.int32)
         self.chance2 = np.full(lanes * 32, 1 << (CHANCE - 2), np.int64)
         self.chance1 = np.full(lanes * 32, 1 << (CHANCE - 2), np.int64)
         self.base1, self.base2 = np.arange(lanes) * SLOTS1, np.arange(lanes) * SLOTS2
@@ -115,11 +115,17 @@ class State:
 def encode(blocks: list[np.ndarray], shares: Shares) -> list[bytes]:
     """Bytes of each block of symbols."""
     out: list[bytes] = []
-    for at in range(0, len(blocks), LANES):
-        out += _encode(blocks[at : at + LANES], shares)
+    lanes = turns(len(blocks))
+    for at in range(0, len(blocks), lanes):
+        out += _encode(blocks[at : at + lanes], shares)
     return out
 
 
+def turns(blocks: int) -> int:
+    """Blocks in a turn, about the same in each."""
+    return -(-blocks // max(1, -(-blocks // LANES))) or 1
+
+
 def _encode(blocks: list[np.ndarray], shares: Shares) -> list[bytes]:
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     lanes, steps = len(blocks), max(map(len, blocks), default=0)
@@ -158,8 +164,9 @@ def _encode(blocks: list[np.ndarray], shares: Shares) -> list[bytes]:
 def decode(coded: list[bytes], sizes: list[int], shares: Shares) -> list[np.ndarray]:
     """Symbols of each block."""
     out: list[np.ndarray] = []
-    for at in range(0, len(coded), LANES):
-        out += _decode(coded[at : at + LANES], sizes[at : at + LANES], shares)
+    lanes = turns(len(coded))
+    for at in range(0, len(coded), lanes):
+        out += _decode(coded[at : at + lanes], sizes[at : at + lanes], shares)
     return out
 
 
