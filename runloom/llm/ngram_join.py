@@ -15,7 +15,8 @@ set that is linked to another one shares an n-gram with it among its first
    and subtrees are left as soon as what remains in them and in the set can no longer
    give the needed overlap. That is done twice, with different smallest classes.
 3. What is linked so far is joined into components. For n-grams whose documents lie
-   in different components, pairs across components are compared by signatures: the
+   in different components (one n-gram of those that the same documents share stands
+   for the others), pairs across components are compared by signatures: the
    parity of the n-grams that fall on each of `SIGNATURE` places. Signatures differ in
    at most as many places as sets differ in n-grams, so pairs that differ in more can be
    left out; the others are checked exactly. So no link between components is lost, and
@@ -51,7 +52,7 @@ FREQUENT = 16
 #: Classes in a chunk that one trie holds.
 CHUNK = 400
 #: Places of a signature.
-SIGNATURE = 1024
+SIGNATURE = 2048
 
 
 def ngram_hashes(found: Column, n: int) -> Column:
@@ -250,13 +251,18 @@ def chunk_links(ids: np.ndarray, sets: list[np.ndarray], similarity: int) -> lis
 
 
 def grouped_links(sets: DataFrame, labels: DataFrame, similarity: int, tasks: int) -> DataFrame:
-    """Edges `a`, `b` found by tries in the chunks of each label's classes."""
-    sized = labels.groupBy("label").agg(F.ceil((F.count(F.lit(1)) + 1) / CHUNK).cast("int").alias("chunks"))
-    placed = labels.join(sized, "label").select("cid", "label", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("chunks")).cast("int").alias("chunk"))
-    heads = sized.select(F.col("label").alias("cid"), "label", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    """Edges `a`, `b` found by tries in the chunks of each group's classes.
+
+    `labels` has `cid`, `kind` and `head`: a class is in one group for each kind, and
+    the head is in all chunks of its group.
+    """
+    group = ["kind", "head"]
+    sized = labels.groupBy(*group).agg(F.ceil((F.count(F.lit(1)) + 1) / CHUNK).cast("int").alias("chunks"))
+    placed = labels.join(sized, group).select("cid", *group, F.pmod(F.xxhash64("cid", F.lit(5)), F.col("chunks")).cast("int").alias("chunk"))
+    heads = sized.select(F.col("head").alias("cid"), *group, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     placed = placed.union(heads).distinct()
-    task = F.pmod(F.xxhash64("label", "chunk"), F.lit(tasks)).cast("int").alias("task")
-    rows = sets.join(placed, "cid").select("cid", "tokens", "label", "chunk", task)
+    task = F.pmod(F.xxhash64(*group, "chunk"), F.lit(tasks)).cast("int").alias("task")
+    rows = sets.join(placed, "cid").select("cid", "tokens", F.xxhash64(*group).alias("label"), "chunk", task)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("label", "ascending"), ("chunk", "ascending"), ("cid", "ascending")])
@@ -280,9 +286,13 @@ def linked(docs: DataFrame, n: int = 5, similarity: int = 80, text: str = "text"
     null or stand for several texts.
     """
     rows = ordered_sets(docs, text, key, n, similarity)
-    picks = park(rows.groupBy("same").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("first"), F.max("n").alias("n")), "classes")
-    open_rows = rows.where(F.col("tokens").isNotNull()).select("rid", "n", "tokens", "signature")
-    sets = park(open_rows.join(picks.select(F.col("cid").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "cid"), "open")
+    picks = park(rows.groupBy("same").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
+    open_rows = rows.where(F.col("tokens").isNotNull())
+    # copies are taken out rather than first ones picked: of the two the smaller table
+    several = picks.where("copies > 1").select(F.col("same").alias("same_"), "cid")
+    copies = open_rows.select("rid", "same").join(several, F.col("same") == F.col("same_")).where("rid <> cid").select("rid")
+    sets = open_rows.select("rid", "n", "tokens", "signature").join(park(copies, "copies"), "rid", "left_anti")
+    sets = park(sets.withColumnRenamed("rid", "cid"), "open")
     tasks = max(1, -(-sets.count() // CHUNK))
 
     # n-grams in the fronts that several classes share, with the smallest class of two orders
@@ -292,23 +302,26 @@ def linked(docs: DataFrame, n: int = 5, similarity: int = 80, text: str = "text"
     ).where("df > 1")
     shared = park(fronts.join(meets, "token"), "fronts")
     every = park(shared.groupBy("cid").agg(F.min("head").alias("head"), F.min(F.struct(F.xxhash64("other"), F.col("other")))["other"].alias("other")), "heads")
-    edges = park(
-        grouped_links(sets, every.select("cid", F.col("head").alias("label")), similarity, tasks)
-        .union(grouped_links(sets, every.where("head <> other").select("cid", F.col("other").alias("label")), similarity, tasks)),
-        "links",
-    )
+    both = every.select("cid", F.lit(0).alias("kind"), "head").union(every.where("head <> other").select("cid", F.lit(1), "other"))
+    edges = park(grouped_links(sets, both, similarity, 2 * tasks), "links")
     roots = components(edges)
 
     # n-grams that lie in several components: pairs across them
     placed = shared.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    crossing = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    of_token = placed.groupBy("token").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("df"), F.bit_xor(F.xxhash64("cid")).alias("who"),
+        F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("who2"), F.min(F.struct("cid", "pos"))["pos"].alias("pos"),
+    ).where("low < high")
+    # n-grams of one passage have the same classes: the first in global order stands for all
+    crossing = of_token.groupBy("df", "who", "who2").agg(F.min_by("token", "pos").alias("token")).select("token")
     sides = placed.join(crossing, "token").join(sets.select("cid", "signature"), "cid")
     own = ("cid", "n", "pos", "root", "signature")
     sides = park(sides.select("token", *own), "crossing")
     left = sides.select(F.col("token"), *[F.col(c).alias(f"{c}_a") for c in own])
     right = sides.select(F.col("token").alias("token_b"), *[F.col(c).alias(f"{c}_b") for c in own])
     apart = F.expr(" + ".join(f"bit_count(signature_a[{i}] ^ signature_b[{i}])" for i in range(SIGNATURE // 64)))
-    bound = F.expr("1 + least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) - 1")
+    # at the first n-gram that a pair shares, the overlap can not exceed what follows it
+    bound = F.expr("least(n_a - pos_a, n_b - pos_b)")
     near = (
         (F.col("token") == F.col("token_b")) & (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b"))
         & (100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
