@@ -7,7 +7,7 @@ set that is linked to another one shares an n-gram with it among its first
 1. The n-grams in a somewhat longer front of each set are counted over all
    documents. Those that occur twice go into a Bloom filter and the most frequent into
    a table, both of bounded size. A document with too few repeated n-grams in its
-   front to be linked with anything is done; exact copies are one class.
+   front to be linked with a set of any size is done; exact copies are one class.
 2. Classes that share front n-grams form groups (by the smallest class that they
    meet), which are cut into chunks of bounded size, each with the group's smallest
    class. A chunk's ordered sets are stored in a trie with shared paths, and every
@@ -34,6 +34,7 @@ N-grams are compared by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,26 @@ def front(n: Column, similarity: int) -> Column:
     return F.least(n, m + F.ceil(m / 2).cast("int") + 1)
 
 
+@cache
+def front_and_demand(size: int, similarity: int) -> tuple[int, int]:
+    """`front` of a set, and how many n-grams of it any linked set has in its own front too.
+
+    Of sets of sizes a and b with an overlap of o, the k-th shared n-gram lies among the
+    first k + a - o of one and k + b - o of the other. Fronts of linked sets differ in
+    length, so the least is taken over all sizes b that can be linked.
+    """
+
+    def length(n: np.ndarray) -> np.ndarray:
+        lack = n - (n * similarity + 99) // 100
+        return np.minimum(n, lack + -(-lack // 2) + 1)
+
+    other = np.arange(-(-size * similarity // 100), size * 100 // similarity + 1)
+    overlap = -(-similarity * (size + other) // (100 + similarity))
+    own = int(length(np.array(size)))
+    both = np.minimum(own - (size - overlap), length(other) - (other - overlap))
+    return own, int(both[overlap <= np.minimum(size, other)].min())
+
+
 def bloom_bits(tokens: DataFrame) -> tuple[np.ndarray, int]:
     """Bloom filter of the `token` column as 64-bit words, and its size in bits."""
     want = max(64, 16 * tokens.count())
@@ -135,10 +156,9 @@ def ordered_sets(docs: DataFrame, text: str, key: str, n: int, similarity: int)
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
             out, signs = [], []
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                t, size = values[a:b], b - a
-                lack = size - (size * similarity + 99) // 100
-                length = min(size, lack + -(-lack // 2) + 1)
-                if not size or repeated_in(t[:length]) < length - lack:
+                t = values[a:b]
+                length, demand = front_and_demand(int(b - a), similarity) if b > a else (0, 1)
+                if repeated_in(t[:length]) < demand:
                     out.append(None)
                     signs.append(None)
                     continue

@@ -71,6 +71,40 @@ def test_join(spark, documents, monkeypatch, seed, n, similarity, chunk):
         assert got[i].n_shingles == len(sets[i]) and got[i].component_id == roots[i], (i, t)
 
 
+def linkable(most, similarity):
+    """Sizes of two sets, the larger one first, with the least overlap that links them."""
+    for a, b in itertools.combinations_with_replacement(range(most, 0, -1), 2):
+        overlap = -(-similarity * (a + b) // (100 + similarity))
+        if overlap <= b:
+            yield a, b, overlap
+
+
+@pytest.mark.parametrize("similarity", [50, 80, 85, 95, 100])
+def test_fronts_of_all_sizes(similarity):
+    """The n-grams that only one of two linked sets has come first: the fewest that are counted twice."""
+    for a, b, overlap in linkable(200, similarity):
+        left, right = [range(n - overlap) for n in (a, b)]
+        left, right = [*(("a", i) for i in left), *range(overlap)], [*(("b", i) for i in right), *range(overlap)]
+        (la, da), (lb, db) = (ngram_join.front_and_demand(n, similarity) for n in (a, b))
+        both = len(set(left[:la]) & set(right[:lb]))
+        assert both >= max(da, db) and min(da, db) >= 1, (a, b)
+
+
+def test_join_of_sizes_whose_fronts_differ(spark, documents):
+    """Pairs that nothing else repeats, of all linkable sizes, with the words that one lacks first in order of their hashes."""
+    got = ngram_join.linked(documents([(1, "a b c d e f g h i j", "s"), (2, "a b c d e f g h i", "s")]), 4, 85).collect()
+    assert [r.component_id for r in got] == [1, 1]
+    pairs = [p for p in linkable(45, 85)]
+    words = spark.range(sum(a + b - o for a, b, o in pairs)).select(F.concat(F.lit("w"), F.col("id")).alias("w"))
+    words = iter([r.w for r in words.orderBy(ngram_join.ngram_hashes(F.array("w"), 1)[0]).collect()])
+    rows = []
+    for a, b, o in pairs:
+        left, right, shared = ([next(words) for _ in range(n)] for n in (a - o, b - o, o))
+        rows += [(len(rows), " ".join(left + shared), "s"), (len(rows) + 1, " ".join(right + shared), "s")]
+    got = ngram_join.linked(documents(rows), 1, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i // 2 * 2 for i in range(len(rows))}
+
+
 def test_join_without_ids_and_rows(spark, documents):
     rows = [(None, "a b c d e", "s"), (4, "a b c d e", "s"), (None, "no id at all", "s"), (4, "other words in here", "s"), (4, "a b c d e", "s"), (None, None, "s")]
     got = ngram_join.linked(documents(rows), 4, 85).collect()
