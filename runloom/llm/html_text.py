@@ -14,6 +14,9 @@ adverts, forms and comments; and the texts inside it that are template. A page's
 are the blocks under that path. A page that has nothing there (another layout) is its
 own wrapper.
 
+Class words make an element furniture only if no `article` or `main` lies in it, and
+where none lies beside it only if it holds at most half of the text around it.
+
 Wrappers merge, so each task infers one per host from its pages and only these are
 shuffled, in two rounds for hosts that lie in many tasks. A host with a third of all
 pages costs what any other costs after that. Pages meet their host's plan in a join.
@@ -50,6 +53,9 @@ INLINE = frozenset(
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote ul ol dl dt dd table thead tbody tr td th figure figcaption address".split())
 OUT = frozenset("head nav header footer aside form button select option menu dialog fieldset".split())
 NEVER_OUT = frozenset("html body main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of OUT that can lie around a whole page.
+AROUND = frozenset("header form fieldset".split())
 OUT_WORDS = frozenset(
     "ad ads advert advertisement adverts sponsor sponsored promo sidebar nav navbar navigation menu breadcrumb breadcrumbs footer header "
     "masthead comment comments cookie cookies consent notice alert banner share sharing social related newsletter subscribe popup modal "
@@ -57,7 +63,7 @@ OUT_WORDS = frozenset(
 )
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TOKEN = regex.compile(
-    r"<!--.*?(?:-->|$)|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
+    r"<!--.*?(?:-->|$)|<(" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
     r"|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", regex.S | regex.I
 )
 NAMES = regex.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", regex.I)
@@ -66,6 +72,7 @@ LONGEST_RUN = 4
 TEMPLATE_PAGES = 8
 
 # An element is [name, kids]; a kid is an element or a text (text, characters in links).
+# The name of page furniture begins with "!".
 
 
 def named(tag: str, attributes: str) -> str:
@@ -78,8 +85,48 @@ def named(tag: str, attributes: str) -> str:
 
 def furniture(name: str) -> bool:
     """Whether an element of this name is no part of an article."""
-    tag, *words = name.split(".")
-    return tag in OUT or (tag not in NEVER_OUT and not OUT_WORDS.isdisjoint(words))
+    return name.startswith("!")
+
+
+def tag_of(name: str) -> str:
+    return name.lstrip("!").split(".", 1)[0]
+
+
+def mark(root: list) -> None:
+    """Names the furniture of a page."""
+    known: dict[int, tuple[int, bool]] = {}  # unlinked characters of an element, and whether article or main lies in it
+
+    def measure(e: list) -> tuple[int, bool]:
+        size, below = 0, False
+        for k in e[1]:
+            if isinstance(k, tuple):
+                size += len(k[0]) - k[1]
+                continue
+            inner, holds = measure(k)
+            size += inner
+            below |= holds or tag_of(k[0]) in ("article", "main")
+        tag = tag_of(e[0])
+        if tag in OUT and not (below and tag in AROUND):
+            size, below = 0, False
+        known[id(e)] = size, below
+        return size, below
+
+    def visit(e: list, around: int, article: bool) -> None:
+        for k in e[1]:
+            if isinstance(k, tuple):
+                continue
+            size, below = known[id(k)]
+            tag, *words = k[0].split(".")
+            if tag in OUT:
+                out = not (below and tag in AROUND)
+            else:
+                out = tag not in NEVER_OUT and not below and (article or 2 * size <= around) and not OUT_WORDS.isdisjoint(words)
+            if out:
+                k[0] = "!" + k[0]
+            else:
+                visit(k, *((size, below) if tag in ("article", "main") else (around, article)))
+
+    visit(root, *measure(root))
 
 
 def parse(page: str) -> list:
@@ -136,6 +183,7 @@ def parse(page: str) -> list:
         stack.append(element)
     put(page[last:])
     flush()
+    mark(root)
     return root
 
 
@@ -204,7 +252,7 @@ def aligned(a: list[list], b: list[list]) -> list[list]:
 def expression(node: list) -> str:
     """The wrapper as a regular expression over tokens."""
     inner = "".join(expression(k) for k in node[4])
-    body = "#" if node[0] == "#" else inner if node[0] in ("()", "") else f"<{node[0]}>{inner}</>"
+    body = "#" if node[0] == "#" else inner if node[0] in ("()", "") else f"<{node[0].lstrip('!')}>{inner}</>"
     mark = {(0, 0): "", (1, 0): "?", (0, 1): "+", (1, 1): "*"}[node[1], node[2]]
     return f"({body}){mark}" if mark else body
 

@@ -212,6 +212,29 @@ def test_article_text(spark):
     assert html_text.main_text(pages.limit(0), html_text.wrappers(pages.limit(0))).count() == 0
 
 
+def host_texts(pages):
+    """Texts of the pages of one host."""
+    whole = html_text.wrap(html_text.parse(pages[0]))
+    for p in pages[1:]:
+        whole = html_text.merge(whole, html_text.wrap(html_text.parse(p)))
+    return [html_text.extract(p, html_text.plan(whole)) for p in pages]
+
+
+MENU = "<nav><a href=/>Home</a></nav>"
+
+
+@pytest.mark.parametrize("count", [1, 3, 12])
+@pytest.mark.parametrize("form, blocks", [
+    ("<div class='layout has-sidebar'><article><p>text {i} of it</p></article><div class=sidebar>more {i}</div></div>", ["text {i} of it"]),
+    ("<div id=page class='site header-fixed'><div><p>text {i} of it</p></div></div>", ["text {i} of it"]),
+    ("<form id=f><main><p>text {i} of it</p></main></form>", ["text {i} of it"]),
+    ("<article><p>before {i}<svg-icon></svg-icon><object-view></object-view><template-x></template-x><p>after {i}</article>", ["before {i}", "after {i}"]),
+])
+def test_whole_article(count, form, blocks):
+    pages = [f"<html><body>{MENU}{form.format(i=i)}<footer>end</footer></body></html>" for i in range(count)]
+    assert host_texts(pages) == ["\n".join(b.format(i=i) for b in blocks) for i in range(count)]
+
+
 def test_wrapper_expression():
     parts = [html_text.wrap(html_text.parse(h)) for h in ("<p>a</p><h2>x</h2><p>b</p><h2>y</h2>", "<p>a</p><h2>z</h2><div>only</div>", "<p>a</p><h2>x</h2>")]
     whole = html_text.merge(html_text.merge(parts[0], parts[1]), parts[2])
