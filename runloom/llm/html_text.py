@@ -8,11 +8,11 @@ element or a run of up to four) a repeated group, and texts become slots. A slot
 knows how many pages fill it, how much of its text is links, and whether its text is
 the same everywhere, in which case it is part of the template.
 
-From the wrapper a host's plan is read: the path to the element that holds most of
-the varying, unlinked text outside menus, headers, footers, sidebars, notices,
-adverts, forms and comments; and the texts inside it that are template. A page's text
-are the blocks under that path. A page that has nothing there (another layout) is its
-own wrapper.
+From the wrapper a host's plan is read: the path to the innermost element that holds
+all varying, unlinked text outside menus, headers, footers, sidebars, notices, adverts,
+forms and comments, or to `article` or `main` where these hold most of it; and the texts
+inside it that are template. A page's text are the blocks under that path. A page that
+has nothing there (another layout) is its own wrapper.
 
 Class words make an element furniture only if no `article` or `main` lies in it, and
 where none lies beside it only if it holds at most half of the text around it.
@@ -266,24 +266,41 @@ def mass(node: list) -> float:
 
 
 def plan(wrapper: list) -> dict:
-    """Path to the main element, and hashes of the template texts in it."""
-    path, node = [], wrapper
-    while True:
-        inner = [k for kid in node[4] for k in (kid[4] if kid[0] == "()" else [kid])]
-        own: dict[str, float] = {}
-        for k in inner:
-            if k[0].split(".", 1)[0] not in LEAVES and k[0] != "#":
-                own[k[0]] = own.get(k[0], 0.0) + mass(k)
-        name, most = max(own.items(), key=lambda x: x[1], default=("", 0.0))
-        if not most or most < 0.6 * mass(node):
+    """Path to the main element, and the template texts in it with their places."""
+    path, nodes = [], [wrapper]
+    while not path or tag_of(path[-1]) != "article":
+        own: dict[str, list[list]] = {}
+        for k in opened(kid for n in nodes for kid in n[4]):
+            if k[0] != "#" and tag_of(k[0]) not in LEAVES:
+                own.setdefault(k[0], []).append(k)
+        whole = sum(map(mass, nodes))
+        name, parts = max(own.items(), key=lambda x: sum(map(mass, x[1])), default=("", []))
+        most = sum(map(mass, parts))
+        main = any(map(holds_article, parts))
+        if not most or most < whole and (2 * most < whole or not main or any(tag_of(p) == "main" for p in path)):
+            break
+        if not main and any(tag_of(p) == "main" for p in path):
+            break
+        others = [k for n, ks in own.items() if n != name for k in ks]
+        if most < whole and any(holds_article(k) and mass(k) for k in others):
             break
         path.append(name)
-        parts = [k for k in inner if k[0] == name]
-        node = parts[0]
-        for other in parts[1:]:
-            node = merge(node, other)
-    varies = mass(node) > 0
-    return {"path": path, "same": sorted(template(node)) if varies else []}
+        nodes = parts
+    varies = any(map(mass, nodes))
+    return {"path": path, "same": sorted(set().union(*map(template, nodes))) if varies else []}
+
+
+def opened(kids: Iterable[list]) -> Iterator[list]:
+    """Kids, with those of runs in place of the runs."""
+    for k in kids:
+        if k[0] == "()":
+            yield from opened(k[4])
+        else:
+            yield k
+
+
+def holds_article(node: list) -> bool:
+    return tag_of(node[0]) in ("article", "main") or (not furniture(node[0]) and any(map(holds_article, node[4])))
 
 
 def template(node: list) -> set[int]:

@@ -225,6 +225,9 @@ MENU = "<nav><a href=/>Home</a></nav>"
 
 @pytest.mark.parametrize("count", [1, 3, 12])
 @pytest.mark.parametrize("form, blocks", [
+    ("<article><h1>T{i}</h1><div class=content><p>body {i} of some length</p><p>and more {i}</p></div></article>", ["T{i}", "body {i} of some length", "and more {i}"]),
+    ("<article><div class=lead>lead {i} words</div><div class=body>body {i} of the article, that is longer</div></article>", ["lead {i} words", "body {i} of the article, that is longer"]),
+    ("<div><section id=one><p>first {i}</p></section><section id=two><p>second {i}, a good deal longer than it</p></section></div>", ["first {i}", "second {i}, a good deal longer than it"]),
     ("<div class='layout has-sidebar'><article><p>text {i} of it</p></article><div class=sidebar>more {i}</div></div>", ["text {i} of it"]),
     ("<div id=page class='site header-fixed'><div><p>text {i} of it</p></div></div>", ["text {i} of it"]),
     ("<form id=f><main><p>text {i} of it</p></main></form>", ["text {i} of it"]),
