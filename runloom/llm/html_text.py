@@ -15,7 +15,8 @@ inside it that are template. A page's text are the blocks under that path. A pag
 has nothing there (another layout) is its own wrapper.
 
 Class words make an element furniture only if no `article` or `main` lies in it, and
-where none lies beside it only if it holds at most half of the text around it.
+where none lies beside it only if it holds at most half of the text around it. Inside `article` and `main` shared texts are
+kept, other than those of paragraphs, items and cells that have a class or id.
 
 Wrappers merge, so each task infers one per host from its pages and only these are
 shuffled, in two rounds for hosts that lie in many tasks. A host with a third of all
@@ -197,8 +198,19 @@ def slot(text: str, links: int) -> list:
 
 def wrap(element: list) -> list:
     """One page's element as a wrapper."""
-    kids = [slot(*k) if isinstance(k, tuple) else wrap(k) for k in element[1]]
-    return [element[0], 0, 0, None, folded(kids)]
+    kids = folded([slot(*k) if isinstance(k, tuple) else wrap(k) for k in element[1]])
+    made = [element[0], 0, 0, None, kids]
+    if not element[0]:
+        once(made)
+    return made
+
+
+def once(node: list) -> None:
+    """A text that a page repeats is on one page."""
+    if node[3] is not None:
+        node[3][0] = 1
+    for k in node[4]:
+        once(k)
 
 
 def folded(kids: list[list]) -> list[list]:
@@ -286,8 +298,12 @@ def plan(wrapper: list) -> dict:
             break
         path.append(name)
         nodes = parts
-    varies = any(map(mass, nodes))
-    return {"path": path, "same": sorted(set().union(*map(template, nodes))) if varies else []}
+    same: dict[str, int] = {}
+    if any(map(mass, nodes)):
+        inside = any(tag_of(p) in ("article", "main") for p in path)
+        for node in nodes:
+            template(node, "", inside, False, same)
+    return {"path": path, "same": same}
 
 
 def opened(kids: Iterable[list]) -> Iterator[list]:
@@ -303,22 +319,42 @@ def holds_article(node: list) -> bool:
     return tag_of(node[0]) in ("article", "main") or (not furniture(node[0]) and any(map(holds_article, node[4])))
 
 
-def template(node: list) -> set[int]:
-    """Hashes of the texts that stand on all pages; what only some pages have is never template."""
+def template(node: list, place: str, inside: bool, repeated: bool, same: dict[str, int]) -> None:
+    """Adds the texts that stand on all pages, by place and hash; what only some pages have is never template.
+
+    The value is how often a page has it there, or -1 for any number. Inside `article`
+    and `main`, only what stands in a leaf with a class or id is template, and no heading.
+    """
     if node[1]:
-        return set()
-    if node[0] == "#":
-        return {node[3][3]} if node[3][3] is not None and node[3][0] >= TEMPLATE_PAGES else set()
-    return {h for k in node[4] for h in template(k)}
+        return
+    repeated = repeated or bool(node[2])
+    for k in node[4]:
+        if k[0] == "#":
+            if k[1] or k[3][3] is None or k[3][0] < TEMPLATE_PAGES:
+                continue
+            tag = tag_of(place.rsplit("/", 1)[-1] or node[0])
+            if inside and (tag not in LEAVES or tag in HEADINGS or "." not in place.rsplit("/", 1)[-1]):
+                continue
+            at = f"{place}#{k[3][3]}"
+            same[at] = -1 if repeated or same.get(at) == -1 else same.get(at, 0) + 1
+        elif k[0] == "()":
+            template(k, place, inside, repeated, same)
+        elif not furniture(k[0]):
+            template(k, f"{place}/{k[0]}", inside or tag_of(k[0]) in ("article", "main"), repeated, same)
 
 
-def blocks(node: list, same: frozenset[int]) -> Iterator[str]:
+def blocks(node: list, same: dict[str, int], place: str = "") -> Iterator[str]:
+    """Texts of an element; `same` is counted down."""
     for k in node[1]:
         if isinstance(k, tuple):
-            if not same or zlib.crc32(k[0].encode()) not in same:
+            at = f"{place}#{zlib.crc32(k[0].encode())}" if same else ""
+            left = same.get(at, 0)
+            if left > 0:
+                same[at] = left - 1
+            if not left:
                 yield k[0]
         elif not furniture(k[0]):
-            yield from blocks(k, same)
+            yield from blocks(k, same, f"{place}/{k[0]}" if same else "")
 
 
 def extract(page: str | None, known: dict | None) -> str:
@@ -331,7 +367,7 @@ def extract(page: str | None, known: dict | None) -> str:
         found = [root]
         for name in use["path"]:
             found = [k for e in found for k in e[1] if not isinstance(k, tuple) and k[0] == name]
-        same = frozenset(use["same"])
+        same = dict(use["same"])
         out = "\n".join(b for e in found for b in blocks(e, same))
         if out:
             return out

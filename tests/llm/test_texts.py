@@ -232,12 +232,21 @@ MENU = "<nav><a href=/>Home</a></nav>"
     ("<div id=page class='site header-fixed'><div><p>text {i} of it</p></div></div>", ["text {i} of it"]),
     ("<form id=f><main><p>text {i} of it</p></main></form>", ["text {i} of it"]),
     ("<article><p>before {i}<svg-icon></svg-icon><object-view></object-view><template-x></template-x><p>after {i}</article>", ["before {i}", "after {i}"]),
+    ("<article><h2>Summary</h2><p>text {i}</p><p>A shared passage.</p></article>", ["Summary", "text {i}", "A shared passage."]),
 ])
 def test_whole_article(count, form, blocks):
     pages = [f"<html><body>{MENU}{form.format(i=i)}<footer>end</footer></body></html>" for i in range(count)]
     assert host_texts(pages) == ["\n".join(b.format(i=i) for b in blocks) for i in range(count)]
 
 
+def test_template_counts_pages_and_keeps_to_its_place():
+    one = "<div><dl>" + "".join(f"<dt>Q{i}<dd>Yes" for i in range(8)) + "</dl></div>"
+    assert host_texts([one])[0].count("Yes") == 8
+    form = "<body><div><p class=ad-note>{first}</p><p>own {i}</p><blockquote>{again}</blockquote></div></body>"
+    got = host_texts([form.format(first="Shared line", i=i, again="Shared line" if i == 3 else f"other {i}") for i in range(12)])
+    assert got == [f"own {i}\n" + ("Shared line" if i == 3 else f"other {i}") for i in range(12)]
+
+
 def test_wrapper_expression():
     parts = [html_text.wrap(html_text.parse(h)) for h in ("<p>a</p><h2>x</h2><p>b</p><h2>y</h2>", "<p>a</p><h2>z</h2><div>only</div>", "<p>a</p><h2>x</h2>")]
     whole = html_text.merge(html_text.merge(parts[0], parts[1]), parts[2])
