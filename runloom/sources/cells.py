@@ -16,7 +16,6 @@ from ..operators.ordered import Ordering, fill_down, with_place
 from ..session import park
 
 CELL_SCHEMA = "sheet string, row_idx int, col_idx int, value string"
-SCAN_ROWS, SCAN_COLS, LOOK_DOWN = 20, 8, 150
 MODES = ("auto", "table", "matrix")
 
 
@@ -88,16 +87,18 @@ def _axis_columns(cells: DataFrame, markers: DataFrame) -> DataFrame:
 def matrix_sheets(cells: DataFrame) -> DataFrame:
     """Names of transposed sheets.
 
-    Some marker in the first 20 rows and 8 columns has at least two ids to its
-    right, and at least three of the next 149 rows hold both a label and data.
+    Some marker has at least two ids to its right, and at least three rows below it
+    hold both a label and data. Of markers in one column with ids in the same
+    columns the first has all rows that the others have, so it stands for them.
     """
-    top = cells.where(F.col("row_idx") < SCAN_ROWS + LOOK_DOWN)
-    markers = _markers(top.where((F.col("row_idx") < SCAN_ROWS) & (F.col("col_idx") < SCAN_COLS)))
-    axis = _axis_columns(top.where(F.col("row_idx") < SCAN_ROWS), markers)
-    wide = axis.groupBy("sheet", "m_row", "m_col").agg(F.count(F.lit(1)).alias("ids")).where(F.col("ids") >= 2)
-    filled = top.where(~coerce.cell_blank(F.col("value"))).select("sheet", "row_idx", "col_idx")
-    below = (F.col("row_idx") > F.col("m_row")) & (F.col("row_idx") < F.col("m_row") + LOOK_DOWN)
-    labelled = filled.where(F.col("col_idx") < SCAN_COLS).join(wide, "sheet").where(below & (F.col("col_idx") <= F.col("m_col")))
+    axis = _axis_columns(cells, _markers(cells))
+    columns = F.array_sort(F.collect_list("col_idx")).alias("columns")  # a row's ids at most
+    wide = axis.groupBy("sheet", "m_row", "m_col").agg(columns).where(F.size("columns") >= 2)
+    wide = wide.groupBy("sheet", "m_col", "columns").agg(F.min("m_row").alias("m_row"))
+    axis = wide.select("sheet", "m_row", "m_col", F.explode("columns").alias("col_idx"))
+    filled = cells.where(~coerce.cell_blank(F.col("value"))).select("sheet", "row_idx", "col_idx")
+    below = F.col("row_idx") > F.col("m_row")
+    labelled = filled.join(wide.drop("columns"), "sheet").where(below & (F.col("col_idx") <= F.col("m_col")))
     labelled = labelled.select("sheet", "m_row", "m_col", "row_idx").distinct()
     data = filled.join(axis.select("sheet", "m_row", "m_col", "col_idx"), ["sheet", "col_idx"]).where(below)
     data = data.select("sheet", "m_row", "m_col", "row_idx").distinct()
@@ -240,15 +241,13 @@ def matrix_rows(matrix: Matrix, athletes: DataFrame | None = None, names: list[s
 
 def athlete_names(cells: DataFrame, axis: DataFrame) -> DataFrame:
     """(sheet, athlete_name): the first filled cell up to five columns right of a name key."""
-    near = cells.join(axis, "sheet").where(
-        (F.col("row_idx") < F.greatest(F.col("m_row") + 1, F.lit(12)))
-        & (F.col("col_idx") < F.greatest(F.col("m_col") + 3, F.lit(4)) + 5)
-    ).withColumn("text", coerce.label_text(F.col("value")))
-    keys = near.where(F.col("text").rlike("|".join(lx.NAME_WORDS)) & (F.col("col_idx") < F.greatest(F.col("m_col") + 3, F.lit(4))))
+    near = cells.join(axis, "sheet").withColumn("text", coerce.label_text(F.col("value")))
+    keys = near.where(F.col("text").rlike("|".join(lx.NAME_WORDS)))
     keys = keys.select("sheet", "row_idx", F.col("col_idx").alias("k_col"), F.col("text").alias("k_text"))
     right = keys.join(near, ["sheet", "row_idx"]).where(
         F.col("col_idx").between(F.col("k_col") + 1, F.col("k_col") + 5) & ~coerce.cell_blank(F.col("value"))
         & (F.col("text") != F.col("k_text"))
+        & ((F.col("row_idx") <= F.col("m_row")) | coerce.cell_number(F.col("value")).isNull())  # a number below the axis is data
     )
     first = right.groupBy("sheet").agg(F.min_by("value", F.struct("row_idx", "k_col", "col_idx")).alias("athlete_name"))
     return first.withColumn("athlete_name", coerce.strip(F.col("athlete_name")))

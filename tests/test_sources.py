@@ -68,6 +68,19 @@ def test_matrix_sheet(spark):
     assert "unknown_indicator_01" not in kinds and "kfv_holds_indicator_01" in kinds and "outcome_action_indicator_01" in kinds
 
 
+def test_matrix_sheet_far_from_the_top(spark):
+    """Marker in row 30 and column 10, label rows 200 rows below it, name in row 28, and a sheet with a marker in every row."""
+    top = [["note"]] * 28 + [[None] * 20 + ["ФИО борца", None, "Сидоров А."], [None]]
+    shifted = [[None] * 9 + r for r in MATRIX[2:3]] + [[None]] * 200 + [[None] * 9 + r for r in MATRIX[3:]]
+    markers = [["№ эпизода", 1, 2]] * 2
+    cells = grid(spark, {"m": top + shifted, "t": TABLE, "few": markers})
+    assert [r["sheet"] for r in cs.matrix_sheets(cells).collect()] == ["m"]
+    one = cells.where("sheet = 'm'")
+    assert [tuple(r) for r in cs.athlete_names(one, cs.axis_of(one)).collect()] == [("m", "Сидоров А.")]
+    rows = cs.read_sheets(cells, 2)["rows"].where("_sheet = 'm'").collect()
+    assert {r["athlete_name"] for r in rows} == {"Сидоров А."} and len(rows) == 2
+
+
 def test_contact_parts_of_a_matrix_sheet(spark):
     """Columns keep their part, so the codes of that part are not zero; the export has rows and labels."""
     from runloom.operators.features import FeaturePlan
