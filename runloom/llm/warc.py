@@ -351,8 +351,12 @@ def blocks(data: memoryview) -> Iterator[Member]:
     """Records of a plain file; `Content-Length` leads over what is not wanted."""
     at = 0
     while at < len(data):
-        end = bytes(data[at : at + (1 << 16)]).find(b"\r\n\r\n")
+        step = 1 << 16
+        while (end := bytes(data[at : at + step]).find(b"\r\n\r\n")) < 0 and at + step < len(data):
+            step *= 4
         if end < 0:
+            if bytes(data[at:]).strip():
+                raise ValueError(f"record at byte {at} has headers without end")
             return
         length = int(re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", bytes(data[at : at + end]))[1])
         stop = at + end + 4 + length

@@ -177,6 +177,15 @@ def test_filters_skip_records_before_their_payload():
         assert {r[-1] for r in read(wanted=False)} == {None}
 
 
+def test_long_headers_do_not_end_a_plain_archive():
+    rows = [(i, "http://h/" + "x" * (300_000 if i == 1 else 1), "response", "D", 3, None, b"abc") for i in range(4)]
+    plain = b"".join(warc.compose(*r) for r in rows)
+    got = list(warc.parsed(memoryview(plain), False, (), True))
+    assert [(r[0], len(r[1]), bytes(r[-1])) for r in got] == [(i, len(u), b"abc") for i, u, *_ in rows]
+    with pytest.raises(ValueError, match="without end"):
+        list(warc.parsed(memoryview(plain + b"WARC/1.1\r\nA: b"), False, (), True))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{{}}</style><script>var t="</p><p>no</p>";</script></head>
 <body class="menu-open"><header><a href=/>Site</a></header><nav><ul>{links}</ul></nav><div class="cookie-notice">We use cookies</div>
 <main><article><h1>Title {i} &amp; more</h1><p>First <b>bold{i}</b>, &lt;tag&gt; &eacute;&nbsp;end.<br>next
