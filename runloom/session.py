@@ -50,3 +50,35 @@ def park(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_folder(spark)}/runloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Shelf:
+    """Owner of intermediate tables: parks them and removes their files when they are done with.
+
+    Use it as a context around work whose result is written before the context
+    ends; a table must not be dropped while a plan that reads it is still to run.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.held: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Shelf:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        for df, _ in list(self.held.values()):
+            self.drop(df)
+
+    def put(self, df: DataFrame, name: str = "table") -> DataFrame:
+        path = f"{shared_folder(self.spark)}/runloom/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        parked = self.spark.read.schema(df.schema).parquet(path)
+        self.held[id(parked)] = (parked, path)
+        return parked
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            _, path = self.held.pop(id(df))
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -69,7 +69,7 @@ def compare(spark, con, name, run, sql, sf):
 
 
 if __name__ == "__main__":
-    from runloom import catalog
+    import __spark_entry__ as catalog
     from runloom.session import build_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
