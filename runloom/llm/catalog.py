@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from runloom.session import park, shared_folder
 
-from . import bpe, html_text, mixing, nearest, ngram_join, quality_rules, sharding, token_files, url_filter, warc
+from . import (
+    bpe, collocations, hard_negatives, html_text, license_scan, mixing, nearest, ngram_join, quality_rules, sharding, token_files, url_filter, warc,
+)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -219,3 +221,109 @@ SELECT *, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept FROM bits
 def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     entries = quality_rules.ledger(table(spark, sf, "documents"))
     return entries.select("*", (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes("v2").alias("kept"))
+
+
+@query("op11_collocations", r"""
+WITH pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT lang, w, unnest(range(1, 5)) AS k FROM pieces))),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+parts AS (
+  SELECT lang, k, phrase, a, j, array_to_string(string_split(phrase, ' ')[1:j], ' ') AS head, array_to_string(string_split(phrase, ' ')[j + 1:k], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k >= 2)),
+cuts AS (
+  SELECT p.lang, p.k, p.phrase, p.a, p.j, h.a AS l, t.a AS r, (2000000::HUGEINT * p.a) // (h.a::HUGEINT + t.a) AS score
+  FROM parts p JOIN f h ON h.lang = p.lang AND h.phrase = p.head JOIN f t ON t.lang = p.lang AND t.phrase = p.tail),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' ') AS phrase, a
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k >= 3))),
+covers AS (SELECT lang, phrase, max(a) AS a FROM inner_ GROUP BY ALL),
+kept AS (
+  SELECT c.* FROM lowest c LEFT JOIN covers v ON v.lang = c.lang AND v.phrase = c.phrase
+  WHERE v.a IS NULL OR 100 * v.a::HUGEINT < 80 * c.a::HUGEINT),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT p.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM placed p JOIN sizes s ON s.lang = p.lang WHERE rank <= 2000
+""")
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.mine(table(spark, sf, "documents"), least=30, longest=4, cover=80, top=2000, scale=2_000_000)
+
+
+@query("op12_hard_negatives", r"""
+WITH rows AS (
+  SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+alike AS (SELECT * FROM rows WHERE len(v) = (SELECT len(v) FROM rows GROUP BY len(v) ORDER BY count(*) DESC, len(v) LIMIT 1)),
+numbered AS (SELECT *, row_number() OVER () AS rid FROM alike),
+scored AS (
+  SELECT a.rid AS anchor, a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM numbered a JOIN numbered b ON a.id <> b.id WHERE a.id % 100 = 0),
+positives AS (
+  SELECT anchor, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS place
+  FROM scored WHERE same QUALIFY place <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, place ORDER BY s.score DESC, s.id) AS INT) AS rank,
+       s.id AS negative_id, positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor = p.anchor AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+QUALIFY rank <= 5
+""")
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label").cast("bigint"))
+    return hard_negatives.mine(table(spark, sf, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+def license_sql() -> str:
+    """The scan as joins: words with places, postings, beginnings, key phrases."""
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    templates = ", ".join(
+        f"({n}, '{t.label}', {listed(t.text.split())}, {listed(t.keys)})" for n, t in enumerate(license_scan.TEMPLATES)
+    )
+    phrases = ", ".join(f"({listed(p.split())}, '{label}')" for p, label in license_scan.PHRASES)
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+flat AS (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS p FROM docs),
+templates(t, label, words, keys) AS (VALUES {templates}),
+phrases(words, label) AS (VALUES {phrases}),
+own AS (SELECT t, unnest(words) AS word, unnest(range(len(words))) AS p FROM templates),
+held AS (SELECT word, count(DISTINCT rid) AS df FROM flat WHERE word IN (SELECT word FROM own) GROUP BY word),
+weighed AS (
+  SELECT o.t, o.word, o.p, coalesce(h.df, 0) AS df,
+         CAST(round(1000 * (1 + ln(((SELECT count(*) FROM docs) + 1) / (coalesce(h.df, 0) + 1)))) AS BIGINT) AS weight
+  FROM own o LEFT JOIN held h ON h.word = o.word),
+rare AS (SELECT t, word, row_number() OVER (PARTITION BY t ORDER BY df, word) AS k FROM (SELECT DISTINCT t, word, df FROM weighed)),
+postings AS (SELECT w.t, w.word, w.p, count(*) OVER (PARTITION BY w.t) AS n FROM weighed w JOIN rare r ON r.t = w.t AND r.word = w.word WHERE r.k <= {license_scan.RARE}),
+begins AS (
+  SELECT f.rid, q.t, f.p - q.p AS start FROM flat f JOIN postings q ON q.word = f.word
+  GROUP BY f.rid, q.t, f.p - q.p, q.n HAVING 100 * count(*) >= {license_scan.AGREE} * q.n),
+placed AS (
+  SELECT b.rid, b.t, b.start, round(sum(CASE WHEN f.word = w.word THEN w.weight ELSE 0 END)::DOUBLE / sum(w.weight)::DOUBLE, 6) AS share
+  FROM begins b JOIN weighed w ON w.t = b.t LEFT JOIN flat f ON f.rid = b.rid AND f.p = b.start + w.p GROUP BY b.rid, b.t, b.start),
+verified AS (
+  SELECT p.rid, t.label, p.share FROM placed p JOIN templates t ON t.t = p.t JOIN docs d ON d.rid = p.rid
+  WHERE len(list_filter(t.keys, lambda k: contains(' ' || array_to_string(d.w[greatest(p.start, 0) + 1:p.start + len(t.words)], ' ') || ' ', ' ' || k || ' '))) = len(t.keys)),
+base AS (
+  SELECT rid, label, i - 1 AS p FROM (SELECT rid, w, words, label, unnest(range(1, len(w) + 1)) AS i FROM docs, phrases)
+  WHERE w[i:i + len(words) - 1] = words),
+based AS (SELECT rid, count(*) AS n, min(p) AS first, max(p) AS last, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY rid),
+every AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM base UNION ALL SELECT rid, label FROM verified) GROUP BY rid),
+best AS (SELECT rid, max(share) AS share FROM verified GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.first AS first_word, b.last AS last_word,
+       coalesce(b.labels, '') AS base_labels, coalesce(e.labels, '') AS labels, greatest(coalesce(s.share, 0), CASE WHEN b.n > 0 THEN 0.5::DOUBLE ELSE 0 END) AS score
+FROM docs d LEFT JOIN based b ON b.rid = d.rid LEFT JOIN every e ON e.rid = d.rid LEFT JOIN best s ON s.rid = d.rid
+"""
+
+
+@query("op13_license_scan", license_sql())
+def op13_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "license.n_words", "license.n_base", "license.first_word", "license.last_word", "license.base_labels", "license.labels", "license.score")
