@@ -10,6 +10,7 @@ from ..models import regimes
 from ..operators import charts, regime_tables as rt
 from ..session import shared_folder
 from ..sources import series
+from . import em_sql
 from .binding import table, view, with_cte
 from .registry import query
 
@@ -36,7 +37,7 @@ def daily(spark, sf):
 
 
 def _table(spark, sf):
-    return regimes.SeriesTable(daily(spark, sf), "series_id", "t", FEATURES).inspect()
+    return regimes.SeriesTable(daily(spark, sf), "series_id", "t", FEATURES)
 
 
 def _with_states(spark, sf):
@@ -192,22 +193,94 @@ def transition_cells(spark, sf):
     return charts.transition_cells(trained_parameters(spark, sf))
 
 
-@query("h25_regime_states")
+# --- fits: the twins run the whole EM in SQL -------------------------------------------------
+
+_D = len(FEATURES)
+#: EM turns that the twins write out; no fit of the given series takes more.
+_TURNS = 40
+_ONE = "CASE WHEN stddev_pop({0}) OVER w > 0 THEN stddev_pop({0}) OVER w ELSE 1 END"
+_SCALED = _DAYS + ",\nz AS (SELECT series_id AS key, t, " + ", ".join(
+    f"({c} - avg({c}) OVER w) / {_ONE.format(c)} AS x{i}" for i, c in enumerate(FEATURES)
+) + " FROM d WINDOW w AS (PARTITION BY series_id))"
+
+
+def _em(*ctes: str, select: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + select
+
+
+def _rounded(*columns):
+    return [F.round(c, 4).alias(c) for c in columns]
+
+
+@query("h25_regime_states", _em(_SCALED, em_sql.fitted("z", [(2, 42)], "full", _D, 200, _TURNS), em_sql.decoded(_D), select=f"""
+SELECT key AS series_id, t, any_value(s.k) AS hidden_state, round(max(g) FILTER (y.k = 0), 4) AS p_state_0, round(max(g) FILTER (y.k = 1), 4) AS p_state_1,
+  round(max(g), 4) AS confidence
+FROM yF y JOIN numbered r USING (key, u) JOIN path s ON {em_sql.same("s", "y", "u")} GROUP BY key, t"""))
 def regime_states(spark, sf):
-    return regimes.decode_series(_table(spark, sf), 2)
+    out = regimes.decode_series(_table(spark, sf), 2)
+    return out.select("series_id", "t", "hidden_state", *_rounded("p_state_0", "p_state_1", "confidence"))
+
+
+_GRID = em_sql.fitted("z", [(n, 42) for n in range(2, 9)], "full", _D, 200, _TURNS)
+_PARAMS = f"n * n + n * {_D} + n * {_D * (_D + 1) // 2}"
+
+
+def _criteria(spark, sf):
+    return regimes.with_criteria(regimes.fit_grid(_table(spark, sf), list(range(2, 9))))
 
 
-@query("h26_model_choice")
+@query("h26_model_choice", _em(_SCALED, _GRID, select=f"""
+SELECT series_id, CAST(n AS INT) AS n_states, round(bic, 4) AS bic FROM (
+  SELECT key AS series_id, n, -2 * ll + ({_PARAMS}) * ln(n_rows) AS bic FROM fit)
+QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY bic, n) = 1"""))
 def model_choice(spark, sf):
-    grid = regimes.fit_grid(_table(spark, sf), list(range(2, 9)))
-    return regimes.choose_states(regimes.with_criteria(grid), "series_id")
+    return regimes.choose_states(_criteria(spark, sf), "series_id").withColumn("bic", F.round("bic", 4))
 
 
-@query("h27_temporal_validation")
+@query("h26_criteria", _em(_SCALED, _GRID, select=f"""
+SELECT key AS series_id, CAST(n AS INT) AS n_states, round(ll, 4) AS log_likelihood, CAST({_PARAMS} AS INT) AS n_params,
+  round(-2 * ll + 2 * ({_PARAMS}), 4) AS aic, round(-2 * ll + ({_PARAMS}) * ln(n_rows), 4) AS bic, {_PARAMS} >= n_rows AS overfit_risk FROM fit"""))
+def criteria(spark, sf):
+    """Likelihood, AIC and BIC of every series and state count."""
+    return _criteria(spark, sf).select("series_id", "n_states", "n_params", "overfit_risk", *_rounded("log_likelihood", "aic", "bic"))
+
+
+_HEADS = """place AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t) <= floor(count(*) OVER (PARTITION BY key) * 0.8) AS head FROM z),
+parts AS (SELECT * REPLACE (key || ' head' AS key) FROM place WHERE head UNION ALL SELECT * REPLACE (key || ' whole' AS key) FROM place),
+tails AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t) AS u FROM place WHERE NOT head)"""
+
+
+@query("h27_temporal_validation", _em(
+    _SCALED, _HEADS, em_sql.fitted("parts", [(2, 42)], "full", _D, 200, 2 * _TURNS), *em_sql.forward("tails", "F", _D, "tail"), select="""
+SELECT series_id, round(train, 4) AS train_ll, round(head, 4) AS tail_ll_train_only, round(whole, 4) AS tail_ll_full, round(whole - head, 4) AS gain,
+  train - head > 10 AS overfit
+FROM (SELECT split_part(f.key, ' ', 1) AS series_id, max(f.ll) FILTER (ends_with(f.key, ' head')) AS train, max(t.ll) FILTER (ends_with(f.key, ' head')) AS head,
+  max(t.ll) FILTER (ends_with(f.key, ' whole')) AS whole FROM fit f JOIN lltailF t USING (key, n, seed) GROUP BY 1)"""))
 def temporal_validation(spark, sf):
-    return regimes.temporal_validation(_table(spark, sf), 2)
+    out = regimes.temporal_validation(_table(spark, sf), 2)
+    return out.select("series_id", *_rounded("train_ll", "tail_ll_train_only", "tail_ll_full", "gain"), "overfit")
+
 
+_STARTS = em_sql.fitted("z", [(3, seed) for seed in range(20)], "spherical", _D, 100, 100)
 
-@query("h28_multi_start")
+
+def _starts(spark, sf):
+    return regimes.fit_grid(_table(spark, sf), [3], list(range(20)), "spherical", 100)
+
+
+@query("h28_multi_start", _em(_SCALED, _STARTS, select="""
+SELECT *, cv > 0.1 AS unstable, std > 0.2 * abs(mean) AS very_unstable FROM (
+  SELECT key AS series_id, CAST(n AS INT) AS n_states, count(*) AS runs, round(avg(ll), 4) AS mean, round(stddev_pop(ll), 4) AS std,
+    round(min(ll), 4) AS min, round(max(ll), 4) AS max, round(stddev_pop(ll) / abs(avg(ll)), 4) AS cv FROM fit GROUP BY 1, 2)"""))
 def multi_start(spark, sf):
-    return regimes.stability(regimes.fit_grid(_table(spark, sf), [3], list(range(20)), "spherical", 100), "series_id", "n_states")
+    out = regimes.stability(_starts(spark, sf), "series_id", "n_states")
+    return out.select("series_id", "n_states", "runs", *_rounded("mean", "std", "min", "max", "cv"), "unstable", "very_unstable")
+
+
+@query("h28_best_start", _em(_SCALED, _STARTS, select="""
+SELECT key AS series_id, round(max(ll), 4) AS log_likelihood, count(*) AS fitted FROM fit GROUP BY 1"""))
+def best_start(spark, sf):
+    """The likelihood of the best of twenty starts, and how many of them could be fitted."""
+    grid = _starts(spark, sf)
+    best = regimes.best_runs(grid, "series_id").join(grid.groupBy("series_id").agg(F.count("log_likelihood").alias("fitted")), "series_id")
+    return best.select("series_id", F.round("log_likelihood", 4).alias("log_likelihood"), "fitted")

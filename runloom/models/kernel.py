@@ -6,6 +6,10 @@ the segment and handle all segments of the slice at once.
 
 A segment in the middle of a long run gets the state distribution that enters
 it, so that its posteriors equal those of one pass over the whole run.
+
+Starts and transitions are those of one model, or have one more axis in front with
+an entry per segment: then each segment has a model of its own, and a segment that
+several models share (seeds, say) is listed once for each of them.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from dataclasses import dataclass
 import numpy as np
 
 EPS = 1e-12
+#: Least sum that is divided by where emissions have no floor of their own.
+TINY = 1e-300
 
 
 @dataclass
@@ -41,7 +47,20 @@ class Slice:
         return self.by_length[: self.alive[t]]
 
 
-def forward_backward(b: np.ndarray, cut: Slice, prior: np.ndarray, trans: np.ndarray, leave: np.ndarray):
+def own(table: np.ndarray, axes: int, seg: np.ndarray) -> np.ndarray:
+    """The entries of these segments, where a table with `axes` axes per model has one per segment."""
+    return table if table.ndim == axes else table[seg]
+
+
+def ahead_of(v: np.ndarray, trans: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    return v @ trans if trans.ndim == 2 else (v[:, None, :] @ trans[seg])[:, 0]
+
+
+def before(v: np.ndarray, trans: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    return v @ trans.T if trans.ndim == 2 else (trans[seg] @ v[:, :, None])[:, :, 0]
+
+
+def forward_backward(b: np.ndarray, cut: Slice, prior: np.ndarray, trans: np.ndarray, leave: np.ndarray, floor: float = EPS):
     """Scaled forward–backward. `prior` is the state distribution before the
     first emission of each segment, `leave` the backward weight after its last.
 
@@ -52,16 +71,16 @@ def forward_backward(b: np.ndarray, cut: Slice, prior: np.ndarray, trans: np.nda
     steps = len(cut.alive)
     for t in range(steps):
         rows = cut.rows(t)
-        ahead = prior[cut.segments(0)] if t == 0 else alpha[rows - 1] @ trans
+        ahead = prior[cut.segments(0)] if t == 0 else ahead_of(alpha[rows - 1], trans, cut.segments(t))
         joint = ahead * b[rows]
-        size = np.maximum(joint.sum(axis=1), EPS)
+        size = np.maximum(joint.sum(axis=1), floor)
         alpha[rows], scale[rows] = joint / size[:, None], size
     beta[cut.lasts] = leave
     for t in range(steps - 2, -1, -1):
         rows = cut.rows(t + 1)
-        beta[rows - 1] = (b[rows] * beta[rows]) @ trans.T / scale[rows][:, None]
+        beta[rows - 1] = before(b[rows] * beta[rows], trans, cut.segments(t + 1)) / scale[rows][:, None]
     gamma = alpha * beta
-    gamma /= np.maximum(gamma.sum(axis=1, keepdims=True), EPS)
+    gamma /= np.maximum(gamma.sum(axis=1, keepdims=True), floor)
     return gamma, alpha, b * beta, scale
 
 
@@ -82,6 +101,14 @@ def expected_moves(alpha, weighted, cut: Slice, trans, enter, continues, mult) -
     return out
 
 
+def moves_of_segment(alpha, weighted, trans, enter) -> np.ndarray:
+    """Expected transition counts of one segment, with the step into it where `enter` is given."""
+    u = alpha[:-1] if enter is None else np.concatenate([enter[None], alpha[:-1]])
+    v = weighted[1:] if enter is None else weighted
+    size = np.maximum(((u @ trans) * v).sum(axis=1), TINY)
+    return trans * ((u / size[:, None]).T @ v)
+
+
 def best_paths(log_b, cut: Slice, log_start, log_trans, enter_state, exit_state) -> np.ndarray:
     """Most likely state per row. A segment inside a run has its entering and
     leaving states fixed (≥ 0); otherwise -1. Ties go to the lowest state."""
@@ -92,9 +119,11 @@ def best_paths(log_b, cut: Slice, log_start, log_trans, enter_state, exit_state)
         rows = cut.rows(t)
         if t == 0:
             entering = enter_state[cut.segments(0)]
-            delta[rows] = np.where((entering >= 0)[:, None], log_trans[np.maximum(entering, 0)], log_start) + log_b[rows]
+            seg = cut.segments(0)
+            entered = log_trans[np.maximum(entering, 0)] if log_trans.ndim == 2 else log_trans[seg, np.maximum(entering, 0)]
+            delta[rows] = np.where((entering >= 0)[:, None], entered, own(log_start, 1, seg)) + log_b[rows]
         else:
-            scores = delta[rows - 1][:, :, None] + log_trans
+            scores = delta[rows - 1][:, :, None] + own(log_trans, 2, cut.segments(t))
             back[rows] = scores.argmax(axis=1)
             delta[rows] = scores.max(axis=1) + log_b[rows]
     path = np.empty(total, dtype=np.int32)
@@ -115,9 +144,10 @@ def transfer(b, cut: Slice, start, trans, opens) -> np.ndarray:
     for t in range(len(cut.alive)):
         rows, seg = cut.rows(t), cut.segments(t)
         if t == 0:
-            m[seg] = np.where(opens[seg][:, None, None], start[None, None, :], trans[None]) * b[rows][:, None, :]
+            first = np.broadcast_to(own(start, 1, seg)[..., None, :], (len(seg), n, n))
+            m[seg] = np.where(opens[seg][:, None, None], first, own(trans, 2, seg)) * b[rows][:, None, :]
         else:
-            m[seg] = (m[seg] @ trans) * b[rows][:, None, :]
+            m[seg] = (m[seg] @ own(trans, 2, seg)) * b[rows][:, None, :]
         m[seg] /= np.maximum(m[seg].sum(axis=(1, 2), keepdims=True), 1e-300)
     return m
 
@@ -129,9 +159,10 @@ def best_transfer(log_b, cut: Slice, log_start, log_trans, opens) -> np.ndarray:
     for t in range(len(cut.alive)):
         rows, seg = cut.rows(t), cut.segments(t)
         if t == 0:
-            d[seg] = np.where(opens[seg][:, None, None], log_start[None, None, :], log_trans[None]) + log_b[rows][:, None, :]
+            first = np.broadcast_to(own(log_start, 1, seg)[..., None, :], (len(seg), n, n))
+            d[seg] = np.where(opens[seg][:, None, None], first, own(log_trans, 2, seg)) + log_b[rows][:, None, :]
         else:
-            d[seg] = (d[seg][:, :, :, None] + log_trans[None, None]).max(axis=2) + log_b[rows][:, None, :]
+            d[seg] = (d[seg][:, :, :, None] + own(log_trans, 2, seg)[..., None, :, :]).max(axis=2) + log_b[rows][:, None, :]
     return d
 
 

@@ -6,6 +6,7 @@ or decoded rows; nothing is gathered but a few numbers per state.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,9 +130,10 @@ def _stack(cells: pd.Series, *shape: int) -> np.ndarray:
     return np.stack([np.asarray(c) for c in cells]).reshape(-1, *shape)
 
 
-def _links(parts: DataFrame, keys: tuple[str, ...], n: int, last_seg: int) -> DataFrame:
+def links(parts: DataFrame, keys: tuple[str, ...], last_seg: int) -> DataFrame:
     """Vectors that enter and leave every segment of a run.
 
+    Runs may have models of different size; a run's matrices tell its own.
     No task sees more than FAN segments: longer runs are multiplied up in groups
     of FAN, the groups are linked the same way, and the result is handed down.
     """
@@ -139,9 +141,12 @@ def _links(parts: DataFrame, keys: tuple[str, ...], n: int, last_seg: int) -> Da
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema if f.name in keys)
     vectors = "enter array<double>, leave array<double>, score array<double>, enter_state bigint, exit_state bigint"
 
+    def size(pdf: pd.DataFrame) -> int:
+        return math.isqrt(len(pdf["m"].iloc[0]))
+
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seg")
-        first = pdf.iloc[0]
+        first, n = pdf.iloc[0], size(pdf)
         given = "b_enter" in pdf.columns
         out = kernel.link(
             _stack(pdf["m"], n, n), _stack(pdf["d"], n, n),
@@ -161,7 +166,7 @@ def _links(parts: DataFrame, keys: tuple[str, ...], n: int, last_seg: int) -> Da
         return parts.groupBy(*names).applyInPandas(walk, schema)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg")
+        pdf, n = pdf.sort_values("seg"), size(pdf)
         res = pdf[names].head(1).copy()
         res["seg"] = int(pdf["seg"].iloc[0]) // FAN
         res["m"] = [kernel.multiply(_stack(pdf["m"], n, n)).ravel()]
@@ -170,7 +175,7 @@ def _links(parts: DataFrame, keys: tuple[str, ...], n: int, last_seg: int) -> Da
 
     grouped = parts.withColumn("_group", F.floor(F.col("seg") / FAN).cast("long"))
     merged = grouped.groupBy(*names, "_group").applyInPandas(merge, f"{key_schema}, seg bigint, m array<double>, d array<double>")
-    above = _links(merged, keys, n, last_seg // FAN).select(
+    above = links(merged, keys, last_seg // FAN).select(
         *names, F.col("seg").alias("_group"), F.col("enter").alias("b_enter"), F.col("leave").alias("b_leave"),
         F.col("score").alias("b_score"), F.col("exit_state").alias("b_exit"),
     )
@@ -181,8 +186,8 @@ def _linked(seg: Segments, model) -> DataFrame:
     keys = seg.keys
     by_name = {f.name: f for f in seg.table.schema}
     schema = T.StructType([by_name[k] for k in (*keys, "seg")]).add("m", T.ArrayType(T.DoubleType())).add("d", T.ArrayType(T.DoubleType()))
-    links = _links(seg.parts.mapInArrow(_transfers(model, keys), schema), keys, model.n, seg.last_seg)
-    return seg.parts.join(links, [*keys, "seg"])
+    found = links(seg.parts.mapInArrow(_transfers(model, keys), schema), keys, seg.last_seg)
+    return seg.parts.join(found, [*keys, "seg"])
 
 
 # --- decoding -------------------------------------------------------------------------

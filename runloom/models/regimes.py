@@ -1,26 +1,19 @@
 """Regimes in many time series: Gaussian models per series, choice and checks.
 
-A series of up to `LIMIT` rows is fitted inside one task, many series at once.
-Longer ones are few (at most rows / LIMIT); each gets the distributed EM. Both
-paths give the same model.
+All series, state counts and seeds are fitted together (`fits`), whatever their length.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
-from statistics import NormalDist
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordered import Ordering, with_place
-from . import kernel, passes
-from .gaussian import GaussianModel
-from .runs import segments
+from . import fits
+from .runs import SEGMENT
 
-LIMIT = 200_000
 PARAMETER_COUNTS = ("full_square", "free", "spherical")
 
 
@@ -36,109 +29,15 @@ def parameter_count(n: int, d: int, rule: str, covariance: str = "full") -> int:
     raise ValueError(f"unknown counting rule {rule!r}")
 
 
-# --- small numpy parts that run per series ------------------------------------------
-
-ROUNDS = 5
-
-
-def first_bins(d: int, n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A seeded direction, and where along it (in deviations) n bins end and have their middle."""
-    way = np.random.default_rng(seed).normal(size=d)
-    z = np.array([NormalDist().inv_cdf((i + 1) / (2 * n)) for i in range(2 * n - 1)])
-    return way / np.linalg.norm(way), z[1::2], z[0::2]
-
-
-def first_means(x: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """Means of bins along a seeded direction, then a few rounds of k-means; all rows take part."""
-    way, ends, middles = first_bins(x.shape[1], n, seed)
-    score = x @ way
-    centres = x.mean(axis=0) + np.outer(middles * score.std(), way)
-    bins = np.searchsorted(score.mean() + score.std() * ends, score, side="right")
-    for turn in range(ROUNDS + 1):
-        if turn:
-            bins = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-        centres = np.array([x[bins == k].mean(axis=0) if (bins == k).any() else centres[k] for k in range(n)])
-    return centres
-
-
-def first_means_of_table(rows: DataFrame, features: list[str], n: int, seed: int) -> np.ndarray:
-    """`first_means` of a table too long for one task: one small aggregate per round."""
-    way, ends, middles = first_bins(len(features), n, seed)
-    score = sum((F.col(c) * float(w) for c, w in zip(features, way)), F.lit(0.0))
-    base = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)], F.avg(score).alias("m"), F.stddev_pop(score).alias("s")).first()
-    centres = np.array([base[f"m{i}"] for i in range(len(features))]) + np.outer(middles * base["s"], way)
-    bins = sum((F.when(score >= float(base["m"] + base["s"] * e), 1).otherwise(0) for e in ends), F.lit(0))
-    for turn in range(ROUNDS + 1):
-        if turn:
-            away = [sum(((F.col(c) - float(v)) ** 2 for c, v in zip(features, centre)), F.lit(0.0)) for centre in centres]
-            bins = F.array_min(F.array(*[F.struct(a.alias("d"), F.lit(k).alias("k")) for k, a in enumerate(away)]))["k"]
-        found = rows.groupBy(bins.alias("k")).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)]).collect()  # n rows
-        for r in found:
-            centres[r["k"]] = [r[f"m{i}"] for i in range(len(features))]
-    return centres
-
-
-def start_model(means: np.ndarray, variances: np.ndarray, covariance: str) -> GaussianModel:
-    n = len(means)
-    model = GaussianModel.initial(means, np.maximum(variances, 1e-3), covariance)
-    stay = 0.7 if n > 1 else 1.0
-    trans = np.full((n, n), (1.0 - stay) / max(1, n - 1))
-    np.fill_diagonal(trans, stay)
-    return replace(model, trans=trans)
-
-
-def local_counts(x: np.ndarray, model: GaussianModel) -> tuple[np.ndarray, np.ndarray]:
-    """The same sums one Spark pass gives, for a single run held in a task."""
-    cut = kernel.Slice(np.array([0]), np.array([len(x)]))
-    b, _, offset = model.emission(x)
-    gamma, alpha, weighted, scale = kernel.forward_backward(b, cut, model.start[None], model.trans, np.ones((1, model.n)))
-    no = np.zeros(1, dtype=bool)
-    moves = kernel.expected_moves(alpha, weighted, cut, model.trans, np.zeros((1, model.n)), no, np.ones(1))
-    ll = float((np.log(scale) + offset).sum())
-    return np.concatenate([[ll], gamma[0], moves.ravel(), model.gather(x, gamma)]), gamma
-
-
-def local_fit(x: np.ndarray, model: GaussianModel, max_iter: int, tol: float) -> tuple[GaussianModel, float]:
-    before = None
-    for _ in range(max_iter):
-        stats, _ = local_counts(x, model)
-        if before is not None and stats[0] - before < tol:
-            break
-        model, before = model.updated(stats), stats[0]
-    return model, float(local_counts(x, model)[0][0])
-
-
-def fit_series(x: np.ndarray, n: int, covariance: str, seed: int, max_iter: int, tol: float):
-    """Fit, with `diag` as second try when `full` breaks down."""
-    for kind in dict.fromkeys((covariance, "diag")):
-        try:
-            model, ll = local_fit(x, start_model(first_means(x, n, seed), x.var(axis=0), kind), max_iter, tol)
-            if np.isfinite(ll):
-                return model, ll
-        except np.linalg.LinAlgError:
-            continue
-    return None, float("nan")
-
-
-# --- the Spark jobs --------------------------------------------------------------------
-
 @dataclass(frozen=True)
 class SeriesTable:
-    """Rows of many series: key, order column and feature columns.
-
-    `inspect` finds the few series too long for one task.
-    """
+    """Rows of many series: key, order column and feature columns; `segment` rows lie together in a task."""
 
     df: DataFrame
     key: str
     order: str
     features: list[str]
-    limit: int = LIMIT
-    long_keys: list = field(default_factory=list)
-
-    def inspect(self) -> "SeriesTable":
-        counts = self.df.groupBy(self.key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > self.limit)
-        return replace(self, long_keys=[r[self.key] for r in counts.select(self.key).collect()])  # rows / limit at most
+    segment: int = SEGMENT
 
     def scaled(self) -> DataFrame:
         """Zero mean and unit population deviation per series; a flat feature stays 0."""
@@ -149,71 +48,28 @@ class SeriesTable:
         unit = {c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0) for c in self.features}
         return joined.select(self.key, F.col(self.order).cast("long").alias(self.order), *[x.alias(c) for c, x in unit.items()])
 
-    def short(self, rows: DataFrame) -> DataFrame:
-        return rows.where(~F.col(self.key).isin(self.long_keys)) if self.long_keys else rows
-
-    def one(self, rows: DataFrame, key) -> DataFrame:
-        return rows.where(F.col(self.key) == F.lit(key))
-
-    @property
-    def key_type(self) -> str:
-        return self.df.schema[self.key].dataType.simpleString()
-
-
-def _long_fit(table: SeriesTable, rows: DataFrame, key, n: int, covariance: str, seed: int, max_iter: int, tol: float):
-    """Distributed EM for one long series, from the same start as in a task."""
-    one = table.one(rows, key)
-    order = Ordering((table.key,), table.order).inspect(one)
-    x = F.array(*table.features)
-    seg = segments(one.withColumn("_run", F.lit("one")), order, x, "_run", vector=True)
-    base = one.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(c).alias(c) for c in table.features]).first()
-    total, means = base["n"], first_means_of_table(one, table.features, n, seed)
-    variances = np.array([base[c] for c in table.features])
-    for kind in dict.fromkeys((covariance, "diag")):
-        try:
-            model = start_model(means, variances, kind).fit(seg, max_iter, tol)
-            return model, model.training.log_likelihood, seg, total
-        except Exception as error:  # a singular covariance surfaces as a failed Spark task
-            if kind == "diag" or "LinAlgError" not in str(error):
-                raise
-    raise AssertionError("unreachable")
-
-
-GRID_SCHEMA = "n_states int, seed int, covariance string, log_likelihood double, n_rows bigint, n_params_full_square int, n_params_free int, n_params_spherical int, status string"
-
-
-def _grid_row(key, n, seed, covariance, ll, rows, d):
-    counts = [parameter_count(n, d, rule, covariance) for rule in PARAMETER_COUNTS]
-    return (key, n, seed, covariance, ll, rows, *counts, "failed" if ll is None else "fitted")
+    def held(self, rows: DataFrame, *more: str) -> fits.Series:
+        return fits.hold(rows, (self.key, *more), self.order, self.features, self.segment)
 
 
 def fit_grid(table: SeriesTable, states: list[int], seeds: list[int] = (42,), covariance: str = "full", max_iter: int = 200,
              tol: float = 1e-4) -> DataFrame:
     """Log-likelihood of every (series, state count, seed); a failed fit has none, and says so in `status`."""
-    rows, d, names = table.scaled(), len(table.features), list(table.features)
-    key, order = table.key, table.order
-    schema = f"`{key}` {table.key_type}, {GRID_SCHEMA}"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[names].to_numpy(float)
-        n, seed = int(pdf["_n"].iloc[0]), int(pdf["_seed"].iloc[0])
-        model, ll = fit_series(x, n, covariance, seed, max_iter, tol)
-        tried = (model.covariance, ll) if model else ("diag", None)
-        return pd.DataFrame([_grid_row(pdf[key].iloc[0], n, seed, *tried, len(x), d)], columns=[
-            key, "n_states", "seed", "covariance", "log_likelihood", "n_rows", *[f"n_params_{r}" for r in PARAMETER_COUNTS], "status"])
-
-    cells = F.array(*[F.struct(F.lit(n).alias("_n"), F.lit(s).alias("_seed")) for n in states for s in seeds])
-    spread = table.short(rows).withColumn("_c", F.explode(cells)).select("*", "_c._n", "_c._seed").drop("_c")
-    grid = spread.groupBy(key, "_n", "_seed").applyInPandas(fit, schema)  # a series has at most `limit` rows here
-    for long in table.long_keys:
-        done = []
-        for n in states:
-            for seed in seeds:
-                model, ll, seg, total = _long_fit(table, rows, long, n, covariance, seed, max_iter, tol)
-                seg.release()
-                done.append(_grid_row(long, n, seed, model.covariance, ll, total, d))
-        grid = grid.unionByName(table.df.sparkSession.createDataFrame(done, schema))
-    return grid
+    series = table.held(table.scaled())
+    found = fits.fitted(series, [(n, seed) for n in states for seed in seeds], covariance, fits.Rules(max_iter, tol))
+
+    def count(rule: str):
+        kinds = [(n, kind, parameter_count(n, series.width, rule, kind)) for n in states for kind in dict.fromkeys((covariance, "diag"))]
+        out = None
+        for n, kind, size in kinds:
+            fits_here = (F.col("n_states") == n) & (F.col("covariance") == kind)
+            out = F.when(fits_here, size) if out is None else out.when(fits_here, size)
+        return out.cast("int").alias(f"n_params_{rule}")
+
+    return found.select(
+        table.key, "n_states", "seed", "covariance", "log_likelihood", "n_rows", *[count(rule) for rule in PARAMETER_COUNTS],
+        F.col("phase").alias("status"),
+    )
 
 
 def with_criteria(grid: DataFrame, rule: str = "full_square") -> DataFrame:
@@ -262,31 +118,12 @@ def best_runs(grid: DataFrame, *keys: str) -> DataFrame:
 
 
 def decode_series(table: SeriesTable, n: int, covariance: str = "full", seed: int = 42, max_iter: int = 200, tol: float = 1e-4) -> DataFrame:
-    """Fit each series and decode it: (key, order, state, posteriors, confidence)."""
-    rows, names, key, order = table.scaled(), list(table.features), table.key, table.order
-    order_type = "bigint"
+    """Fit each series and decode it: (key, order, state, posteriors, confidence). Rows of failed fits stay, without a state."""
+    series = table.held(table.scaled())
+    state = fits.fitted(series, [(n, seed)], covariance, fits.Rules(max_iter, tol))
     posteriors = [f"p_state_{i}" for i in range(n)]
-    schema = f"`{key}` {table.key_type}, `{order}` {order_type}, hidden_state int, " + ", ".join(f"{p} double" for p in posteriors)
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x = pdf[names].to_numpy(float)
-        model, _ = fit_series(x, n, covariance, seed, max_iter, tol)
-        if model is None:  # the rows stay, without a state
-            return pdf[[key, order]].assign(hidden_state=None, **dict.fromkeys(posteriors))
-        _, gamma = local_counts(x, model)
-        cut = kernel.Slice(np.array([0]), np.array([len(x)]))
-        none = np.array([-1])
-        out = pdf[[key, order]].copy()
-        out["hidden_state"] = kernel.best_paths(model.emission(x)[1], cut, model.log_start, model.log_trans, none, none)
-        out[posteriors] = gamma
-        return out
-
-    decoded = table.short(rows).groupBy(key).applyInPandas(work, schema)  # a series has at most `limit` rows here
-    for long in table.long_keys:
-        model, _, seg, _ = _long_fit(table, rows, long, n, covariance, seed, max_iter, tol)
-        decoded = decoded.unionByName(passes.decode(seg, model, order).select(key, order, "hidden_state", *posteriors))
-    return decoded.withColumn("confidence", F.greatest(*posteriors) if n > 1 else F.col(posteriors[0]))
+    rows = fits.decoded(series, state, n, table.order)
+    return rows.withColumn("confidence", F.greatest(*posteriors) if n > 1 else F.col(posteriors[0]))
 
 
 def temporal_split(df: DataFrame, key: str, order: str, ratio: float = 0.8) -> DataFrame:
@@ -295,39 +132,29 @@ def temporal_split(df: DataFrame, key: str, order: str, ratio: float = 0.8) -> D
     return rows.withColumn("is_train", F.col("_place") <= F.floor(F.col("_total") * ratio)).drop("_place", "_total")
 
 
+HEAD, WHOLE, TAIL = range(3)
+
+
 def temporal_validation(table: SeriesTable, n: int, ratio: float = 0.8, covariance: str = "full", seed: int = 42, max_iter: int = 200,
                         tol: float = 1e-4) -> DataFrame:
     """Log-likelihood of each series' tail under a model of its head and of the whole.
 
-    Series above the limit are validated with the distributed EM.
+    Head, whole and tail are series of their own (`_part`), so that heads and wholes
+    are fitted together. A series stays, with nulls, where a fit fails.
     """
-    rows, names, key, order = table.scaled(), list(table.features), table.key, table.order
-    schema = f"`{key}` {table.key_type}, train_ll double, tail_ll_train_only double, tail_ll_full double, gain double, overfit boolean"
-
-    def row(key_value, train, tail, full):
-        return (key_value, train, tail, full, full - tail, bool(train - tail > 10))
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[names].to_numpy(float)
-        head = int(len(x) * ratio)
-        first, train = fit_series(x[:head], n, covariance, seed, max_iter, tol)
-        full, _ = fit_series(x, n, covariance, seed, max_iter, tol)
-        kept = [(pdf[key].iloc[0], *[None] * 5)]  # a series stays also where a fit fails
-        if first is not None and full is not None:
-            tail = [float(local_counts(x[head:], m)[0][0]) for m in (first, full)]
-            kept = [row(pdf[key].iloc[0], train, *tail)]
-        return pd.DataFrame(kept, columns=[key, "train_ll", "tail_ll_train_only", "tail_ll_full", "gain", "overfit"])
-
-    out = table.short(rows).groupBy(key).applyInPandas(work, schema)  # a series has at most `limit` rows here
-    for long in table.long_keys:
-        one = temporal_split(table.one(rows, long), key, order, ratio)
-        first, train, seg, _ = _long_fit(table, one.where("is_train"), long, n, covariance, seed, max_iter, tol)
-        seg.release()
-        full, _, seg, _ = _long_fit(table, one, long, n, covariance, seed, max_iter, tol)
-        seg.release()
-        tail = one.where("NOT is_train").withColumn("_run", F.lit("one"))
-        held = segments(tail, Ordering((key,), order).inspect(tail), F.array(*names), "_run", vector=True)
-        scores = [float(passes.expected_counts(held, m)[0]) for m in (first, full)]
-        held.release()
-        out = out.unionByName(table.df.sparkSession.createDataFrame([row(long, train, *scores)], schema))
-    return out
+    key = table.key
+    split = temporal_split(table.scaled(), key, table.order, ratio)
+    parts = F.when(F.col("is_train"), F.array(F.lit(HEAD), F.lit(WHOLE))).otherwise(F.array(F.lit(WHOLE), F.lit(TAIL)))
+    split = split.withColumn("_part", F.explode(parts))
+    held = table.held(split.where(F.col("_part") != TAIL), "_part")
+    state = fits.fitted(held, [(n, seed)], covariance, fits.Rules(max_iter, tol))
+    tails = table.held(split.where(F.col("_part") == TAIL))
+    score = fits.scores(tails, state, ["_part"])
+    of = lambda part, column: F.max(F.when(F.col("_part") == part, F.col(column)))  # noqa: E731  one row each
+    fitted = state.groupBy(key).agg(of(HEAD, "log_likelihood").alias("train_ll"), F.count("log_likelihood").alias("_n"))
+    scored = score.groupBy(key).agg(of(HEAD, "log_likelihood").alias("tail_ll_train_only"), of(WHOLE, "log_likelihood").alias("tail_ll_full"))
+    out = fitted.join(scored, key, "left")
+    kept = [F.when(F.col("_n") == 2, F.col(c)).alias(c) for c in ("train_ll", "tail_ll_train_only", "tail_ll_full")]
+    return out.select(key, *kept).withColumn("gain", F.col("tail_ll_full") - F.col("tail_ll_train_only")).withColumn(
+        "overfit", F.col("train_ll") - F.col("tail_ll_train_only") > 10
+    )

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from runloom.models import passes, regimes
+from runloom.models import fits, passes, regimes
 from runloom.models.discrete import DiscreteModel, class_number, normal_rows
 from runloom.models.gaussian import GaussianModel, bidiagonal
 from runloom.models.runs import segments
@@ -176,8 +176,12 @@ def test_separable_blocks(blobs, covariance):
 
 def test_distributed_and_local_fit_agree(blobs):
     x, df = blobs
-    start = regimes.start_model(regimes.first_means(x, 3, 5), x.var(axis=0), "full")
-    local, ll = regimes.local_fit(x, start, 8, 1e-9)
+    rules, one = fits.Rules(8, 1e-9), fits.Fit(3, 5, "full")
+    while one.phase != "em":
+        one = one.advance(one.gather(x), 2, rules)
+    start = one.model(2)
+    done = fits.settle([(x, one)], rules)[0]
+    local, ll = done.model(2), done.log_likelihood
     seg = segments(df, ORDER, F.array("a", "b"), vector=True, length=10)
     spread = start.fit(seg, 9, 1e-9)
     assert np.allclose(local.means, spread.means, atol=1e-6) and spread.training.log_likelihood == pytest.approx(ll, abs=1e-4)
@@ -202,25 +206,58 @@ def series(spark):
     return spark.createDataFrame(rows, "series_id string, t long, cash double, delay double").cache()
 
 
-def test_regimes_are_found_and_long_series_take_the_other_path(series):
-    short = regimes.SeriesTable(series, "series_id", "t", ["cash", "delay"]).inspect()
-    long = regimes.SeriesTable(series, "series_id", "t", ["cash", "delay"], limit=50).inspect()
-    assert short.long_keys == [] and sorted(long.long_keys) == ["x", "y"]
-    for table in (short, long):
-        rows = regimes.decode_series(table, 2, max_iter=20).toPandas().sort_values(["series_id", "t"])
-        for _, one in rows.groupby("series_id"):
-            changes = (one["hidden_state"].diff().fillna(0) != 0).sum()
-            assert changes == 3
-    grid = regimes.with_criteria(regimes.fit_grid(short, [2, 3]))
+def tables_of(series, lengths=(8192, 30)):
+    return [regimes.SeriesTable(series, "series_id", "t", ["cash", "delay"], segment=n) for n in lengths]
+
+
+def test_regimes_do_not_depend_on_segments(series, monkeypatch):
+    monkeypatch.setattr(passes, "FAN", 2)  # three segments per series: groups of groups
+    short, long = tables_of(series)
+    decoded = [regimes.decode_series(t, 2, max_iter=4).toPandas().sort_values(["series_id", "t"]).reset_index(drop=True) for t in (short, long)]
+    for _, one in decoded[0].groupby("series_id"):
+        assert (one["hidden_state"].diff().fillna(0) != 0).sum() == 3
+    assert decoded[0][["series_id", "t", "hidden_state"]].equals(decoded[1][["series_id", "t", "hidden_state"]])
+    assert np.allclose(decoded[0]["confidence"], decoded[1]["confidence"], atol=1e-9)
+    a, b = (regimes.fit_grid(t, [1, 2, 3], [1, 2], max_iter=4, tol=1e-9).toPandas().sort_values(["series_id", "n_states", "seed"]) for t in (short, long))
+    assert len(a) == 12 and np.allclose(a["log_likelihood"], b["log_likelihood"], atol=1e-6) and a["n_rows"].tolist() == b["n_rows"].tolist()
+
+
+def test_state_count_is_chosen(series):
+    grid = regimes.with_criteria(regimes.fit_grid(tables_of(series)[0], [2, 3]))
     best = regimes.choose_states(grid, "series_id").collect()
     assert len(best) == 2 and all(r["n_states"] == 2 for r in best)
-    a = regimes.fit_grid(short, [2], max_iter=10, tol=1e-9).toPandas().sort_values("series_id")
-    b = regimes.fit_grid(long, [2], max_iter=10, tol=1e-9).toPandas().sort_values("series_id")
-    assert np.allclose(a["log_likelihood"], b["log_likelihood"], atol=1e-4) and a["n_rows"].tolist() == b["n_rows"].tolist()
+
+
+def test_candidates_meet_a_segment_once(series):
+    """What the held table holds, and so what is shuffled, does not grow with state counts and seeds."""
+    table = tables_of(series, [30])[0]
+    held = table.held(table.scaled())
+    assert held.table.count() == 6 and held.last_seg == 2
+    state = fits.fitted(held, [(n, s) for n in (2, 3) for s in range(4)], "diag", fits.Rules(1, 1e-9))
+    assert fits.with_fits(held.parts, state, held.keys).count() == 6 and state.count() == 16
+
+
+def test_failed_fits_are_rows_on_both_ways(spark):
+    rows = [(k, t, float("nan") if k == "bad" else float(t % 7)) for k in ("bad", "good") for t in range(20)]
+    series = spark.createDataFrame(rows, "series_id string, t long, a double")
+    for length in (100, 8):
+        table = regimes.SeriesTable(series, "series_id", "t", ["a"], segment=length)
+        grid = {(r["series_id"], r["status"], r["log_likelihood"] is None, r["covariance"]) for r in regimes.fit_grid(table, [2], max_iter=2).collect()}
+        assert grid == {("bad", "failed", True, "diag"), ("good", "fitted", False, "full")}
+        decoded = regimes.decode_series(table, 2, max_iter=2)
+        assert decoded.count() == 40 and decoded.where("hidden_state IS NULL").select("series_id").distinct().collect()[0][0] == "bad"
+        tails = {r["series_id"]: r["gain"] for r in regimes.temporal_validation(table, 2, max_iter=2).collect()}
+        assert tails["bad"] is None and np.isfinite(tails["good"])
+
+
+def test_scores_of_cut_series_equal_those_of_whole_ones(series):
+    found = [regimes.temporal_validation(t, 2, max_iter=3).orderBy("series_id").toPandas() for t in tables_of(series, [8192, 10])]
+    for column in ("train_ll", "tail_ll_train_only", "tail_ll_full", "gain"):
+        assert np.allclose(found[0][column], found[1][column], atol=1e-6)
 
 
 def test_temporal_validation_and_stability(series):
-    table = regimes.SeriesTable(series, "series_id", "t", ["cash", "delay"]).inspect()
+    table = tables_of(series)[0]
     rows = regimes.temporal_validation(table, 2, max_iter=20).collect()
     assert len(rows) == 2 and all(np.isfinite(r["gain"]) for r in rows)
     spread = regimes.stability(regimes.fit_grid(table, [2], [0, 1, 2], max_iter=20), "series_id").collect()
