@@ -4,6 +4,8 @@ An occurrence relation R_k has one entry per place at which a frequent phrase of
 words begins. A place is a running number of words that skips one where a piece
 ends, so two neighbouring places always lie in one piece. Relations are kept sorted
 by place, packed in blocks of one language; they are tables in the shared folder.
+A block is one row with its packed places and codes, and rows that list the groups
+which the codes stand for, `LISTED` in each.
 
 Each round takes R_k to R_(k+1):
 
@@ -29,12 +31,14 @@ bytes are held several times over while its words are cut out.
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,7 +48,9 @@ from runloom.session import Shelf, park
 from . import arrow
 
 #: Words after which a task closes its blocks.
-BLOCK_WORDS = 1 << 22
+BLOCK_WORDS = 1 << 21
+#: Groups listed in one row.
+LISTED = 1 << 13
 #: Bytes that end a piece and bytes that part words, as the contract fixes them.
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
@@ -54,8 +60,12 @@ KIND[list(PIECE_ENDS)] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-WORD_BLOCK = "lang string, n int, step binary, code binary, words array<string>, counts array<int>"
-PAIR_BLOCK = "block bigint, lang string, n int, step binary, code binary, lefts array<bigint>, rights array<bigint>, counts array<int>"
+ENTRY = "lang string, n int, step binary, code binary, first int"
+WORD_BLOCK = f"block bigint, {ENTRY}, words array<string>, counts array<int>"
+PAIR_BLOCK = f"block bigint, {ENTRY}, lefts array<bigint>, rights array<bigint>, counts array<int>"
+OF_BLOCK = [("block", pa.int64()), ("lang", pa.string()), ("n", pa.int32()), ("step", pa.binary()), ("code", pa.binary()), ("first", pa.int32())]
+WORDS = pa.schema([*OF_BLOCK, ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
+PAIRS = pa.schema([*OF_BLOCK, ("lefts", pa.list_(pa.int64())), ("rights", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -90,7 +100,28 @@ def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return LOWER[data[word]], np.diff(kept, append=int(word.sum())), fresh
 
 
-def word_block(lang: str, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict:
+def bounded(data: np.ndarray, lengths: np.ndarray, fresh: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same words in parts that begin with a piece and hold about `size` words at most."""
+    pieces, ends, start = np.flatnonzero(fresh), np.append(0, np.cumsum(lengths)), 0
+    while start < len(lengths):
+        later = pieces[np.searchsorted(pieces, start + size) :]
+        stop = int(later[0]) if len(later) else len(lengths)
+        yield data[ends[start] : ends[stop]], lengths[start:stop], fresh[start:stop]
+        start = stop
+
+
+def block_rows(schema: pa.Schema, block: int, lang: str, step: np.ndarray, code: np.ndarray, *groups: pa.Array) -> pa.Table:
+    """The row of a block and the rows that list its groups."""
+    n_lists = -(-len(groups[0]) // LISTED)
+    firsts = np.arange(n_lists, dtype=np.int32) * LISTED
+    edges = pa.array(np.append(firsts, len(groups[0])), pa.int32())
+    head = pa.table([[block], [lang], [len(code)], [pack(step)], [pack(code)], [None], *[[None] for _ in groups]], schema=schema)
+    lists = [pa.ListArray.from_arrays(edges, g.cast(f.type.value_type)) for g, f in zip(groups, list(schema)[-len(groups):], strict=True)]
+    none = [pa.nulls(n_lists, f.type) for f in list(schema)[2:5]]
+    return pa.concat_tables([head, pa.table([pa.array([block] * n_lists, pa.int64()), pa.array([lang] * n_lists), *none, pa.array(firsts), *lists], schema=schema)])
+
+
+def word_block(block: int, lang: str, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
     """One block of R_1, with its own list of distinct words and their counts."""
     data, lengths, fresh = (np.concatenate(x) for x in zip(*parts, strict=True))
     offsets = np.zeros(len(lengths) + 1, np.int64)
@@ -98,58 +129,50 @@ def word_block(lang: str, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     words = pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(data))
     coded = words.dictionary_encode()
     code = coded.indices.to_numpy()
-    return {
-        "lang": lang, "n": len(code), "step": pack(1 + fresh), "code": pack(code), "words": coded.dictionary.cast(pa.string()),
-        "counts": np.bincount(code, minlength=len(coded.dictionary)),
-    }
+    counts = np.bincount(code, minlength=len(coded.dictionary))
+    return block_rows(WORDS, block, lang, 1 + fresh, code, coded.dictionary, pa.array(counts))
 
 
-def word_blocks(docs: DataFrame, text: str, lang: str) -> DataFrame:
+def word_blocks(docs: DataFrame, text: str, lang: str, block_words: int) -> DataFrame:
     """R_1 before its semi-join: blocks of sorted word occurrences."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = defaultdict(list), 0
+        numbers = itertools.count(TaskContext.get().partitionId() << 32)
 
         def close() -> Iterator[pa.RecordBatch]:
             for name, parts in held.items():
-                made = word_block(name, parts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([made["lang"]], pa.string()), pa.array([made["n"]], pa.int32()), pa.array([made["step"]], pa.binary()),
-                        pa.array([made["code"]], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(made["words"])], pa.int32()), made["words"]),
-                        pa.ListArray.from_arrays(pa.array([0, len(made["counts"])], pa.int32()), pa.array(made["counts"], pa.int32())),
-                    ],
-                    names=["lang", "n", "step", "code", "words", "counts"],
-                )
+                yield from word_block(next(numbers), name, parts).to_batches()
             held.clear()
 
         for batch in batches:
             for part in arrow.slices(batch, 1):
                 langs = part.column(0)
                 for name in pc.unique(langs):
-                    data, lengths, fresh = cut(part.column(1).filter(pc.equal(langs, name)))
-                    if len(lengths):
-                        held[name.as_py()].append((data, lengths, fresh))
-                        n += len(lengths)
-                if n >= BLOCK_WORDS:
-                    yield from close()
-                    n = 0
+                    for own in bounded(*cut(part.column(1).filter(pc.equal(langs, name))), block_words):
+                        held[name.as_py()].append(own)
+                        n += len(own[1])
+                        if n >= block_words:
+                            yield from close()
+                            n = 0
         yield from close()
 
     source = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    made = source.where(F.col("text") != "").mapInArrow(blocks, WORD_BLOCK)
-    return made.withColumn("block", F.monotonically_increasing_id())
+    return source.where(F.col("text") != "").mapInArrow(blocks, WORD_BLOCK)
 
 
 def frequent(counted: DataFrame, group: list[str], least: int) -> DataFrame:
     """Semi-join of (block, code) entries with the groups counted `least` times or more.
 
-    Adds the group's `total` and its `id`, which is the `spot` of one of its rows.
+    Keeps `block` and `code`, adds the group's `id`, and on one row of each group its `total` and name.
     """
     whole = W.partitionBy(*group)
-    counted = counted.withColumn("spot", F.monotonically_increasing_id())
+    # numbered after the exchange, where all rows of a group are in one task
+    counted = counted.repartition(*group).withColumn("spot", F.monotonically_increasing_id())
     counted = counted.withColumn("total", F.sum(F.col("count").cast("bigint")).over(whole)).withColumn("id", F.min("spot").over(whole))
-    return counted.where(F.col("total") >= least)
+    # what names a group stays on one of its rows only
+    lone = [F.when(F.col("id") == F.col("spot"), F.col(c)).alias(c) for c in ("total", *group)]
+    return counted.where(F.col("total") >= least).select("block", "code", "id", *lone)
 
 
 def joined(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -157,12 +180,8 @@ def joined(left: pa.Table, right: pa.Table) -> pa.Table:
 
     `left` is the block's row, `right` the (code, id) of its frequent groups.
     """
-    schema = pa.schema([
-        ("block", pa.int64()), ("lang", pa.string()), ("n", pa.int32()), ("step", pa.binary()), ("code", pa.binary()),
-        ("lefts", pa.list_(pa.int64())), ("rights", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())),
-    ])
     if not left.num_rows or not right.num_rows:
-        return schema.empty_table()
+        return PAIRS.empty_table()
     row = left.to_pylist()[0]
     place, code = np.cumsum(unpack(row["step"], row["n"]), dtype=np.int64), unpack(row["code"], row["n"])
     codes, ids = right["code"].to_numpy(), right["id"].to_numpy()
@@ -172,22 +191,26 @@ def joined(left: pa.Table, right: pa.Table) -> pa.Table:
     place, group = place[group >= 0], group[group >= 0]
     meets = np.flatnonzero(np.diff(place) == 1)
     if not len(meets):
-        return schema.empty_table()
+        return PAIRS.empty_table()
     pairs, code, counts = np.unique(group[meets] * len(ids) + group[meets + 1], return_inverse=True, return_counts=True)
-    row = [row["block"], row["lang"], len(meets), pack(np.diff(place[meets], prepend=0)), pack(code), ids[pairs // len(ids)], ids[pairs % len(ids)], counts]
-    return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+    return block_rows(
+        PAIRS, row["block"], row["lang"], np.diff(place[meets], prepend=0), code, pa.array(ids[pairs // len(ids)]), pa.array(ids[pairs % len(ids)]),
+        pa.array(counts),
+    )
 
 
 def extended(relation: DataFrame, kept: DataFrame) -> DataFrame:
     """R_(k+1), before its semi-join, from R_k and the entries that R_k's semi-join keeps."""
-    blocks = relation.select("block", "lang", "n", "step", "code")
+    blocks = relation.where("step IS NOT NULL").select("block", "lang", "n", "step", "code")
     return blocks.groupBy("block").cogroup(kept.select("block", "code", "id").groupBy("block")).applyInArrow(joined, PAIR_BLOCK)
 
 
-def entries(relation: DataFrame, columns: list[str]) -> DataFrame:
+def entries(relation: DataFrame, columns: list[str], *keep: str) -> DataFrame:
     """A relation's counts: a row per block and group of the block."""
-    listed = relation.select("block", "lang", F.posexplode(F.arrays_zip(*columns, "counts")).alias("code", "group"))
-    return listed.select("block", "lang", "code", *[F.col(f"group.{c}").alias(c) for c in columns], F.col("group.counts").alias("count"))
+    lists = relation.where("step IS NULL")
+    listed = lists.select("block", *keep, "first", F.posexplode(F.arrays_zip(*columns, "counts")).alias("at", "group"))
+    code, named = (F.col("first") + F.col("at")).alias("code"), [F.col(f"group.{c}").alias(c) for c in columns]
+    return listed.select("block", *keep, code, *named, F.col("group.counts").alias("count"))
 
 
 def spelled(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -209,23 +232,23 @@ CUTS = """array_min(transform(sequence(1, size(words) - 1), k -> struct(
 
 def mine(
     docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, longest: int = 4, cover: int = 80, top: int = 2000,
-    scale: int = 2_000_000,
+    scale: int = 2_000_000, block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """`lang`, `rank`, `phrase`, `a`, `l`, `r`, `n`, `score`: each language's best phrases of 2 to `longest` words."""
     with Shelf(docs.sparkSession) as shelf:
-        relation = shelf.put(word_blocks(docs, text, lang), "phrases-words")
+        relation = shelf.put(word_blocks(docs, text, lang, block_words), "phrases-words")
         sizes = shelf.put(relation.groupBy("lang").agg(F.sum(F.col("n").cast("bigint")).alias("n")), "phrases-sizes")
-        kept = shelf.put(frequent(entries(relation, ["words"]), ["lang", "words"], least), "phrases-frequent")
+        kept = shelf.put(frequent(entries(relation, ["words"], "lang"), ["lang", "words"], least), "phrases-frequent")
         one = F.array("total")
         groups = [shelf.put(
-            kept.where("id = spot").select("id", "lang", F.array("words").alias("words"), "total", one.alias("firsts"), one.alias("lasts")), "phrases-1"
+            kept.where("total IS NOT NULL").select("id", "lang", F.array("words").alias("words"), "total", one.alias("firsts"), one.alias("lasts")), "phrases-1"
         )]
         for k in range(2, longest + 1):
             longer = shelf.put(extended(relation, kept), "phrases-pairs")
             shelf.drop(relation, kept)
             relation = longer
             kept = shelf.put(frequent(entries(relation, ["lefts", "rights"]), ["lefts", "rights"], least), "phrases-frequent")
-            pairs = kept.where("id = spot").select("id", "lefts", "rights", "total")
+            pairs = kept.where("total IS NOT NULL").select("id", "lefts", "rights", "total")
             groups.append(shelf.put(spelled(pairs, groups[-1]), f"phrases-{k}"))
         return park(ranked(groups[1:], sizes, cover, top, scale), "phrases")
 

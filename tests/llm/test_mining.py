@@ -57,14 +57,15 @@ def test_phrases_of_odd_rows(spark):
     assert collocations.mine(spark.createDataFrame(PHRASES[1:3], DOCS)).count() == 0
 
 
-def test_phrases_over_many_blocks(spark):
+@pytest.mark.parametrize("size", [1 << 21, 50])
+def test_phrases_over_many_blocks(spark, size):
     draw = np.random.default_rng(5)
     text = lambda: " ".join(draw.choice(["a", "B", "c", "d", "."], 60, p=[0.4, 0.3, 0.1, 0.05, 0.15]))
     rows = [(i, text(), str(draw.choice(["en", "de"])), 1, "x") for i in range(60)]
     want = collocated(rows, 5, 4, 80, 500, 2_000_000)
     assert len({r[0] for r in want}) == 2 and max(len(r[2].split()) for r in want) == 4
     docs = spark.createDataFrame(rows, DOCS).repartition(7)
-    assert sorted(map(tuple, collocations.mine(docs, least=5, top=500).collect())) == want
+    assert sorted(map(tuple, collocations.mine(docs, least=5, top=500, block_words=size).collect())) == want
 
 
 def test_words_of_any_bytes():
@@ -83,6 +84,16 @@ def test_words_of_any_bytes():
     same()
 
 
+def test_groups_are_listed_in_bounded_rows(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(collocations, "LISTED", 3)
+    ids = pa.array(range(8))
+    rows = collocations.block_rows(collocations.PAIRS, 5, "en", np.array([2, 1]), np.array([7, 0]), ids, ids, ids).to_pylist()
+    assert [r["lefts"] for r in rows] == [None, [0, 1, 2], [3, 4, 5], [6, 7]] and [r["first"] for r in rows] == [None, 0, 3, 6]
+    assert collocations.unpack(rows[0]["code"], 2).tolist() == [7, 0] and all(r["step"] is None for r in rows[1:])
+
+
 def test_counts_past_32_bits(spark):
     """Scores whose products pass 64 bits: counts are raised between the rounds and the ranking."""
     big = 9_000_000_000_000_000_000
