@@ -77,3 +77,19 @@ def test_attribute_neighbours():
     cols = ["metadata__episode_attr_03", "metadata__episode_attr_01", "metadata__episode_attr_02"]
     assert names.neighbour_attribute(cols, "metadata__episode_attr_01", 2) == "metadata__episode_attr_03"
     assert names.neighbour_attribute(cols, "metadata__episode_attr_03", 1) is None
+
+
+def test_braces_in_headers_are_text():
+    d = names.HeaderDictionary()
+    heads = ["kfv__{a}", "metadata__x{}", "metadata__{:02d}", "kfv__{block}", "{0} баллы {", "kfv__{a}"]
+    found = [m[1] for m in d.mapping(heads)]
+    assert found[:4] == heads[:4] and len(set(found)) == len(heads)
+    assert [d.canonical(h, d.classify(h), 2) for h in heads[:4]] == heads[:4]
+
+
+def test_repeated_headers_keep_apart():
+    d = names.HeaderDictionary()
+    found = [m[1] for m in d.mapping(["kfv__a", "kfv__a", "kfv__a", "номер эпизода a", "номер эпизода b", "номер эпизода c"])]
+    assert found == ["kfv__a", "kfv__a_03", "kfv__a_04", "metadata__episode_id", "metadata__episode_id_03", "metadata__episode_id_04"]
+    pinned = [m[1] for m in d.mapping(["x{}", "x{}"], {"x{}": "kfv"})]
+    assert pinned == ["kfv__x{}", "kfv__x{}_03"]
