@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import coerce, lexicon as lx
@@ -170,14 +170,22 @@ def build_episodes(df: DataFrame, plan: FieldPlan, row: str = "source_row_index"
 
 
 def align(cleaned: DataFrame, *others: DataFrame, row: str = "source_row_index") -> DataFrame:
-    """Put tables of the same rows side by side on the row id; all must have the same rows."""
-    out, expected = cleaned, cleaned.count()
+    """Put tables of the same rows side by side on the row id.
+
+    All must have the same rows, each once: a row that one of them lacks or has twice
+    raises while the result is made, so nothing is counted beforehand.
+    """
+    out = cleaned.withColumn("_has", F.lit(True))
     for other in others:
         clash = [c for c in other.columns if c in out.columns and c != row]
-        out = out.join(other.drop(*clash), row)
-    if others and (out.count() != expected or any(o.count() != expected for o in others)):
-        raise ValueError("tables to align do not hold the same rows")
-    return out
+        out = out.join(other.drop(*clash).withColumn("_meets", F.lit(True)), row, "full_outer")
+        out = out.withColumn("_has", F.col("_has") & F.col("_meets")).drop("_meets")
+    if not others:
+        return cleaned
+    times = F.count(F.lit(1)).over(Window.partitionBy(row))  # dealt and sorted by the joins already
+    same = F.coalesce(F.col("_has"), F.lit(False)) & (F.col("_times") == 1)
+    checked = out.withColumn("_times", times).withColumn("_same", F.assert_true(same, F.lit("tables to align do not hold the same rows")))
+    return checked.where(F.col("_same").isNull()).drop("_has", "_times", "_same")
 
 
 def provenance(df_spark, plan: FieldPlan) -> DataFrame:

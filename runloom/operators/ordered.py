@@ -2,7 +2,9 @@
 
 A plain window puts a whole key into one task. `Ordering.inspect` counts rows
 per key once; keys above `block` rows are hot, and for these only, rows are cut
-into blocks by `row div block`. Each block is scanned as its own partition, and
+into blocks. The borders of the blocks are ranks, not values: every so many-th of a
+hashed sample of the key's order values, so blocks have about half of `block` rows
+however the values are spread. Each block is scanned as its own partition, and
 a table with one row per block carries the state from block to block. All other
 keys use the plain window. Results are the same either way.
 
@@ -21,14 +23,17 @@ from pyspark.sql import functions as F
 from ..session import park
 
 BLOCK = 1 << 20
+#: Sampled order values for a block, and borders of all hot keys at most (they are broadcast); with more rows, blocks grow.
+SAMPLED, MOST_BORDERS = 64, 1 << 22
 Cells = dict[str, Column]
 
 
 @dataclass(frozen=True)
 class Ordering:
-    """Keys, order column, and the hot keys found by `inspect`.
+    """Keys, order column, and what `inspect` finds: the hot keys with the borders of their blocks.
 
-    No keys means one global order, which is always cut into blocks.
+    No keys means one global order, which is always cut into blocks: by
+    `row div block` unless it was inspected.
     """
 
     keys: tuple[str, ...]
@@ -37,33 +42,50 @@ class Ordering:
     hot: DataFrame | None = None
 
     def inspect(self, df: DataFrame) -> "Ordering":
-        """Count rows per key (map-side combined) and remember the hot keys.
+        """Count rows per key (map-side combined); for the hot keys, choose the borders of their blocks.
 
         There are at most rows / block hot keys.
         """
-        if not self.keys:
-            return self
-        crowded = (
-            df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > self.block)
-            .select(*self.keys)
-        )
-        return replace(self, hot=None if crowded.isEmpty() else park(crowded, "hot"))
+        crowded = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > self.block)
+        if self.keys:
+            if crowded.isEmpty():
+                return replace(self, hot=None)
+            crowded = park(crowded, "crowded")
+        total = crowded.agg(F.sum("_n")).first()[0]
+        if not total:
+            return replace(self, hot=None)
+        block = max(self.block, -(-2 * total // MOST_BORDERS))
+        rate = max(1, block // SAMPLED)
+        sample = df.select(*self.keys, F.col(self.row).alias("_at")).where(F.pmod(F.xxhash64("_at"), F.lit(rate)) == 0)
+        if self.keys:
+            sample = sample.join(crowded.drop("_n"), list(self.keys), "left_semi")
+        sample = park(sample, "sample")
+        ranked = sample.withColumn("_p", F.row_number().over(Window.partitionBy(*self.keys).orderBy("_at")))
+        chosen = ranked.where(F.col("_p") % max(1, block // 2 // rate) == 0)
+        borders = chosen.groupBy(*self.keys).agg(F.array_sort(F.collect_list("_at")).alias("_borders"))  # two for each block
+        return replace(self, hot=park(borders, "hot"))
 
     @property
     def blocked(self) -> bool:
         return not self.keys or self.hot is not None
 
     def with_block(self, df: DataFrame) -> DataFrame:
-        slot = F.floor(F.col(self.row) / F.lit(self.block)).cast("long")
-        if not self.keys:
-            return df.withColumn("_blk", slot)
         if self.hot is None:
-            return df.withColumn("_blk", F.lit(-1).cast("long"))
-        flagged = df.join(self.hot.withColumn("_hot", F.lit(True)), list(self.keys), "left")
-        return flagged.withColumn("_blk", F.when(F.col("_hot"), slot).otherwise(F.lit(-1))).drop("_hot")
+            return df.withColumn("_blk", F.lit(-1).cast("long") if self.keys else F.floor(F.col(self.row) / F.lit(self.block)).cast("long"))
+        if not self.keys:
+            return df.withColumn("_borders", self.hot.scalar()).withColumn("_blk", self.slot()).drop("_borders")
+        # bounded by MOST_BORDERS
+        flagged = df.join(F.broadcast(self.hot), list(self.keys), "left")
+        return flagged.withColumn("_blk", F.when(F.col("_borders").isNotNull(), self.slot()).otherwise(F.lit(-1).cast("long"))).drop("_borders")
+
+    def slot(self) -> Column:
+        """How many borders a row has reached: a binary search over the sorted borders."""
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range(MOST_BORDERS.bit_length()))])
+        reached = lambda at, step: F.get("_borders", at + step - 1) <= F.col(self.row)
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(reached(at, step), at + step).otherwise(at)).cast("long")
 
     def hot_rows(self, df: DataFrame) -> DataFrame:
-        return df.join(self.hot, list(self.keys), "left_semi") if self.keys else df
+        return df.join(self.hot.drop("_borders"), list(self.keys), "left_semi") if self.keys else df
 
     def inner(self):
         """Window over the rows of one key, or of one block of a hot key."""

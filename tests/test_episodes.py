@@ -135,8 +135,18 @@ def test_guessed_weight(spark):
 
 
 def test_align_needs_equal_rows(spark):
-    a = spark.createDataFrame([(0, 1), (1, 2)], "source_row_index long, a int")
-    b = spark.createDataFrame([(0, 5), (1, 6)], "source_row_index long, b int")
-    assert align(a, b).count() == 2
-    with pytest.raises(ValueError):
-        align(a, b.limit(1))
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "source_row_index long, v string")
+    b = spark.createDataFrame([(1, 10), (2, 20)], "source_row_index long, w int")
+    c = spark.createDataFrame([(2, 0.5, 7), (1, 0.25, 8)], "source_row_index long, z double, w int")
+    found = align(a, b, c)
+    assert found.columns == ["source_row_index", "v", "w", "z"] and sorted(map(tuple, found.collect())) == [(1, "x", 10, 0.25), (2, "y", 20, 0.5)]
+    assert align(a).collect() == a.collect()
+    more = spark.createDataFrame([(3, 1)], "source_row_index long, w int")
+    none = spark.createDataFrame([(None, 1), (1, 1), (2, 1)], "source_row_index long, w int")
+    lost, added, doubled = b.where("w < 20"), b.union(more), b.union(b.where("w = 10"))
+    for bad in (lost, added, doubled, none, b.limit(0)):
+        for tables in ((a, bad), (a, b, bad.withColumnRenamed("w", "u"))):
+            with pytest.raises(Exception, match="do not hold the same rows"):
+                align(*tables).collect()
+    with pytest.raises(Exception, match="do not hold the same rows"):
+        align(a.union(a), b).select("w").collect()
\ No newline at end of file

@@ -42,6 +42,28 @@ def test_one_global_order_in_blocks(rows):
     assert everything(whole, Ordering(("k",), "row")) == everything(whole, Ordering((), "row", block=16))
 
 
+def test_borders_are_ranks_not_values(spark, rows):
+    """Order values 2^33 apart, crowded at one end: blocks of at most `block` rows, few of them, and the same results."""
+    wide = rows.withColumn("row", F.when(F.col("row") < 300, F.col("row") * (1 << 33)).otherwise(F.lit(300 << 33) + F.col("row")))
+    plain = Ordering(("k",), "row").inspect(wide)
+    for order in (Ordering(("k",), "row", block=32).inspect(wide), Ordering((), "row", block=32).inspect(wide)):
+        sizes = order.with_block(order.hot_rows(wide)).groupBy(*order.keys, "_blk").count().collect()
+        n = sum(r["count"] for r in sizes)
+        assert max(r["count"] for r in sizes) <= 32 and len(sizes) <= 2 + 4 * n // 32
+        if order.keys:
+            assert everything(wide, plain) == everything(wide, order)
+    whole = wide.withColumn("k", F.lit("all"))
+    assert everything(whole, Ordering(("k",), "row")) == everything(whole, Ordering((), "row", block=32).inspect(whole))
+
+
+def test_sampled_borders_of_a_long_key(spark):
+    long = spark.range(200_000).select(F.lit("a").alias("k"), (F.col("id") * (1 << 33)).alias("row"))
+    order = Ordering(("k",), "row", block=1 << 14).inspect(long)
+    sizes = [r["count"] for r in order.with_block(long).groupBy("_blk").count().collect()]
+    assert max(sizes) <= 1 << 14 and len(sizes) <= 60 and sum(sizes) == 200_000
+    assert with_place(long, order).where(F.col("place") != F.col("row") / (1 << 33) + 1).count() == 0
+
+
 def test_plan_of_a_keyed_scan_has_no_single_partition(rows):
     order = Ordering(("k",), "row", block=16).inspect(rows)
     plan = number_runs(rows.withColumn("sequence_id", F.col("v")), order)._jdf.queryExecution().executedPlan().toString()
