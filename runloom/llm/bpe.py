@@ -47,8 +47,10 @@ from pyspark.sql import types as T
 
 from .arrow import add_columns
 
-#: Entries of a generation of kept chunks and words, and arcs kept before the table starts afresh.
-KEPT_CHUNKS, KEPT_WORDS, KEPT_ARCS = 150_000, 80_000, 400_000
+#: Bytes of a generation of kept chunks and words, and arcs kept before the table starts afresh.
+KEPT_CHUNKS, KEPT_WORDS, KEPT_ARCS = 80 << 20, 24 << 20, 400_000
+#: What an entry takes besides its key and value, in bytes.
+ENTRY = 200
 #: Symbol behind a word's last one; stands for the file's word-end suffix.
 END = "\0"
 #: ASCII separators that Python takes for white space and the tokenizers do not.
@@ -183,16 +185,24 @@ class Automaton:
 
 
 class Kept(dict):
-    """What was made for recent keys: a full generation becomes the old one, whose entries come back when asked for."""
+    """What was made for recent keys: a full generation becomes the old one, whose entries come back when asked for.
 
-    def __init__(self, make, size: int):
+    `unit` is what one item of a value takes; what is larger than a generation is not kept.
+    """
+
+    def __init__(self, make, size: int, unit: int):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.unit, self.held, self.old = make, size, unit, 0, {}
 
     def put(self, key: str, value) -> None:
-        if len(self) >= self.size:
+        cost = ENTRY + len(key) + self.unit * len(value)
+        if cost > self.size:
+            return
+        if self.held + cost > self.size:
             self.old = dict(self)
             self.clear()
+            self.held = 0
+        self.held += cost
         self[key] = value
 
     def __missing__(self, key: str):
@@ -218,8 +228,8 @@ class Tokenizer:
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.labels = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
         self.alphabet = byte_alphabet()
-        self.words = Kept(self.word, KEPT_WORDS)
-        self.chunks = Kept(lambda chunk: array("i", self.ids(chunk)).tobytes(), KEPT_CHUNKS)
+        self.words = Kept(self.word, KEPT_WORDS, 36)
+        self.chunks = Kept(lambda chunk: array("i", self.ids(chunk)).tobytes(), KEPT_CHUNKS, 1)
 
     @functools.cached_property
     def automaton(self) -> Automaton:
@@ -321,6 +331,25 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", keep: Sequence[str] =
     return add_columns(coded, ids, keep, make, [T.StructField(text, T.StringType())])
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text", keep: Sequence[str] = ("doc_id",), ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Kept columns, the token ids of every whole text and the text of these ids: one pass, one tokenizer in each worker."""
+    content = spread(docs, path)
+
+    def make():
+        tokenizer = ready(content.value)
+
+        def work(texts: pa.Array) -> list[pa.Array]:
+            found = [tokenizer.encode(t) for t in texts.to_pylist()]
+            ends = np.cumsum([0, *(len(b) // 4 for b in found)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
+            return [lists, pa.array([tokenizer.decode(np.frombuffer(b, "<i4").tolist()) for b in found], pa.string())]
+
+        return work
+
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())]
+    return add_columns(docs, text, keep, make, fields)
+
+
 def _numpy_lists(lists: pa.Array):
     """Each list as a NumPy array; null lists as empty ones."""
     offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)

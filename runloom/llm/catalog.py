@@ -91,8 +91,7 @@ def op3_nearest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op4_bpe")
 def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    coded = bpe.encode(table(spark, sf, "documents"), vocabulary())
-    back = bpe.decode(coded, vocabulary())
+    back = bpe.round_trip(table(spark, sf, "documents"), vocabulary())
     return back.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
