@@ -15,7 +15,7 @@ from ..operators.features import FeaturePlan, engineer, traceability, validation
 from ..operators.tidy import MAPPING_SCHEMA, validate
 from ..plans import diagnostics, research
 from ..session import park, shared_folder
-from ..sources import manifest, params, sinks
+from ..sources import manifest, params, publish, sinks
 from . import q_models
 from .binding import EPISODE_CTE, RAW_CTE, analysis, episodes, raw_rows, with_cte
 from .q_audits import _SEQ
@@ -26,13 +26,22 @@ def scratch(spark, name):
     return f"{shared_folder(spark)}/runloom/{name}-{os.urandom(6).hex()}"
 
 
+def published(spark, name, write):
+    """A folder with one release of the tables that `write` makes."""
+    folder = scratch(spark, name)
+    release = publish.Release(spark, folder, "first")
+    release.add(write(release.stage))
+    release.publish()
+    return folder
+
+
 @query("s12_exported_rows", with_cte(RAW_CTE, """
 SELECT count(*) AS rows, count(*) FILTER (metadata__athlete_name <> '') AS named, round(sum(metadata__episode_duration), 4) AS duration FROM raw"""))
 def exported_rows(spark, sf):
     rows = raw_rows(spark, sf)
     mapping = spark.createDataFrame([(c, c, c.split("__")[0], i) for i, c in enumerate(rows.columns[1:], 1)], MAPPING_SCHEMA)
-    paths = sinks.export_preprocessing(scratch(spark, "export"), rows, rows, mapping, validate(mapping, rows), fmt="csv")
-    back = spark.read.schema(rows.schema).csv(paths["cleaned"], header=True)
+    folder = published(spark, "export", lambda stage: sinks.export_preprocessing(stage, rows, rows, mapping, validate(mapping, rows), fmt="csv"))
+    back = spark.read.schema(rows.schema).csv(publish.path(spark, folder, "cleaned"), header=True)
     return back.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("metadata__athlete_name") != "", 1)).alias("named"),
                     F.round(F.sum("metadata__episode_duration"), 4).alias("duration"))
 
@@ -43,8 +52,8 @@ def exported_features(spark, sf):
     rows = raw_rows(spark, sf)
     plan = FeaturePlan.from_names(rows.columns)
     made = engineer(rows, plan).select("source_row_index", *lx.ENGINEERED_FEATURES)
-    paths = sinks.export_features(scratch(spark, "features"), rows, made, traceability(spark, plan), validation(spark, plan))
-    back = spark.read.parquet(paths["engineered_features"])
+    folder = published(spark, "features", lambda stage: sinks.export_features(stage, rows, made, traceability(spark, plan), validation(spark, plan)))
+    back = publish.read(spark, folder, "engineered_features")
     return back.agg(F.round(F.sum("duration"), 4).alias("duration"), F.round(F.sum("vup_code"), 4).alias("vup_code"))
 
 
@@ -52,8 +61,8 @@ def exported_features(spark, sf):
 def exported_audits(spark, sf):
     rows = park(analysis(spark, sf), "analysis")
     audits = {"sequence": sequence_audit.audit(rows), "metadata": metadata_audit.audit(rows)}
-    paths = sinks.export_audits(scratch(spark, "audits"), audits)
-    back = spark.read.json(paths["sequence_summary"])
+    folder = published(spark, "audits", lambda stage: sinks.export_audits(stage, audits))
+    back = publish.read(spark, folder, "sequence_summary", "json")
     return back.select("n_sequences", F.col("rows_total").alias("rows"))
 
 

@@ -20,7 +20,7 @@ from ..operators.ordered import Ordering
 from ..operators.tidy import Tidy, tidy, validate
 from ..session import park
 from ..sources import cells as cs
-from ..sources import manifest, params, sinks
+from ..sources import manifest, params, publish, sinks
 
 SHEET = ("sheet_name",)
 
@@ -129,35 +129,55 @@ def report(prepared: Prepared, analysis: DataFrame, model: DiscreteModel, assign
 
 
 def run(rows: DataFrame, folder: str, settings: Settings = Settings(), rules: ObservationRules | None = None,
-        row: str = "source_row_index", blocks: dict[str, str] | None = None) -> Report:
-    """The whole cycle, with a run table under `folder`. A failure is recorded and raised."""
+        row: str = "source_row_index", blocks: dict[str, str] | None = None, extra: dict[str, DataFrame] | None = None) -> Report:
+    """The whole cycle, with a run table under `folder`. A failure is recorded and raised.
+
+    Readers see the tables of a run, the model included, when all of them are written
+    (`publish.read`); `extra` tables go along with the preprocessing ones.
+    """
     spark, run_id, runs = rows.sparkSession, manifest.new_run_id(), f"{folder}/runs"
     parameters = {"n_states": settings.n_states, "topology": settings.topology, "match_on": settings.match_on,
                   "retrain": settings.retrain, "model_path": settings.model_path}
     manifest.append_status(spark, runs, run_id, "running", parameters)
+    release = publish.Release(spark, folder, run_id)
+    stage = release.stage
     try:
         prepared = prepare(rows, settings, rules, row, blocks)
-        model_path = settings.model_path or f"{folder}/model"
         if settings.retrain:
             model, naming = train(prepared.episodes, settings)
             assigned, confidence = naming.assigned, naming.confidence
+            model_path = settings.model_path or f"{stage}/model"
             params.save_model(spark, model, model_path, run_id, {"assigned": assigned, "confidence": confidence})
-            sinks.write_table(names_table(spark, naming), f"{folder}/state_names")
+            names = names_table(spark, naming)
         else:
-            model, extra = params.load_model(spark, model_path)
-            assigned, confidence = extra.get("assigned", {}), extra.get("confidence", {})
-        path = sinks.write_table(analyze(prepared.episodes, model), f"{folder}/analysis")
+            published = publish.current(spark, folder)
+            model_path = settings.model_path or publish.path(spark, folder, "model")
+            model, more = params.load_model(spark, model_path)
+            assigned, confidence = more.get("assigned", {}), more.get("confidence", {})
+            names = spark.read.parquet(published["state_names"]) if "state_names" in published else None
+            if not settings.model_path:  # a release holds all that its tables rest on
+                model_path = f"{stage}/model"
+                params.save_model(spark, model, model_path, run_id, {"assigned": assigned, "confidence": confidence})
+        if names is not None:
+            release.add(sinks.write_tables({"state_names": names}, stage))
+        if not settings.model_path:
+            release.add({"model": model_path})
+        path = sinks.write_table(analyze(prepared.episodes, model), f"{stage}/analysis")
+        release.add({"analysis": path})
         out = report(prepared, spark.read.parquet(path), model, assigned, confidence, rules)
         mapping = prepared.tidy.mapping_table(spark)
-        sinks.export_preprocessing(f"{folder}/preprocessing", rows, prepared.cleaned.select(row, *prepared.names), mapping,
-                                   validate(mapping, prepared.cleaned), {"episodes": prepared.episodes, "fields": provenance(spark, prepared.fields)})
-        sinks.export_features(f"{folder}/features", prepared.cleaned.select(row, *prepared.features.raw_columns()),
-                              prepared.cleaned.select(row, *lx.ENGINEERED_FEATURES), traceability(spark, prepared.features),
-                              validation(spark, prepared.features))
-        sinks.export_audits(f"{folder}/audits", out.audits)
-        sinks.write_tables(out.tables, f"{folder}/tables")
-        sinks.write_tables(out.charts, f"{folder}/charts")
+        release.add(sinks.export_preprocessing(
+            f"{stage}/preprocessing", rows, prepared.cleaned.select(row, *prepared.names), mapping, validate(mapping, prepared.cleaned),
+            {"episodes": prepared.episodes, "fields": provenance(spark, prepared.fields), **(extra or {})}), "preprocessing")
+        release.add(sinks.export_features(
+            f"{stage}/features", prepared.cleaned.select(row, *prepared.features.raw_columns()),
+            prepared.cleaned.select(row, *lx.ENGINEERED_FEATURES), traceability(spark, prepared.features), validation(spark, prepared.features)),
+            "features")
+        release.add(sinks.export_audits(f"{stage}/audits", out.audits), "audits")
+        release.add(sinks.write_tables(out.tables, f"{stage}/tables"), "tables")
+        release.add(sinks.write_tables(out.charts, f"{stage}/charts"), "charts")
         counts = out.tables["run_summary"].first().asDict()
+        release.publish()
         manifest.append_status(spark, runs, run_id, "completed", parameters, counts)
         return out
     except Exception as error:
@@ -172,9 +192,8 @@ def run_cells(cells: DataFrame, folder: str, settings: Settings = Settings(), de
     rows = read["rows"].drop("episode_order")
     if "source_sheet" in rows.columns:
         rows = rows.drop("source_sheet")
-    if "matrix_rows" in read:
-        sinks.write_tables({name: read[name] for name in ("matrix_rows", "label_mapping")}, f"{folder}/preprocessing")
-    return run(park(rows, "rows"), folder, settings, rules, blocks=blocks_of(rows.columns))
+    extra = {name: read[name] for name in ("matrix_rows", "label_mapping") if name in read}
+    return run(park(rows, "rows"), folder, settings, rules, blocks=blocks_of(rows.columns), extra=extra)
 
 
 def blocks_of(columns: list[str]) -> dict[str, str]:

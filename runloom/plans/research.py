@@ -17,7 +17,7 @@ from ..operators import charts, picks, profiles, transitions
 from ..operators.features import FeaturePlan, Scaler, block_weights, engineer, model_inputs, signal_source, with_research_keys
 from ..operators.ordered import Ordering
 from ..session import park
-from ..sources import params, sinks
+from ..sources import manifest, params, publish, sinks
 
 MODES = ("full", "fast")
 
@@ -78,20 +78,22 @@ class Research:
 
 def run(cleaned: DataFrame, folder: str, mode: str = "full", n_states: int = 3, topology: str = "left_to_right",
         row: str = "source_row_index") -> Research:
-    """`full` trains and saves a model, `fast` uses the one saved under `folder`."""
+    """`full` trains a model, `fast` uses the one published under `folder`; tables and model are published together."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     spark = cleaned.sparkSession
+    release = publish.Release(spark, folder, manifest.new_run_id())
     rows, plan = encode(cleaned, row)
     rows = park(rows, "features")
     if mode == "full":
         model, naming, _ = train(rows, n_states, topology)
         assigned, confidence = naming.assigned, naming.confidence
-        params.save_model(spark, model, f"{folder}/model", "research", {"assigned": assigned, "confidence": confidence})
     else:
-        model, extra = params.load_model(spark, f"{folder}/model")
+        model, extra = params.load_model(spark, publish.path(spark, folder, "model"))
         assigned, confidence = extra.get("assigned", {}), extra.get("confidence", {})
-    analysis = spark.read.parquet(sinks.write_table(predict(rows, model), f"{folder}/analysis"))
+    params.save_model(spark, model, f"{release.stage}/model", "research", {"assigned": assigned, "confidence": confidence})
+    release.add({"model": f"{release.stage}/model", "analysis": f"{release.stage}/analysis"})
+    analysis = spark.read.parquet(sinks.write_table(predict(rows, model), f"{release.stage}/analysis"))
     moves = park(transitions.named_transitions(transitions.count_transitions(analysis, order_of(analysis)), model.names), "moves")
     recomputed = transitions.count_transitions(analysis, order_of(analysis))
     profile = profiles.feature_profile(analysis, [c for c in rows.columns if c.endswith("_code") or c in ("duration", "pause", "observed_result")],
@@ -109,5 +111,6 @@ def run(cleaned: DataFrame, folder: str, mode: str = "full", n_states: int = 3,
             analysis if "athlete_name" in analysis.columns else analysis.withColumn("athlete_name", F.lit("")),
             transitions.top_transitions(moves), model.names).items()},
     }
-    sinks.write_tables(tables, f"{folder}/tables")
+    release.add(sinks.write_tables(tables, f"{release.stage}/tables"), "tables")
+    release.publish()
     return Research(analysis, model, tables, signal_source(plan))

@@ -9,6 +9,7 @@ from compare import compare, connect
 from runloom import catalog
 from runloom.plans import diagnostics, facade, research
 from runloom.sources import cells as cs
+from runloom.sources import publish, sinks
 
 
 @pytest.fixture(scope="module")
@@ -33,19 +34,44 @@ def test_diagnostic_cycle(spark, cells, tmp_path):
     summary = out.tables["run_summary"].first()
     assert summary["rows_total"] == 80 and 0 < summary["rows_train_eligible"] <= 80 and summary["n_sequences"] > 2
     assert out.analysis.count() == 80 and {"hidden_state", "p_state_2", "confidence"} <= set(out.analysis.columns)
-    assert spark.read.parquet(f"{folder}/tables/transitions").count() > 0
+    assert publish.read(spark, folder, "tables/transitions").count() > 0
+    first = publish.current(spark, folder)
+    assert {"model", "state_names", "analysis", "preprocessing/episodes", "features/traceability", "audits/model_summary"} <= set(first)
     status = [r["status"] for r in spark.read.parquet(f"{folder}/runs").orderBy("at").collect()]
     assert status == ["running", "completed"]
     again = diagnostics.run_cells(cells, folder, diagnostics.Settings(retrain=False), depth=1)
     assert [r["hidden_state"] for r in again.analysis.orderBy("source_row_index").collect()] == [
-        r["hidden_state"] for r in spark.read.parquet(f"{folder}/analysis").orderBy("source_row_index").collect()]
+        r["hidden_state"] for r in publish.read(spark, folder, "analysis").orderBy("source_row_index").collect()]
+    second = publish.current(spark, folder)
+    assert set(second) == set(first) and not set(second.values()) & set(first.values())
+
+
+def test_killed_run_leaves_the_last_release(spark, tmp_path):
+    """A reader sees all tables of one run or of the other, whatever a later run has written so far."""
+    folder, made = str(tmp_path), lambda n: spark.createDataFrame([(n,)], "n int")
+    assert publish.current(spark, folder) == {}
+    with pytest.raises(LookupError):
+        publish.read(spark, folder, "a")
+    for version in (1, 2):
+        release = publish.Release(spark, folder, f"v{version}")
+        release.add(sinks.write_tables({"a": made(version), "b": made(version)}, release.stage), "tables")
+        if version == 1:
+            release.publish()
+        else:  # the second run dies before it is published, with some tables written
+            half = publish.Release(spark, folder, "v3")
+            sinks.write_tables({"a": made(3)}, half.stage)
+        assert [publish.read(spark, folder, f"tables/{t}").first().n for t in "ab"] == [1, 1]
+    release.publish()
+    assert [publish.read(spark, folder, f"tables/{t}").first().n for t in "ab"] == [2, 2]
+    with pytest.raises(ValueError):
+        release.add({"x": f"{folder}/elsewhere"})
 
 
 def test_failed_run_is_recorded(spark, tmp_path):
     bad = spark.createDataFrame([(0, "Итого")], "source_row_index long, `ФИО борца` string")
     with pytest.raises(ValueError):
         diagnostics.run(bad, str(tmp_path))
-    assert "failed" in [r["status"] for r in spark.read.parquet(f"{tmp_path}/runs").collect()]
+    assert "failed" in [r["status"] for r in spark.read.parquet(f"{tmp_path}/runs").collect()] and publish.current(spark, str(tmp_path)) == {}
 
 
 def test_research_and_facade(spark, cells, tmp_path):
@@ -58,7 +84,7 @@ def test_research_and_facade(spark, cells, tmp_path):
     assert out.tables["transition_differences"].count() == 0 and out.tables["unexpected_names"].count() == 0
     assert out.signal["classification"] == "proxy"
     fast = research.run(rows, str(tmp_path / "research"), "fast")
-    assert fast.analysis.count() == 80
+    assert fast.analysis.count() == 80 and "tables/summary_lines" in publish.current(spark, str(tmp_path / "research"))
 
 
 SAMPLE = [
