@@ -19,8 +19,11 @@ set that is linked to another one shares an n-gram with it among its first
    for the others), pairs across components are compared by signatures: the
    parity of the n-grams that fall on each of `SIGNATURE` places. Signatures differ in
    at most as many places as sets differ in n-grams, so pairs that differ in more can be
-   left out; the others are checked exactly. So no link between components is lost, and
-   a large group of near copies, being one component, makes no pairs at all.
+   left out; the others are checked exactly. First each two components get the one pair
+   that differs least: a link is all that is needed to join them, however many pairs
+   of near copies they have between them. What is still apart then gets all its pairs.
+   So no link between components is lost, and none is spelled out within them.
+   Crowded n-grams are dealt out in parts that meet two by two.
 
 Defined results: texts that are null or without words have an empty set, are linked
 with nothing, and are their own component; a text with fewer words than an n-gram has
@@ -33,42 +36,72 @@ N-grams are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import hashlib
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.session import park
 
+from .arrow import slices
 from .components import components
-from .text import ascii_lower, let, words
+from .text import ascii_lower, own_name, words
 
 #: Bounds of what is broadcast: frequent n-grams and bits of the Bloom filter.
 MAX_FREQUENT = 1 << 18
 MAX_BITS = 1 << 27
 FREQUENT = 16
+#: Words whose hashes a task keeps.
+KEPT_WORDS = 400_000
 #: Classes in a chunk that one trie holds.
 CHUNK = 400
 #: Places of a signature.
 SIGNATURE = 2048
+#: Classes of a crowded n-gram in one part, rows of a task, and pairs whose signatures are compared at once.
+PART, TASK_ROWS, AT_ONCE = 1024, 20_000, 1 << 16
 
 
-def ngram_hashes(found: Column, n: int) -> Column:
-    """Sorted hashes of the distinct n-grams of an array of words."""
-    nothing = F.array().cast("array<bigint>")
+class Words(dict):
+    """64-bit hashes of words, kept for those met lately."""
 
-    def grams(h: Column) -> Column:
-        window = lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)])
-        return (
-            F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), window))
-            .when(F.size(h) > 0, F.array(F.xxhash64(h)))
-            .otherwise(nothing)
-        )
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        known = self[word] = xxhash.xxh64_intdigest(word)
+        return known
 
-    return F.array_sort(F.array_distinct(let(F.transform(found, lambda w: F.xxhash64(w)), grams)))
+
+def mixed(hashes: Sequence[np.ndarray]) -> np.ndarray:
+    """One hash for each row of these columns, by position."""
+    out = np.full(len(hashes[0]), len(hashes), np.uint64)
+    with np.errstate(over="ignore"):
+        for h in hashes:
+            out = (out ^ h) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+            out *= np.uint64(0xBF58476D1CE4E5B9)
+            out ^= out >> np.uint64(32)
+    return out
+
+
+def ngram_hashes(words: Sequence[bytes], n: int, known: Words) -> np.ndarray:
+    """Sorted hashes of the distinct n-grams of a text's words."""
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    if len(h) >= n:
+        found = mixed([h[k : len(h) - n + 1 + k] for k in range(n)])
+    else:
+        found = mixed([h[k : k + 1] for k in range(len(h))]) if len(h) else h
+    return np.unique(found.view(np.int64))
+
+
+def words_of(texts: pa.Array) -> Iterator[list[bytes]]:
+    """Words of every text, A-Z in lower case; bytes are parted at just the blanks of the word rule."""
+    for text in texts.cast(pa.large_binary()).to_pylist():
+        yield text.lower().split() if text else []
 
 
 def misses(n: Column, similarity: int) -> Column:
@@ -76,15 +109,9 @@ def misses(n: Column, similarity: int) -> Column:
     return (n - F.floor((n * similarity + 99) / 100)).cast("int")
 
 
-def front(n: Column, similarity: int) -> Column:
-    """Length of the counted front: half as many again as may be missed, and one."""
-    m = misses(n, similarity)
-    return F.least(n, m + F.ceil(m / 2).cast("int") + 1)
-
-
 @cache
 def front_and_demand(size: int, similarity: int) -> tuple[int, int]:
-    """`front` of a set, and how many n-grams of it any linked set has in its own front too.
+    """Length of a set's counted front (half as many again as may be missed, and one), and how many n-grams of it any linked set has in its own front too.
 
     Of sets of sizes a and b with an overlap of o, the k-th shared n-gram lies among the
     first k + a - o of one and k + b - o of the other. Fronts of linked sets differ in
@@ -131,12 +158,21 @@ def ordered_sets(docs: DataFrame, text: str, key: str, n: int, similarity: int)
 
     The last two are null for documents that can not be linked to another text.
     """
-    found = words(ascii_lower(F.col(text)))
-    base = docs.select(
-        F.col(key).cast("bigint").alias("doc_id"), F.unhex(F.md5(F.array_join(found, " "))).alias("same"), ngram_hashes(found, n).alias("tokens")
-    ).withColumn("n", F.size("tokens"))
-    counted = base.select(F.explode(F.slice("tokens", F.lit(1), front(F.col("n"), similarity))).alias("token"))
-    repeated = park(counted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "ngrams")
+    source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for batch in batches:
+            for part in slices(batch, 0):
+                fronts = []
+                for found in words_of(part.column(0)):
+                    t = ngram_hashes(found, n, known)
+                    fronts.append(t[: front_and_demand(len(t), similarity)[0]] if len(t) else t)
+                token, times = np.unique(np.concatenate(fronts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(times)], names=["token", "n"])
+
+    counted = source.select("text").mapInArrow(count, "token bigint, n bigint")
+    repeated = park(counted.groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"), "ngrams")
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((*bloom_bits(repeated), *frequent(repeated)))
 
@@ -151,28 +187,30 @@ def ordered_sets(docs: DataFrame, text: str, key: str, n: int, similarity: int)
                 hit &= (words_[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
             return int(hit.sum())
 
+        def ordered(t: np.ndarray) -> np.ndarray | None:
+            length, demand = front_and_demand(len(t), similarity) if len(t) else (0, 1)
+            if repeated_in(t[:length]) < demand:
+                return None
+            if not len(hot):
+                return t
+            at = np.minimum(np.searchsorted(hot, t), len(hot) - 1)
+            return t[np.lexsort((t, np.where(hot[at] == t, hot_n[at], 0)))]
+
+        known, longs = Words(), pa.list_(pa.int64())
         for batch in batches:
-            lists = batch.column(2)
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            out, signs = [], []
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                t = values[a:b]
-                length, demand = front_and_demand(int(b - a), similarity) if b > a else (0, 1)
-                if repeated_in(t[:length]) < demand:
-                    out.append(None)
-                    signs.append(None)
-                    continue
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, t), len(hot) - 1)
-                    rank = np.where(hot[at] == t, hot_n[at], 0)
-                    t = t[np.lexsort((t, rank))]
-                out.append(t)
-                odd = np.bincount((t >> 40) & (SIGNATURE - 1), minlength=SIGNATURE) & 1
-                signs.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out, longs), pa.array(signs, longs)], names=["doc_id", "same", "n", "tokens", "signature"])
-
-    made = base.select("doc_id", "same", "tokens", "n").mapInArrow(order, "doc_id bigint, same binary, n int, tokens array<bigint>, signature array<bigint>")
+            for part in slices(batch, 1):
+                same, sizes, out, signs = [], [], [], []
+                for found in words_of(part.column(1)):
+                    t = ngram_hashes(found, n, known)
+                    same.append(hashlib.md5(b" ".join(found)).digest())
+                    sizes.append(len(t))
+                    out.append(ordered(t))
+                    odd = None if out[-1] is None else np.bincount((out[-1] >> 40) & (SIGNATURE - 1), minlength=SIGNATURE) & 1
+                    signs.append(None if odd is None else np.packbits(odd.astype(np.uint8)).view(np.int64))
+                columns = [part.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(out, longs), pa.array(signs, longs)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "n", "tokens", "signature"])
+
+    made = source.mapInArrow(order, "doc_id bigint, same binary, n int, tokens array<bigint>, signature array<bigint>")
     return park(made.select(F.monotonically_increasing_id().alias("rid"), "*"), "sets")
 
 
@@ -297,6 +335,82 @@ def grouped_links(sets: DataFrame, labels: DataFrame, similarity: int, tasks: in
     return rows.groupBy("task").applyInArrow(run, "a bigint, b bigint")
 
 
+SIDES = ("token", "cid", "n", "pos", "root", "signature")
+
+
+def two_by_two(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places within each group of rows, in pieces of bounded size."""
+    for size in np.unique(sizes):
+        own = starts[sizes == size]
+        step = max(1, AT_ONCE // int(size))
+        for first in range(0, int(size) - 1, step):  # rows of a large group a few at a time
+            i, j = np.triu_indices(int(size), 1) if size <= 64 else (x.ravel() for x in np.meshgrid(np.arange(first, min(first + step, size)), np.arange(size), indexing="ij"))
+            i, j = i[i < j], j[i < j]
+            several = max(1, AT_ONCE // max(1, len(i)))
+            for at in range(0, len(own), several):
+                base = own[at : at + several, None]
+                yield (base + i).ravel(), (base + j).ravel()
+            if size <= 64:
+                break
+
+
+def across(sides: DataFrame, similarity: int, nearest: bool) -> DataFrame:
+    """`cid_a`, `cid_b`, `others`: pairs of classes of different components that share an n-gram and may be linked.
+
+    With `nearest`, each two components get at most one pair from a task, the one whose
+    signatures differ least; `others` counts those left out.
+    """
+    sized = sides.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    placed = sides.join(sized, "token").withColumn("part", F.pmod(F.xxhash64("cid", F.lit(9)), F.col("parts")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("low"), F.greatest("part", j).alias("high")))
+    placed = placed.withColumn("meets", F.explode(meets)).select(*SIDES, "part", "meets.low", "meets.high")
+    tasks = max(1, -(-sides.count() // TASK_ROWS))
+    placed = placed.withColumn("task", F.pmod(F.xxhash64("token", "low", "high"), F.lit(tasks)).cast("int"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([(c, "ascending") for c in ("token", "low", "high", "cid")])
+        token, low, high, part, cid, n, pos, root = (table[c].to_numpy() for c in ("token", "low", "high", "part", "cid", "n", "pos", "root"))
+        sign = table["signature"].combine_chunks().flatten().to_numpy().reshape(len(cid), -1).view(np.uint64)
+        change = (np.diff(token) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)
+        starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+        found = []
+        for i, j in two_by_two(starts, np.diff(np.append(starts, len(cid)))):
+            both = n[i] + n[j]
+            # at the first n-gram that a pair shares, the overlap can not exceed what follows it
+            most = np.minimum(n[i] - pos[i], n[j] - pos[j])
+            fits = (root[i] != root[j]) & ((low[i] == high[i]) | (part[i] != part[j])) & (100 * np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+            fits &= (100 + similarity) * most >= similarity * both
+            i, j, both = i[fits], j[fits], both[fits]
+            apart = np.bitwise_count(sign[i] ^ sign[j]).sum(axis=1, dtype=np.int64)
+            # overlap = (sum of sizes - difference) / 2
+            fits = (100 + similarity) * (both - apart) >= 2 * similarity * both
+            found.append((i[fits], j[fits], apart[fits]))
+        i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+        others = np.zeros(len(i), np.int64)
+        if nearest and len(i):
+            roots = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+            order = np.lexsort((cid[j], cid[i], apart, *roots))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (np.diff(roots[0][order]) != 0) | (np.diff(roots[1][order]) != 0)
+            first = np.flatnonzero(fresh)
+            pairs = np.stack([np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])])[:, order]
+            others = np.array([len(np.unique(pairs[:, a:b], axis=1).T) - 1 for a, b in zip(first, np.append(first[1:], len(order)), strict=True)])
+            i, j = i[order][first], j[order][first]
+        return pa.table({"cid_a": np.minimum(cid[i], cid[j]), "cid_b": np.maximum(cid[i], cid[j]), "others": others.astype(np.int64)})
+
+    return placed.groupBy("task").applyInArrow(run, "cid_a bigint, cid_b bigint, others bigint")
+
+
+def checked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Those of the pairs that are linked, as edges `a`, `b`."""
+    a = sets.select(F.col("cid").alias("cid_a"), F.col("tokens").alias("tokens_a"))
+    b = sets.select(F.col("cid").alias("cid_b"), F.col("tokens").alias("tokens_b"))
+    overlap = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    near = (100 + similarity) * overlap >= similarity * (F.size("tokens_a") + F.size("tokens_b"))
+    found = pairs.select("cid_a", "cid_b").distinct().join(a, "cid_a").join(b, "cid_b").where(near)
+    return found.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
+
+
 def linked(docs: DataFrame, n: int = 5, similarity: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """`doc_id`, `same`, `root`, `n_shingles` and `component_id` of every document.
 
@@ -334,31 +448,20 @@ def linked(docs: DataFrame, n: int = 5, similarity: int = 80, text: str = "text"
     ).where("low < high")
     # n-grams of one passage have the same classes: the first in global order stands for all
     crossing = of_token.groupBy("df", "who", "who2").agg(F.min_by("token", "pos").alias("token")).select("token")
-    sides = placed.join(crossing, "token").join(sets.select("cid", "signature"), "cid")
-    own = ("cid", "n", "pos", "root", "signature")
-    sides = park(sides.select("token", *own), "crossing")
-    left = sides.select(F.col("token"), *[F.col(c).alias(f"{c}_a") for c in own])
-    right = sides.select(F.col("token").alias("token_b"), *[F.col(c).alias(f"{c}_b") for c in own])
-    apart = F.expr(" + ".join(f"bit_count(signature_a[{i}] ^ signature_b[{i}])" for i in range(SIGNATURE // 64)))
-    # at the first n-gram that a pair shares, the overlap can not exceed what follows it
-    bound = F.expr("least(n_a - pos_a, n_b - pos_b)")
-    near = (
-        (F.col("token") == F.col("token_b")) & (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b"))
-        & (100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
-        & ((100 + similarity) * bound >= similarity * (F.col("n_a") + F.col("n_b")))
-        # overlap = (n_a + n_b - difference) / 2
-        & ((100 + similarity) * (F.col("n_a") + F.col("n_b") - apart) >= 2 * similarity * (F.col("n_a") + F.col("n_b")))
-    )
-    pairs = park(left.join(right, near).select("cid_a", "cid_b").distinct(), "pairs")
-    a = sets.select(F.col("cid").alias("cid_a"), F.col("tokens").alias("tokens_a"))
-    b = sets.select(F.col("cid").alias("cid_b"), F.col("tokens").alias("tokens_b"))
-    overlap = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    more = pairs.join(a, "cid_a").join(b, "cid_b").where(
-        (100 + similarity) * overlap >= similarity * (F.size("tokens_a") + F.size("tokens_b"))
-    )
-    more = park(more.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")), "links")
+    sides = park(placed.join(crossing, "token").join(sets.select("cid", "signature"), "cid").select(*SIDES), "crossing")
+    nearest = park(across(sides, similarity, True), "pairs")
+    more = park(checked(nearest, sets, similarity), "links")
     if more.limit(1).count():
-        roots = components(edges.union(more))
+        edges = edges.union(more)
+        roots = components(edges)
+    if nearest.where("others > 0").limit(1).count():
+        named = roots.withColumnsRenamed({"node": "cid", "root": "now"})
+        again = sides.join(named, "cid", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
+        several = again.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+        rest = park(across(again.join(several, "token"), similarity, False).select("cid_a", "cid_b").distinct(), "pairs")
+        more = park(checked(rest, sets, similarity), "links")
+        if more.limit(1).count():
+            roots = components(edges.union(more))
 
     whole = picks.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = whole.groupBy("root").agg(F.min("first").alias("component"))
@@ -370,12 +473,13 @@ def linked(docs: DataFrame, n: int = 5, similarity: int = 80, text: str = "text"
 
 def keep_one(docs: DataFrame, n: int = 5, similarity: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One document of each component, with the columns of `docs`: that with the smallest id."""
+    own_id, own_same = own_name(docs, "__id"), own_name(docs, "__same")
     found = linked(docs, n, similarity, text, key)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")).alias("k")
-    kept = found.where("n_shingles > 0").groupBy("root").agg(first).select("k.doc_id", "k.same").withColumnsRenamed({"doc_id": "__id", "same": "__same"})
+    kept = found.where("n_shingles > 0").groupBy("root").agg(first).select("k.doc_id", "k.same").withColumnsRenamed({"doc_id": own_id, "same": own_same})
     same = F.unhex(F.md5(F.array_join(words(ascii_lower(F.col(text))), " ")))
-    marked = docs.withColumn("__same", same)
-    with_words = F.col("__same") != F.unhex(F.md5(F.lit("")))
-    one = marked.where(with_words).join(kept, marked[key].eqNullSafe(kept["__id"]) & (marked["__same"] == kept["__same"]), "left_semi")
-    one = one.dropDuplicates([key, "__same"])
-    return one.unionByName(marked.where(~with_words)).drop("__same")
+    marked = docs.withColumn(own_same, same)
+    with_words = F.col(own_same) != F.unhex(F.md5(F.lit("")))
+    one = marked.where(with_words).join(kept, marked[key].eqNullSafe(kept[own_id]) & (marked[own_same] == kept[own_same]), "left_semi")
+    one = one.dropDuplicates([key, own_same])
+    return one.unionByName(marked.where(~with_words)).drop(own_same)

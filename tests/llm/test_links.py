@@ -95,8 +95,9 @@ def test_join_of_sizes_whose_fronts_differ(spark, documents):
     got = ngram_join.linked(documents([(1, "a b c d e f g h i j", "s"), (2, "a b c d e f g h i", "s")]), 4, 85).collect()
     assert [r.component_id for r in got] == [1, 1]
     pairs = [p for p in linkable(45, 85)]
-    words = spark.range(sum(a + b - o for a, b, o in pairs)).select(F.concat(F.lit("w"), F.col("id")).alias("w"))
-    words = iter([r.w for r in words.orderBy(ngram_join.ngram_hashes(F.array("w"), 1)[0]).collect()])
+    known = ngram_join.Words()
+    words = [f"w{i}" for i in range(sum(a + b - o for a, b, o in pairs))]
+    words = iter(sorted(words, key=lambda w: ngram_join.ngram_hashes([w.encode()], 1, known)[0]))
     rows = []
     for a, b, o in pairs:
         left, right, shared = ([next(words) for _ in range(n)] for n in (a - o, b - o, o))
@@ -109,7 +110,7 @@ def test_join_without_ids_and_rows(spark, documents):
     rows = [(None, "a b c d e", "s"), (4, "a b c d e", "s"), (None, "no id at all", "s"), (4, "other words in here", "s"), (4, "a b c d e", "s"), (None, None, "s")]
     got = ngram_join.linked(documents(rows), 4, 85).collect()
     assert sorted(str(r.component_id) for r in got) == sorted(["4", "4", "None", "4", "4", "None"])
-    docs = documents(rows)
+    docs = documents(rows).withColumn("__same", F.lit("own"))
     kept = ngram_join.keep_one(docs, 4, 85)
     assert kept.columns == docs.columns
     assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == [
@@ -117,6 +118,48 @@ def test_join_without_ids_and_rows(spark, documents):
     assert ngram_join.linked(documents([])).count() == 0 and ngram_join.keep_one(documents([])).count() == 0
 
 
+def test_near_copies_make_few_pairs(spark, documents, monkeypatch):
+    """A large group of near copies, in many chunks: components meet by one pair each, not by all of theirs."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    bases = [rng.choices(words, k=200) for _ in range(2)]
+    rows = []
+    for i in range(5000):
+        copy = list(bases[i % 50 == 0])
+        for _ in range(rng.randint(1, 2)):
+            copy[rng.randrange(200)] = rng.choice(words)
+        rows.append((i, " ".join(copy), "s"))
+    rows += [(5000 + i, " ".join(bases[0][:100] + rng.choices(words, k=100)), "s") for i in range(300)]  # share words, are not linked
+    counts, park = [], ngram_join.park
+
+    def counted(df, name="table"):
+        out = park(df, name)
+        if name == "pairs":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "park", counted)
+    monkeypatch.setattr(ngram_join, "CHUNK", 60)
+    monkeypatch.setattr(ngram_join, "PART", 700)
+    got = {r.doc_id: r.component_id for r in ngram_join.linked(documents(rows), 4, 85).collect()}
+    assert {got[i] for i in range(0, 5000, 50)} == {0} and {got[i] for i in range(5000) if i % 50} == {1}
+    assert all(got[i] == i for i in range(5000, 5300))
+    assert sum(counts) < 10_000, counts
+
+
+def test_hashes_tell_ngrams_apart():
+    known = ngram_join.Words()
+    one = lambda text, n: ngram_join.ngram_hashes(text.encode().split(), n, known).tolist()
+    assert len(one("a b c a b c a b", 3)) == 3 and one("", 3) == [] and len(one("a", 3)) == 1 == len(one("a b", 3))
+    assert len({one(t, 3)[0] for t in ("a", "b", "a b", "b a", "ab", "a b c", "c b a", "a a b", "a a", "a a a")}) == 10
+    assert one("x y z", 3) == one("x  y\tz", 3) and set(one("a b c d", 2)) == set(one("a b", 2)) | set(one("b c", 2)) | set(one("c d", 2))
+    many = one(" ".join(f"w{i}" for i in range(50_000)), 4)
+    assert len(many) == 49_997 and many == sorted(many)
+    import pyarrow as pa
+
+    assert list(ngram_join.words_of(pa.array([None, "", "É A\u00a0b\x1cK\x0bK"]))) == [[], [], ["É".encode(), "a\u00a0b\x1ck".encode(), b"k"]]
+
+
 def test_trie_finds_all_partners():
     rng = np.random.default_rng(5)
     base = rng.permutation(200)[:60]
