@@ -256,3 +256,24 @@ def test_stages_keep_the_columns(spark, sf):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns, name
         assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in all columns, empty and very long texts, repeated rows, empty tables and clashing names, for every stage."""
+    long = " ".join(f"word{i}" for i in range(60_000))
+    good = " ".join(f"good{i}" for i in range(40))
+    rows = [(1, good, "en", "a", 9), (1, good, "en", "a", 9), (2, None, None, None, None), (None, good + " tail", None, None, None), (3, "", "en", "b", 0),
+            (4, long, "en", "b", 1), (5, " \n", "en", None, 1), (None, None, None, None, None), (6, good + " tail", "de", "a", 7)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame(rows, schema)
+    counts = {"quality_rules": 5, "ngram_join": 6}
+    for name, stage in corpus_pipeline.STAGES:
+        wide = docs.selectExpr("*", "1 AS n", "'x' AS same", "'y' AS size", "2 AS ids", "3 AS rid", "4 AS __same", "5 AS root")
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+        for table in (docs, wide):
+            made = stage(spark, table, "")
+            found = made.count()
+            assert found == counts.get(name, found), name
+            if name != "bpe":
+                assert made.columns == table.columns, name
+    assert {r.doc_id: r.n_tokens > 0 for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()}[4]

@@ -187,3 +187,23 @@ def test_shuffle_is_uniform(spark):
             seen[r.i, r.shard] += 1
     # 30 draws with chance 1/4 for each cell
     assert abs(seen.mean() - 7.5) < 1e-9 and ((seen - 7.5) ** 2).mean() == pytest.approx(30 * 0.25 * 0.75, rel=0.35)
+
+
+def test_sharding_query(spark, documents, tmp_path):
+    """Every column of op7_sharding against plain Python: sizes, checksums, law, shards, slots."""
+    import zlib
+
+    from runloom.llm import catalog
+
+    rows = [(i, t, "s") for i, t in enumerate(TEXTS * 9)] + [(None, "no id", "s"), (None, None, "s"), (3, "same id", "s"), (3, "same id", "s")]
+    documents(rows).repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.op7_sharding(spark, str(tmp_path)).collect()
+    data = lambda t: (t or "").encode()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len(data(t)) + 1, zlib.crc32(data(t))) for i, t, _ in rows)
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    counts = [len(slots[s]) for s in range(16)]
+    assert set(slots) == set(range(16)) and max(counts) - min(counts) <= 1 and sum(counts) == len(rows)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
