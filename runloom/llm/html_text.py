@@ -15,8 +15,14 @@ inside it that are template. A page's text are the blocks under that path. A pag
 has nothing there (another layout) is its own wrapper.
 
 Class words make an element furniture only if no `article` or `main` lies in it, and
-where none lies beside it only if it holds at most half of the text around it. Inside `article` and `main` shared texts are
-kept, other than those of paragraphs, items and cells that have a class or id.
+where none lies beside it only if it holds at most half of the text around it; reader
+comments inside an article are out whatever their size. Inside `article` and `main` all
+other texts are kept, shared ones and those of the article's own header included.
+
+A wrapper's size is bounded by the names of elements that a host uses, not by its
+pages: where a level has more than `WIDE` kids, neighbours that only some pages have
+become one repeated group of optional ones, in which each name stands once. Elements
+deeper than `DEPTH` become siblings at that depth, as in browsers.
 
 Wrappers merge, so each task infers one per host from its pages and only these are
 shuffled, in two rounds for hosts that lie in many tasks. A host with a third of all
@@ -25,7 +31,8 @@ pages costs what any other costs after that. Pages meet their host's plan in a j
 Defined results: null and empty html give the empty text; a null url belongs to the
 host ""; broken markup (open elements, cut tags) is read as browsers do, a `p` ends
 at the next block; repeated rows each keep their text; an empty table gives no rows;
-columns not named by `keep` are left out.
+columns not named by `keep` are left out; texts of any length and elements of any
+depth are read whole; an attribute whose quotation mark is never closed ends with its tag.
 """
 
 from __future__ import annotations
@@ -34,6 +41,7 @@ import difflib
 import html
 import json
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
@@ -54,21 +62,23 @@ INLINE = frozenset(
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote ul ol dl dt dd table thead tbody tr td th figure figcaption address".split())
 OUT = frozenset("head nav header footer aside form button select option menu dialog fieldset".split())
 NEVER_OUT = frozenset("html body main article".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements of OUT that can lie around a whole page.
 AROUND = frozenset("header form fieldset".split())
 OUT_WORDS = frozenset(
     "ad ads advert advertisement adverts sponsor sponsored promo sidebar nav navbar navigation menu breadcrumb breadcrumbs footer header "
     "masthead comment comments cookie cookies consent notice alert banner share sharing social related newsletter subscribe popup modal "
-    "pagination pager widget login search toolbar".split()
+    "pagination pager widget login search toolbar replies discussion discussions disqus respond".split()
 )
+COMMENT_WORDS = frozenset("comment comments replies discussion discussions disqus respond".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TOKEN = regex.compile(
     r"<!--.*?(?:-->|$)|<(" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
-    r"|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", regex.S | regex.I
+    r"|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", regex.S | regex.I
 )
 NAMES = regex.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", regex.I)
 LONGEST_RUN = 4
+#: Depth from which elements are siblings, and kids of a wrapper's level from which optional neighbours are grouped.
+DEPTH, WIDE = 128, 48
 #: A text that this many pages share, next to others that vary, is template.
 TEMPLATE_PAGES = 8
 
@@ -112,38 +122,49 @@ def mark(root: list) -> None:
         known[id(e)] = size, below
         return size, below
 
-    def visit(e: list, around: int, article: bool) -> None:
+    def visit(e: list, around: int, article: bool, inside: bool) -> None:
         for k in e[1]:
             if isinstance(k, tuple):
                 continue
             size, below = known[id(k)]
             tag, *words = k[0].split(".")
-            if tag in OUT:
+            if tag in OUT and not (inside and tag == "header"):
                 out = not (below and tag in AROUND)
             else:
-                out = tag not in NEVER_OUT and not below and (article or 2 * size <= around) and not OUT_WORDS.isdisjoint(words)
+                few = article or 2 * size <= around or (inside and not COMMENT_WORDS.isdisjoint(words))
+                out = tag not in NEVER_OUT and not below and few and not OUT_WORDS.isdisjoint(words)
             if out:
                 k[0] = "!" + k[0]
             else:
-                visit(k, *((size, below) if tag in ("article", "main") else (around, article)))
+                visit(k, *((size, below, True) if tag in ("article", "main") else (around, article, inside)))
 
-    visit(root, *measure(root))
+    visit(root, *measure(root), False)
 
 
 def parse(page: str) -> list:
     """The page as nested elements and texts."""
     root = ["", []]
-    stack, text, links, in_link = [root], [], 0, False
+    stack, here, text, links, in_link = [root], root, [], 0, False
+    tags, open_ = [""], Counter()  # of all open elements; the stack holds those that are not too deep
 
     def flush() -> None:
         nonlocal links
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                stack[-1][1].append((joined, min(links, len(joined))))
+                here[1].append((joined, min(links, len(joined))))
             text.clear()
         links = 0
 
+    def leave() -> str:
+        nonlocal here
+        tag = tags.pop()
+        open_[tag] -= 1
+        if len(tags) < len(stack):
+            stack.pop()
+        here = stack[-1]
+        return tag
+
     def put(raw: str) -> None:
         nonlocal links
         if raw:
@@ -155,12 +176,13 @@ def parse(page: str) -> list:
     for m in TOKEN.finditer(page):
         put(page[last : m.start()])
         last = m.end()
-        if m[3] is None:
+        closing, tag, attributes = m[2] or m[5], m[3] or m[6], m[4] or m[7]
+        if tag is None:
             continue
-        tag = m[3].lower()
+        tag = tag.lower()
         if tag in INLINE:
             if tag == "a":
-                in_link = not m[2]
+                in_link = not closing
             continue
         if tag == "br":
             text.append(" ")
@@ -170,18 +192,21 @@ def parse(page: str) -> list:
                 flush()
             continue
         flush()
-        if m[2]:
-            if any(e[0].split(".", 1)[0] == tag for e in stack):
-                while stack.pop()[0].split(".", 1)[0] != tag:
+        if closing:
+            if open_[tag]:
+                while leave() != tag:
                     pass
             continue
         in_link = False
-        top = stack[-1][0].split(".", 1)[0]
-        if top == "p" or tag in CLOSED_BY.get(top, ()):
-            stack.pop()
-        element = [named(tag, m[4]), []]
+        if tags[-1] == "p" or tag in CLOSED_BY.get(tags[-1], ()):
+            leave()
+        element = [named(tag, attributes), []]
         stack[-1][1].append(element)
-        stack.append(element)
+        tags.append(tag)
+        open_[tag] += 1
+        if len(tags) <= DEPTH:
+            stack.append(element)
+        here = element
     put(page[last:])
     flush()
     mark(root)
@@ -258,6 +283,30 @@ def aligned(a: list[list], b: list[list]) -> list[list]:
             out += [merge(x, y) for x, y in zip(a[i:j], b[k:n], strict=True)]
         else:
             out += [[x[0], 1, *x[2:]] for x in [*a[i:j], *b[k:n]]]
+    return grouped(out) if len(out) > WIDE else out
+
+
+def grouped(kids: list[list]) -> list[list]:
+    """Optional neighbours as one repeated group of optional ones, each name once."""
+    out: list[list] = []
+    held: dict[str, list] = {}
+
+    def close() -> None:
+        if len(held) > 1:
+            out.append(["()", 1, 1, None, list(held.values())])
+        else:
+            out.extend([k[0], 1, 1, *k[3:]] for k in held.values())
+        held.clear()
+
+    for k in kids:
+        if not k[1]:
+            close()
+            out.append(k)
+            continue
+        for own in opened([k]):
+            own = [own[0], 1, *own[2:]]
+            held[own[0]] = merge(held[own[0]], own) if own[0] in held else own
+    close()
     return out
 
 
@@ -323,7 +372,7 @@ def template(node: list, place: str, inside: bool, repeated: bool, same: dict[st
     """Adds the texts that stand on all pages, by place and hash; what only some pages have is never template.
 
     The value is how often a page has it there, or -1 for any number. Inside `article`
-    and `main`, only what stands in a leaf with a class or id is template, and no heading.
+    and `main` nothing is template.
     """
     if node[1]:
         return
@@ -332,8 +381,7 @@ def template(node: list, place: str, inside: bool, repeated: bool, same: dict[st
         if k[0] == "#":
             if k[1] or k[3][3] is None or k[3][0] < TEMPLATE_PAGES:
                 continue
-            tag = tag_of(place.rsplit("/", 1)[-1] or node[0])
-            if inside and (tag not in LEAVES or tag in HEADINGS or "." not in place.rsplit("/", 1)[-1]):
+            if inside:
                 continue
             at = f"{place}#{k[3][3]}"
             same[at] = -1 if repeated or same.get(at) == -1 else same.get(at, 0) + 1
