@@ -172,3 +172,64 @@ def decoded(d: int) -> str:
   SELECT {FIT}, u, k, back FROM vit QUALIFY row_number() OVER (PARTITION BY {FIT} ORDER BY u DESC, s DESC, k) = 1
   UNION ALL
   SELECT v.key, v.n, v.seed, v.u, v.k, v.back FROM path p JOIN vit v ON {same('v', 'p')} AND v.u = p.u - 1 AND v.k = p.back)"""])
+
+
+# --- one discrete model over many short runs ------------------------------------------
+
+
+def discrete(runs: str, start, trans, emit, smoothing: float, min_forward: float, floor: float, longest: int, max_iter: int, tol: float) -> str:
+    """CTEs up to `model` (it, p, t, e): left-to-right EM over `runs` (os: list of class numbers, mult). For WITH RECURSIVE.
+
+    A run's steps are written out up to `longest`, so that one step of the recursion is
+    one EM turn over all runs; longer runs make an error.
+    """
+    n, m, steps = len(start), len(emit[0]), range(1, longest + 1)
+    states = range(n)
+    number = lambda v: f"{float(v)!r}::DOUBLE"
+    listed = lambda values: "[" + ", ".join(map(number, values)) + "]"
+    p, t, e = (lambda j: f"p[{j + 1}]"), (lambda i, j: f"t[{i * n + j + 1}]"), (lambda j, u: f"e[{j * m} + os[{u}] + 1]")
+    made = "(SELECT r.os, r.mult, len(r.os) AS len, g.* FROM model g, disc r WHERE NOT done)"
+
+    def add(columns: dict[str, str]) -> None:
+        nonlocal made
+        made = f"(SELECT *, {', '.join(f'{sql} AS {name}' for name, sql in columns.items())} FROM {made})"
+
+    for u in steps:
+        ahead = [p(j) if u == 1 else "(" + " + ".join(f"a{u - 1}_{i} * {t(i, j)}" for i in states) + ")" for j in states]
+        add({f"x{u}_{j}": f"CASE WHEN len >= {u} THEN {ahead[j]} * {e(j, u)} END" for j in states})
+        add({f"c{u}": f"CASE WHEN len >= {u} THEN greatest({' + '.join(f'x{u}_{j}' for j in states)}, {number(floor)}) END"})
+        add({f"a{u}_{j}": f"x{u}_{j} / c{u}" for j in states})
+    for u in reversed(steps):
+        later = ["NULL" if u == longest else "(" + " + ".join(f"{t(i, j)} * w{u + 1}_{j}" for j in states) + f") / c{u + 1}" for i in states]
+        add({f"z{u}_{j}": f"CASE WHEN len = {u} THEN 1.0::DOUBLE WHEN len > {u} THEN {later[j]} END" for j in states})
+        add({f"w{u}_{j}": f"{e(j, u)} * z{u}_{j}" for j in states})
+        add({f"s{u}": f"greatest({' + '.join(f'a{u}_{j} * z{u}_{j}' for j in states)}, {number(floor)})"})
+    add({f"g{u}_{j}": f"a{u}_{j} * z{u}_{j} / s{u}" for u in steps for j in states})
+    add({f"y{u}": "greatest(" + " + ".join(f"a{u - 1}_{i} * {t(i, j)} * w{u}_{j}" for i in states for j in states) + f", {number(floor)})" for u in steps if u > 1})
+    total = lambda terms: "coalesce(sum(mult * (" + " + ".join(f"coalesce({x}, 0)" for x in terms) + ")), 0)"
+    sums = {"own": total([f"ln(c{u})" for u in steps])}
+    sums |= {f"n_p{j}": total([f"g1_{j}"]) for j in states}
+    moves = {(i, j): total([f"a{u - 1}_{i} * {t(i, j)} * w{u}_{j} / y{u}" for u in steps if u > 1] or ["0"]) for i in states for j in states}
+    sums |= {f"n_t{i}_{j}": sql for (i, j), sql in moves.items()}
+    sums |= {f"n_e{j}_{c}": total([f"CASE WHEN os[{u}] = {c} THEN g{u}_{j} END" for u in steps]) for j in states for c in range(m)}
+    gathered = f"(SELECT it, any_value(before) AS before, {', '.join(f'{sql} AS {name}' for name, sql in sums.items())} FROM {made} GROUP BY it)"
+
+    def normal(cells: list[str]) -> list[str]:
+        return [f"({c}) / ({' + '.join(f'({x})' for x in cells)})" for c in cells]
+
+    def moved(i: int) -> list[str]:
+        held = [f"n_t{i}_{j} + {number(smoothing)}" if j >= i else "0.0::DOUBLE" for j in states]
+        if i + 1 < n:
+            held[i + 1] = f"greatest({held[i + 1]}, {number(min_forward)})"
+        return normal(held)
+
+    new_p = normal([f"n_p{j} + {number(smoothing)}" for j in states])
+    new_t = [x for i in states for x in moved(i)]
+    new_e = [x for j in states for x in normal([f"n_e{j}_{c} + {number(smoothing)}" for c in range(m)])]
+    flat = lambda table: [v for row in table for v in row]
+    return f"""disc AS MATERIALIZED (SELECT CASE WHEN len(os) > {longest} THEN error('run too long') ELSE os END AS os, count(*)::DOUBLE AS mult FROM {runs} GROUP BY os),
+model AS (
+  SELECT 0 AS it, {listed(start)} AS p, {listed(flat(trans))} AS t, {listed(flat(emit))} AS e, NULL::DOUBLE AS before, FALSE AS done
+  UNION ALL
+  SELECT it + 1, [{', '.join(new_p)}], [{', '.join(new_t)}], [{', '.join(new_e)}], own, it + 1 >= {max_iter} OR coalesce(abs(own - before) < {tol!r}, FALSE)
+  FROM {gathered})"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..models import passes
-from ..models.discrete import DiscreteModel, class_number
+from ..models.discrete import SMOOTHING, DiscreteModel, class_number
 from ..models.gaussian import GaussianModel
 from ..models.kernel import EPS
 from ..models.runs import segments
@@ -17,6 +17,7 @@ from ..operators.features import Scaler, block_weights, semantic_view
 from ..operators.profiles import with_row_signals
 from ..operators.selection import nth_largest
 from ..sources import params
+from . import em_sql
 from .binding import (
     FIELD_CTE, ROW_ANALYSIS_CTE, athlete_order, episodes,
     field_rows, observed_rows, row_analysis, with_cte,
@@ -182,14 +183,37 @@ def expected_counts(spark, sf):
     return table.withColumn("value", F.round("value", 4))
 
 
-@query("h7_trained_parameters")
-def trained_parameters(spark, sf):
+#: Rows of the longest run that the twins of the discrete training write out.
+_LONGEST = 24
+
+
+def trained_sql(train: bool) -> str:
+    """CTEs up to `last`, the model after EM over the training runs or over all runs."""
+    obs = _OBS.replace("AS before FROM epi\n", "AS before FROM epi WHERE is_train_eligible\n") if train else _OBS
+    runs = "rr AS (SELECT list(o ORDER BY pos) AS os FROM seq GROUP BY rid)"
+    em = em_sql.discrete("rr", MODEL.start, MODEL.trans, MODEL.emit, SMOOTHING, MODEL.min_forward, EPS, _LONGEST, 300, 1e-4)
+    return f"{obs},\n{runs},\n{em},\nlast AS (SELECT * FROM model ORDER BY it DESC LIMIT 1)"
+
+
+_M = len(lx.OBSERVED_CLASSES)
+_NUMBERS = f"""SELECT 'trained' AS model_id, kind, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(value, 4) AS value FROM (
+  SELECT 'start' AS kind, 0 AS i, unnest(range(0, 3)) AS j, unnest(p) AS value FROM last
+  UNION ALL SELECT 'trans', unnest(range(0, 9)) // 3, unnest(range(0, 9)) % 3, unnest(t) FROM last
+  UNION ALL SELECT 'emit', unnest(range(0, {3 * _M})) // {_M}, unnest(range(0, {3 * _M})) % {_M}, unnest(e) FROM last)"""
+
+
+def trained_model(spark, sf):
     seg = _segments(spark, sf, train=True, distinct=True)
     model = MODEL.fit(seg)
     seg.release()
     return params.discrete_table(spark, model, "trained")
 
 
+@query("h7_trained_parameters", _recursive(trained_sql(True), _NUMBERS))
+def trained_parameters(spark, sf):
+    return trained_model(spark, sf).withColumn("value", F.round("value", 4))
+
+
 @query("h11_semantic_features", with_cte(FIELD_CTE, """
 SELECT source_row_index, round(kfv_capture_code + kfv_grip_code + kfv_wrap_code + kfv_hook_code + kfv_post_code, 6) AS kfv_code,
   round(kfv_grip_code, 6) AS holds_code, round(vup_code, 6) AS vup_code, episode_time_sec AS duration FROM fld"""))

@@ -10,7 +10,7 @@ from ..models import regimes
 from ..operators import charts, regime_tables as rt
 from ..session import shared_folder
 from ..sources import series
-from . import em_sql
+from . import em_sql, q_models
 from .binding import table, view, with_cte
 from .registry import query
 
@@ -186,11 +186,12 @@ def regime_means(spark, sf):
     return out.select("hidden_state", F.round("total", 6).alias("total"), F.round("spread", 6).alias("spread"))
 
 
-@query("v8_transition_cells")
+@query("v8_transition_cells", q_models._recursive(q_models.trained_sql(True), """
+SELECT 'trained' AS model_id, CAST(k // 3 AS INT) AS from_state, CAST(k % 3 AS INT) AS to_state, round(value, 4) AS probability
+FROM (SELECT unnest(range(0, 9)) AS k, unnest(t) AS value FROM last)"""))
 def transition_cells(spark, sf):
-    from .q_models import trained_parameters
-
-    return charts.transition_cells(trained_parameters(spark, sf))
+    cells = charts.transition_cells(q_models.trained_model(spark, sf))
+    return cells.withColumn("probability", F.round("probability", 4))
 
 
 # --- fits: the twins run the whole EM in SQL -------------------------------------------------

@@ -66,7 +66,29 @@ def exported_audits(spark, sf):
     return back.select("n_sequences", F.col("rows_total").alias("rows"))
 
 
-@query("s15_saved_discrete_model")
+_S, _M = q_models.S, q_models._M
+_EPS = repr(q_models.EPS)
+_MOVE = [[f"e.m{i}{j}" for j in _S] for i in _S]
+#: Best paths under the model that the SQL EM ends with.
+_SAVED = q_models._recursive(q_models.trained_sql(False) + f""",
+pm AS MATERIALIZED (
+  SELECT rid, pos, len, {", ".join(f"ln(greatest(e[{j * _M} + o + 1], {_EPS})) AS l{j}" for j in _S)},
+    {", ".join(f"ln(greatest(p[{j + 1}], {_EPS})) AS i{j}" for j in _S)},
+    {", ".join(f"ln(greatest(t[{i * 3 + j + 1}], {_EPS})) AS m{i}{j}" for i in _S for j in _S)} FROM seq, last),
+fw AS (
+  SELECT rid, pos, len, {", ".join(f"i{j} + l{j} AS d{j}" for j in _S)}, {", ".join(f"0 AS b{j}" for j in _S)} FROM pm WHERE pos = 1
+  UNION ALL
+  SELECT e.rid, e.pos, e.len, {", ".join("greatest(" + ", ".join(f"d{i} + {_MOVE[i][j]}" for i in _S) + f") + e.l{j}" for j in _S)},
+    {", ".join(q_models._argmax(*[f"d{i} + {_MOVE[i][j]}" for i in _S]) for j in _S)}
+  FROM fw JOIN pm e ON e.rid = fw.rid AND e.pos = fw.pos + 1),
+bk AS (
+  SELECT rid, pos, {q_models._argmax("d0", "d1", "d2")} AS s FROM fw WHERE pos = len
+  UNION ALL
+  SELECT fw.rid, fw.pos - 1, CASE bk.s WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END FROM bk JOIN fw ON fw.rid = bk.rid AND fw.pos = bk.pos WHERE bk.pos > 1)""",
+    "SELECT CAST(s AS INT) AS hidden_state, count(*) AS n FROM bk GROUP BY 1")
+
+
+@query("s15_saved_discrete_model", _SAVED)
 def saved_discrete(spark, sf):
     """A trained model, saved, loaded and used to decode."""
     seg = q_models._segments(spark, sf, distinct=True)
