@@ -45,15 +45,15 @@ def _with_states(spark, sf):
 
 
 def _events(spark, sf):
-    """Ten busiest days of all types, as events."""
+    """Days with more events of all types than the mean day, as events."""
     days = table(spark, sf, "events").groupBy(F.to_date("ts").alias("event_date")).agg(F.count(F.lit(1)).alias("n"))
-    top = days.orderBy(F.desc("n"), "event_date").limit(3)
-    return top.select("event_date", F.concat(F.lit("busy "), F.col("event_date").cast("string")).alias("description"))
+    busy = days.where(F.col("n") > days.agg(F.avg("n")).scalar())
+    return busy.select("event_date", F.concat(F.lit("busy "), F.col("event_date").cast("string")).alias("description"))
 
 
 _EVENTS = """,
-ev AS (SELECT CAST(ts AS DATE) AS event_date, 'busy ' || strftime(CAST(ts AS DATE), '%Y-%m-%d') AS description FROM events
-  GROUP BY 1, 2 ORDER BY count(*) DESC, 1 LIMIT 3)"""
+ev AS (SELECT event_date, 'busy ' || strftime(event_date, '%Y-%m-%d') AS description FROM (
+  SELECT CAST(ts AS DATE) AS event_date, count(*) AS n FROM events GROUP BY 1) QUALIFY n > avg(n) OVER ())"""
 
 
 @query("s11_daily_series_csv", with_cte(_DAYS, "SELECT series_id, count(*) AS days, round(sum(total), 4) AS total FROM d GROUP BY 1"))
