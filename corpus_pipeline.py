@@ -3,6 +3,15 @@
 Every stage works on all that its predecessor kept. The first three return the
 columns of `documents`; the last one returns `doc_id`, `source` and the token ids.
 Documents that the mix repeats come as so many rows.
+
+Every stage has a defined result for odd rows. Null and empty texts have no words, so
+the quality rules reject them; given to a later stage they are linked with nothing,
+have size 0 in the mix, which takes none of them, and have no tokens. Null ids, sources
+and languages are values like others: one row of null id stays for each text, and null
+sources are one source. Of repeated rows and of ties the deduplication keeps one (the
+smallest id); the mix and the encoder treat each row by itself. Texts of any length are
+taken whole, an empty table stays empty, and further columns go along, whatever their
+names.
 """
 
 from __future__ import annotations
