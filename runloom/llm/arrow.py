@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -28,12 +29,20 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+def finish() -> None:
+    """Gives back what a task's batches took: the Python worker lives on, idle, beside the tasks of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def add_columns(
-    df: DataFrame, column: str, keep: Sequence[str], make: Callable[[], Callable[[pa.Array], Sequence[pa.Array]]], fields: Sequence[T.StructField]
+    df: DataFrame, column: str, keep: Sequence[str], make: Callable[[], Callable[[pa.Array], Sequence[pa.Array]]], fields: Sequence[T.StructField],
+    after: Callable[[], None] = lambda: None,
 ) -> DataFrame:
     """Kept columns and what `make()` computes from `column`, slice by slice.
 
     `make` runs once per task; what it returns maps an array to one array per field.
+    `after` runs at the end of a task.
     """
     source = df.select(*keep, df[column].alias("__input"))
     schema = T.StructType([*source.schema.fields[:-1], *fields])
@@ -44,5 +53,8 @@ def add_columns(
             for part in slices(batch, batch.num_columns - 1):
                 made = work(part.column(part.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[f.name for f in schema.fields])
+        del work
+        after()
+        finish()
 
     return source.mapInArrow(run, schema)

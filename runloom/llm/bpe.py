@@ -48,7 +48,7 @@ from pyspark.sql import types as T
 from .arrow import add_columns
 
 #: Bytes of a generation of kept chunks and words, and arcs kept before the table starts afresh.
-KEPT_CHUNKS, KEPT_WORDS, KEPT_ARCS = 80 << 20, 24 << 20, 400_000
+KEPT_CHUNKS, KEPT_WORDS, KEPT_ARCS = 56 << 20, 20 << 20, 400_000
 #: What an entry takes besides its key and value, in bytes.
 ENTRY = 200
 #: Symbol behind a word's last one; stands for the file's word-end suffix.
@@ -293,6 +293,16 @@ def ready(content: bytes) -> Tokenizer:
     return _READY[key]
 
 
+def forget() -> None:
+    """Leaves a worker the compiled automaton only, without what was kept of a task's texts."""
+    for tokenizer in _READY.values():
+        for kept in (tokenizer.words, tokenizer.chunks):
+            kept.clear()
+            kept.old, kept.held = {}, 0
+        if "automaton" in tokenizer.__dict__:
+            tokenizer.automaton.arcs.clear()
+
+
 def spread(df: DataFrame, path: str):
     """The file's contents (a few MB, whatever the input) for all tasks."""
     with open(path, "rb") as file:
@@ -313,7 +323,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: Sequence[str] =
 
         return work
 
-    return add_columns(docs, text, keep, make, [T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    return add_columns(docs, text, keep, make, [T.StructField(ids, T.ArrayType(T.IntegerType()))], forget)
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", keep: Sequence[str] = ("doc_id", "ids"), text: str = "decoded") -> DataFrame:

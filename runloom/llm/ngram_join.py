@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from runloom.session import park
 
-from .arrow import slices
+from .arrow import finish, slices
 from .components import components
 from .text import ascii_lower, own_name, words
 
@@ -57,7 +57,7 @@ MAX_FREQUENT = 1 << 18
 MAX_BITS = 1 << 27
 FREQUENT = 16
 #: Words whose hashes a task keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 #: Classes in a chunk that one trie holds.
 CHUNK = 400
 #: Places of a signature.
@@ -170,6 +170,7 @@ def ordered_sets(docs: DataFrame, text: str, key: str, n: int, similarity: int)
                     fronts.append(t[: front_and_demand(len(t), similarity)[0]] if len(t) else t)
                 token, times = np.unique(np.concatenate(fronts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(times)], names=["token", "n"])
+        finish()
 
     counted = source.select("text").mapInArrow(count, "token bigint, n bigint")
     repeated = park(counted.groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"), "ngrams")
@@ -209,6 +210,7 @@ def ordered_sets(docs: DataFrame, text: str, key: str, n: int, similarity: int)
                     signs.append(None if odd is None else np.packbits(odd.astype(np.uint8)).view(np.int64))
                 columns = [part.column(0), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(out, longs), pa.array(signs, longs)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "n", "tokens", "signature"])
+        finish()
 
     made = source.mapInArrow(order, "doc_id bigint, same binary, n int, tokens array<bigint>, signature array<bigint>")
     return park(made.select(F.monotonically_increasing_id().alias("rid"), "*"), "sets")
