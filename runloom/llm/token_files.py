@@ -42,7 +42,8 @@ FILE_BYTES = 24 << 20
 #: Ids that a task holds before it closes a file.
 FILE_IDS = 12_000_000
 MANIFEST = "manifest.parquet"
-KEPT_CHUNKS = 200_000
+#: Bytes of a generation of kept chunks.
+KEPT_CHUNKS = 48 << 20
 
 
 class LibraryEncoder:
@@ -58,7 +59,7 @@ class LibraryEncoder:
         self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.mark = added[0] if added else None
         self.mark_id = self.tokenizer.token_to_id(self.mark) if added else -1
-        self.chunks: dict[str, np.ndarray] = Kept(self.one, KEPT_CHUNKS)
+        self.chunks: dict[str, bytes] = Kept(self.one, KEPT_CHUNKS, 1)
 
     def one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()

@@ -113,6 +113,19 @@ def test_token_files(spark, documents, library, tmp_path, monkeypatch):
     assert token_files.read(spark, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("kept", [0, 600, 1 << 20])
+def test_token_files_keep_chunks_by_bytes(library, monkeypatch, kept):
+    """Whatever is kept or forgotten, also a chunk larger than a generation, the ids are the library's."""
+    monkeypatch.setattr(token_files, "KEPT_CHUNKS", kept)
+    with open(catalog.vocabulary(), "rb") as file:
+        coder = token_files.LibraryEncoder(file.read())
+    texts = [*TEXTS, None, "word " * 50, "x" * 1000, *TEXTS]
+    for batch in (texts[:3], texts, texts[::-1]):
+        got = [np.frombuffer(b, "<i4").tolist() for b in coder(batch, np.array([1], "<i4").tobytes())]
+        assert got == [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in batch]
+        assert coder.chunks.held <= kept
+
+
 def test_damage_is_found():
     data = bytearray(token_files.write_file([1, None], [np.arange(50, dtype="<i4").tobytes(), np.array([1], "<i4").tobytes()]))
     docs, lengths, ids = token_files.read_file(memoryview(data))
