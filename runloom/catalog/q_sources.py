@@ -98,7 +98,7 @@ def header_names(spark, sf):
 
 @query("s4_matrix_sheets", with_cte(_CTE, "SELECT DISTINCT 'm' || user_id AS sheet FROM e WHERE many >= 2"))
 def matrix_sheets(spark, sf):
-    return cs.matrix_sheets(_all_cells(spark, sf))
+    return cs.matrix_sheets(all_cells(spark, sf))
 
 
 _FEATURES = ["episode_duration", "pause_duration", "observed_result", "maneuver_right_indicator_01", "maneuver_left_indicator_01",
@@ -115,7 +115,8 @@ SELECT 'm' || user_id AS source_sheet, place AS episode_order, CAST(place AS VAR
   CAST(k > 90 AS INTEGER) AS outcome_action_indicator_01 FROM e"""))
 def matrix_rows(spark, sf):
     cells = park(matrix_cells(spark, sf), "cells")
-    return cs.matrix_rows(cs.parse_matrix(cells), cs.athlete_names(cells, cs.axis_of(cells)), _FEATURES)
+    matrix = cs.parse_matrix(cells)
+    return cs.matrix_rows(matrix, cs.athlete_names(cells, matrix.axis), _FEATURES)
 
 
 _KINDS = ", ".join(f"({at}, '{kind}')" for at, kind in zip(range(3, 13), [

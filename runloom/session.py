@@ -52,6 +52,20 @@ def park(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that `sized` lets Spark broadcast.
+BROADCAST_ROWS = 1 << 20
+
+
+def sized(parked: DataFrame) -> DataFrame:
+    """A parked table of narrow rows as one side of a join: broadcast up to a number of rows, else sorted and merged.
+
+    Counting reads the files' footers only. Their size says little: Parquet of repeated
+    values takes a hundredth of the memory that a broadcast of them would take on the driver.
+    """
+    few = parked.count() <= BROADCAST_ROWS
+    return parked.hint("broadcast" if few else "merge")
+
+
 class Shelf:
     """Owner of intermediate tables: parks them and removes their files when they are done with.
 

@@ -2,6 +2,10 @@
 
 A table sheet has header rows on top. A matrix sheet is transposed: one column
 per episode, labels at the left, and a marker cell that starts the id axis.
+
+Joins of cells with tables of a row per episode or label row are sort-merge joins by hint: Spark takes
+filtered or exploded cells for far smaller than they are, and would broadcast them. Tables of a row per
+sheet or header cell are parked and broadcast by their number of rows (`sized`).
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce, lexicon as lx
 from ..operators.ordered import Ordering, fill_down, with_place
-from ..session import park
+from ..session import park, sized
 
 CELL_SCHEMA = "sheet string, row_idx int, col_idx int, value string"
 MODES = ("auto", "table", "matrix")
@@ -81,7 +85,7 @@ def _axis_columns(cells: DataFrame, markers: DataFrame) -> DataFrame:
     ids = cells.where(coerce.is_cell_id(F.col("value"))).select(
         "sheet", F.col("row_idx").alias("m_row"), "col_idx", F.col("value").alias("episode_id")
     )
-    return markers.join(ids, ["sheet", "m_row"]).where(F.col("col_idx") > F.col("m_col"))
+    return ids.join(markers, ["sheet", "m_row"]).where(F.col("col_idx") > F.col("m_col")).select("sheet", "m_row", "m_col", "col_idx", "episode_id")
 
 
 def matrix_sheets(cells: DataFrame) -> DataFrame:
@@ -91,18 +95,23 @@ def matrix_sheets(cells: DataFrame) -> DataFrame:
     hold both a label and data. Of markers in one column with ids in the same
     columns the first has all rows that the others have, so it stands for them.
     """
-    axis = _axis_columns(cells, _markers(cells))
+    axis = _axis_columns(cells, sized(park(_markers(cells), "markers")))
     columns = F.array_sort(F.collect_list("col_idx")).alias("columns")  # a row's ids at most
     wide = axis.groupBy("sheet", "m_row", "m_col").agg(columns).where(F.size("columns") >= 2)
-    wide = wide.groupBy("sheet", "m_col", "columns").agg(F.min("m_row").alias("m_row"))
-    axis = wide.select("sheet", "m_row", "m_col", F.explode("columns").alias("col_idx"))
+    wide = park(wide.groupBy("sheet", "m_col", "columns").agg(F.min("m_row").alias("m_row")), "wide")
+    axis = wide.select("sheet", "m_row", "m_col", F.explode(F.array_distinct("columns")).alias("col_idx"))
+    reach = wide.groupBy("sheet").agg(F.min("m_row").alias("_top"), F.max(F.element_at("columns", -1)).alias("_right"))
+    inside = (F.col("row_idx") > F.col("_top")) & (F.col("col_idx") <= F.col("_right"))
     filled = cells.where(~coerce.cell_blank(F.col("value"))).select("sheet", "row_idx", "col_idx")
+    filled = filled.join(sized(park(reach, "reach")), "sheet").where(inside).select("sheet", "row_idx", "col_idx")
+    filled = park(filled, "filled")  # no texts any more; read twice
     below = F.col("row_idx") > F.col("m_row")
-    labelled = filled.join(wide.drop("columns"), "sheet").where(below & (F.col("col_idx") <= F.col("m_col")))
+    marked = sized(park(wide.drop("columns"), "marked"))
+    labelled = filled.join(marked, "sheet").where(below & (F.col("col_idx") <= F.col("m_col")))
     labelled = labelled.select("sheet", "m_row", "m_col", "row_idx").distinct()
-    data = filled.join(axis.select("sheet", "m_row", "m_col", "col_idx"), ["sheet", "col_idx"]).where(below)
+    data = filled.join(axis.hint("merge"), ["sheet", "col_idx"]).where(below)
     data = data.select("sheet", "m_row", "m_col", "row_idx").distinct()
-    rows = labelled.join(data, ["sheet", "m_row", "m_col", "row_idx"])
+    rows = labelled.join(data.hint("merge"), ["sheet", "m_row", "m_col", "row_idx"])
     good = rows.groupBy("sheet", "m_row", "m_col").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= 3)
     return good.select("sheet").distinct()
 
@@ -138,10 +147,11 @@ def header_names(cells: DataFrame, depth: int = 2) -> DataFrame:
     )
 
 
-def table_cells(cells: DataFrame, depth: int = 2) -> DataFrame:
-    """Body cells with their column name: (sheet, row_idx, name, value)."""
+def table_cells(cells: DataFrame, depth: int = 2, heads: DataFrame | None = None) -> DataFrame:
+    """Body cells with their column name: (sheet, row_idx, name, value). `heads`: the header names, if they are parked already."""
     body = cells.where(F.col("row_idx") >= depth)
-    return body.join(header_names(cells, depth), ["sheet", "col_idx"]).select("sheet", "row_idx", "name", "value")
+    heads = park(header_names(cells, depth), "headers") if heads is None else heads
+    return body.join(sized(heads), ["sheet", "col_idx"]).select("sheet", "row_idx", "name", "value")
 
 
 def names_of(named: DataFrame) -> list[str]:
@@ -151,9 +161,10 @@ def names_of(named: DataFrame) -> list[str]:
 
 def table_rows(cells: DataFrame, depth: int = 2, names: list[str] | None = None) -> DataFrame:
     """Wide rows of all table sheets, with `_sheet` and the row's place in its sheet."""
+    heads = park(header_names(cells, depth), "headers")
     if names is None:
-        names = names_of(header_names(cells, depth))
-    wide = table_cells(cells, depth).groupBy("sheet", "row_idx").pivot("name", names).agg(F.first("value", ignorenulls=True))
+        names = names_of(heads)
+    wide = table_cells(cells, depth, heads).groupBy("sheet", "row_idx").pivot("name", names).agg(F.first("value", ignorenulls=True))
     return wide.withColumnRenamed("sheet", "_sheet")
 
 
@@ -161,23 +172,25 @@ def table_rows(cells: DataFrame, depth: int = 2, names: list[str] | None = None)
 
 def axis_of(cells: DataFrame) -> DataFrame:
     """The first marker of each sheet, in reading order, that has an id to its right."""
-    axis = _axis_columns(cells, _markers(cells))
+    axis = _axis_columns(cells, sized(park(_markers(cells), "markers")))
     first = axis.groupBy("sheet").agg(F.min(F.struct("m_row", "m_col")).alias("m"))
-    return first.select("sheet", "m.m_row", "m.m_col")
+    return park(first.select("sheet", "m.m_row", "m.m_col"), "axis")
 
 
 def episode_columns(cells: DataFrame, axis: DataFrame) -> DataFrame:
     """(sheet, m_row, col_idx, episode_id, episode_order): the columns right of the marker."""
-    ids = _axis_columns(cells, axis).select("sheet", "m_row", "col_idx", coerce.strip(F.col("episode_id")).alias("episode_id"))
+    ids = _axis_columns(cells, sized(axis)).select("sheet", "m_row", "col_idx", coerce.strip(F.col("episode_id")).alias("episode_id"))
     ids = park(ids, "ids")  # one row per episode
     return with_place(ids, Ordering(("sheet",), "col_idx").inspect(ids), "episode_order")
 
 
 def row_labels(cells: DataFrame, axis: DataFrame) -> DataFrame:
     """(sheet, row_idx, source_label) below the marker, label cells filled down."""
+    axis = sized(axis)
     rows = cells.select("sheet", "row_idx").distinct().join(axis, "sheet")
     grid = rows.withColumn("col_idx", F.explode(F.sequence(F.lit(0), F.col("m_col"))))
-    grid = grid.join(cells, ["sheet", "row_idx", "col_idx"], "left")
+    left = cells.join(axis, "sheet").where(F.col("col_idx") <= F.col("m_col")).select(*cells.columns)
+    grid = grid.join(left.hint("merge"), ["sheet", "row_idx", "col_idx"], "left")
     grid = grid.withColumn("value", F.when(~coerce.cell_blank(F.col("value")), F.col("value")))
     # a worksheet has at most 2^20 rows, so one label column fits a plain window
     below = fill_down(grid, Ordering(("sheet", "col_idx"), "row_idx"), ["value"]).where(F.col("row_idx") > F.col("m_row"))
@@ -188,11 +201,12 @@ def row_labels(cells: DataFrame, axis: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Matrix:
-    """`values`: one row per episode and filled feature; `mapping`: one row per feature row."""
+    """`values`: one row per episode and filled feature; `mapping`: one row per feature row; `axis`: one row per sheet."""
 
     values: DataFrame
     mapping: DataFrame
     episodes: DataFrame
+    axis: DataFrame
 
 
 def parse_matrix(cells: DataFrame) -> Matrix:
@@ -201,11 +215,12 @@ def parse_matrix(cells: DataFrame) -> Matrix:
     The axis (a row per sheet) and the mapping (a row per labelled row) are used
     several times, so they are written once.
     """
-    axis = park(axis_of(cells), "axis")
+    axis = axis_of(cells)
     episodes = park(episode_columns(cells, axis), "episodes")
-    below = cells.join(episodes, ["sheet", "col_idx"]).where(F.col("row_idx") > F.col("m_row"))
-    data = park(below.where(~coerce.cell_blank(F.col("value"))).drop("m_row"), "data")  # the filled cells
-    labels = row_labels(cells, axis).join(data.select("sheet", "row_idx").distinct(), ["sheet", "row_idx"], "left_semi")
+    filled = cells.where(~coerce.cell_blank(F.col("value")))
+    below = filled.join(episodes.hint("merge"), ["sheet", "col_idx"]).where(F.col("row_idx") > F.col("m_row"))
+    data = park(below.drop("m_row"), "data")  # the filled cells
+    labels = row_labels(cells, axis).join(data.select("sheet", "row_idx").distinct().hint("merge"), ["sheet", "row_idx"], "left_semi")
     labels = labels.withColumn("kind", label_kind(F.col("source_label"))).where(F.col("kind") != "episode_id")
     numeric = F.col("kind").isin(lx.NUMERIC_KINDS)
     nth = F.row_number().over(Window.partitionBy("sheet", "kind").orderBy("row_idx"))
@@ -221,10 +236,11 @@ def parse_matrix(cells: DataFrame) -> Matrix:
     # of two rows with one numeric kind the later counts, blank cells included
     last = F.max("row_idx").over(Window.partitionBy("sheet", "normalized_column"))
     counted = mapping.withColumn("_last", last).where(F.col("row_idx") == F.col("_last"))
-    values = data.join(counted.select("sheet", "row_idx", "normalized_column", "parser_kind"), ["sheet", "row_idx"])
+    counted = sized(park(counted.select("sheet", "row_idx", "normalized_column", "parser_kind"), "counted"))
+    values = data.join(counted, ["sheet", "row_idx"])
     values = values.select("sheet", "col_idx", "episode_id", "episode_order", "row_idx",
                            F.col("normalized_column").alias("name"), parsed.alias("value"))
-    return Matrix(values, mapping, episodes.drop("m_row"))
+    return Matrix(values, mapping, episodes.drop("m_row"), axis)
 
 
 def matrix_rows(matrix: Matrix, athletes: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
@@ -233,20 +249,22 @@ def matrix_rows(matrix: Matrix, athletes: DataFrame | None = None, names: list[s
                       matrix.mapping.select("normalized_column").distinct().orderBy("normalized_column").collect()]
     wide = matrix.values.groupBy("sheet", "col_idx").pivot("name", names).agg(F.first("value"))
     wide = wide.select("sheet", "col_idx", *[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias(n) for n in names])
-    rows = matrix.episodes.join(wide, ["sheet", "col_idx"], "left").drop("col_idx").fillna(0.0, names)
+    rows = matrix.episodes.join(wide.hint("merge"), ["sheet", "col_idx"], "left").drop("col_idx").fillna(0.0, names)
     if athletes is not None:
-        rows = rows.join(athletes, "sheet", "left")
+        rows = rows.join(sized(park(athletes, "athletes")), "sheet", "left")
     return rows.withColumnRenamed("sheet", "source_sheet")
 
 
 def athlete_names(cells: DataFrame, axis: DataFrame) -> DataFrame:
     """(sheet, athlete_name): the first filled cell up to five columns right of a name key."""
-    near = cells.join(axis, "sheet").withColumn("text", coerce.label_text(F.col("value")))
-    keys = near.where(F.col("text").rlike("|".join(lx.NAME_WORDS)))
-    keys = keys.select("sheet", "row_idx", F.col("col_idx").alias("k_col"), F.col("text").alias("k_text"))
-    right = keys.join(near, ["sheet", "row_idx"]).where(
+    near = cells.join(sized(axis), "sheet")
+    text, words = coerce.label_text(F.col("value")), "|".join(lx.NAME_WORDS)
+    # a name word of the label form is one of the text in lower case too; the full test runs on what is left
+    worded = near.where(F.lower("value").rlike(words))
+    keys = worded.select("sheet", "row_idx", F.col("col_idx").alias("k_col"), text.alias("k_text")).where(F.col("k_text").rlike(words))
+    right = near.join(sized(park(keys, "name-keys")), ["sheet", "row_idx"]).where(
         F.col("col_idx").between(F.col("k_col") + 1, F.col("k_col") + 5) & ~coerce.cell_blank(F.col("value"))
-        & (F.col("text") != F.col("k_text"))
+        & (text != F.col("k_text"))
         & ((F.col("row_idx") <= F.col("m_row")) | coerce.cell_number(F.col("value")).isNull())  # a number below the axis is data
     )
     first = right.groupBy("sheet").agg(F.min_by("value", F.struct("row_idx", "k_col", "col_idx")).alias("athlete_name"))
@@ -286,7 +304,7 @@ def read_sheets(cells: DataFrame, depth: int = 2, mode: str = "auto", sheets: st
     chosen = select_sheets(cells, sheets)
     if chosen.isEmpty():
         raise ValueError("no sheet to read")
-    transposed = park(matrix_sheets(chosen), "matrix-sheets") if mode != "table" else None
+    transposed = sized(park(matrix_sheets(chosen), "matrix-sheets")) if mode != "table" else None
     if mode == "matrix":
         plain = chosen.select("sheet").distinct().join(transposed, "sheet", "left_anti")
         wrong = plain.agg(F.count(F.lit(1)).alias("n"), F.min("sheet").alias("first")).first()
@@ -299,7 +317,7 @@ def read_sheets(cells: DataFrame, depth: int = 2, mode: str = "auto", sheets: st
         parts.append(number_rows(park(table_rows(tables, depth), "table-rows"), "_sheet", "row_idx", "_row"))
     if matrices is not None and not matrices.isEmpty():
         matrix = parse_matrix(matrices)
-        rows = park(matrix_rows(matrix, athlete_names(matrices, axis_of(matrices))), "matrix-rows")
+        rows = park(matrix_rows(matrix, athlete_names(matrices, matrix.axis)), "matrix-rows")
         out["matrix_rows"], out["label_mapping"] = rows, matrix.mapping
         named = rows.withColumn("_sheet", F.col("source_sheet")).withColumn("_place", F.col("episode_order"))
         parts.append(number_rows(named, "_sheet", "_place", "_row"))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from runloom import session
 from runloom.sources import cells as cs
 from runloom.sources import manifest, series, sinks
 
@@ -81,6 +82,25 @@ def test_matrix_sheet_far_from_the_top(spark):
     assert {r["athlete_name"] for r in rows} == {"Сидоров А."} and len(rows) == 2
 
 
+def test_cells_are_not_broadcast(spark, monkeypatch):
+    """Exploded cells look small to the planner. Only tables of few rows, by count, are broadcast; the rows are the same."""
+    flat = [(r, c, str(v)) for r, line in enumerate(MATRIX) for c, v in enumerate(line) if v is not None]
+    parts = spark.createDataFrame(flat, "row_idx int, col_idx int, value string").select(F.array_agg(F.struct("*")).alias("p"))
+    cells = parts.select(F.explode("p").alias("c")).crossJoin(spark.range(3)).selectExpr("concat('m', id) AS sheet", "c.*")
+
+    def found():
+        matrix = cs.parse_matrix(cells)
+        tables = [cs.matrix_sheets(cells), cs.row_labels(cells, matrix.axis), cs.athlete_names(cells, matrix.axis), matrix.values,
+                  cs.matrix_rows(matrix, cs.athlete_names(cells, matrix.axis))]
+        plans = [t._jdf.queryExecution().sparkPlan().toString() for t in tables]
+        return ["BroadcastHashJoin" in p for p in plans], [sorted(map(repr, t.collect())) for t in tables]
+
+    few, rows = found()
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    many, same = found()
+    assert any(few) and not any(many) and rows == same and [len(r) for r in rows[:1]] == [3] and len(rows[4]) == 6
+
+
 def test_contact_parts_of_a_matrix_sheet(spark):
     """Columns keep their part, so the codes of that part are not zero; the export has rows and labels."""
     from runloom.operators.features import FeaturePlan
