@@ -10,7 +10,7 @@ from ..models import passes
 from ..models.discrete import SMOOTHING, DiscreteModel, class_number
 from ..models.gaussian import GaussianModel
 from ..models.kernel import EPS
-from ..models.runs import segments
+from ..models.runs import both, segments
 from ..models.seeds import dominance, seed_means
 from ..models.semantics import block_profiles, feature_means, name_decoded, names_table
 from ..operators.features import Scaler, block_weights, semantic_view
@@ -36,12 +36,12 @@ def class_numbers(spark, sf):
     )
 
 
-def _segments(spark, sf, train=False, **how):
+def _segments(spark, sf, train=False, cut=segments, **how):
     rows = episodes(spark, sf)
     if train:
         rows = rows.where("is_train_eligible")
     rows = rows.select("sheet_name", "athlete_name", "source_row_index", "sequence_id", "observed_zap_class")
-    return segments(rows, athlete_order(spark, sf), class_number(F.col("observed_zap_class"), lx.OBSERVED_CLASSES), **how)
+    return cut(rows, athlete_order(spark, sf), class_number(F.col("observed_zap_class"), lx.OBSERVED_CLASSES), **how)
 
 
 # --- SQL twins: the three states are unrolled into columns ---------------------------

@@ -91,13 +91,13 @@ bk AS (
 @query("s15_saved_discrete_model", _SAVED)
 def saved_discrete(spark, sf):
     """A trained model, saved, loaded and used to decode."""
-    seg = q_models._segments(spark, sf, distinct=True)
+    seg, rows = q_models._segments(spark, sf, cut=q_models.both)
     model = DiscreteModel.initial(3).fit(seg)
     seg.release()
     path = scratch(spark, "model")
     params.save_model(spark, model, path, "saved")
     loaded, _ = params.load_model(spark, path)
-    return passes.decode(q_models._segments(spark, sf, passes=False), loaded).groupBy("hidden_state").agg(F.count(F.lit(1)).alias("n"))
+    return passes.decode(rows, loaded).groupBy("hidden_state").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s16_saved_gaussian_model")

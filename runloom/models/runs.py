@@ -89,6 +89,16 @@ def hold(cut: DataFrame, keys: tuple[str, ...], passes: bool = True) -> Segments
     return Segments(table, (*keys, "run_no"), int(inner or 0))
 
 
+def both(df: DataFrame, order: Ordering, value: Column, sequence: str = "sequence_id", length: int = SEGMENT) -> tuple[Segments, Segments]:
+    """Segments to train on, equal runs collapsed, and those to decode, of the same rows, which are cut once.
+
+    Call `release` on the first when the training is done.
+    """
+    cut = park(cut_runs(df, order, value, sequence, length), "cut")
+    held = hold(collapse(cut, (*order.keys, "run_no")), order.keys)
+    return held, Segments(cut, held.keys, held.last_seg)
+
+
 def segments(
     df: DataFrame, order: Ordering, value: Column, sequence: str = "sequence_id", length: int = SEGMENT,
     vector: bool = False, distinct: bool = False, passes: bool = True,

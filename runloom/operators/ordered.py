@@ -25,6 +25,8 @@ from ..session import park
 BLOCK = 1 << 20
 #: Sampled order values for a block, and borders of all hot keys at most (they are broadcast); with more rows, blocks grow.
 SAMPLED, MOST_BORDERS = 64, 1 << 22
+#: Slots of hashed keys that are counted before any key is, and crowded slots that are worth a filter.
+SLOTS, FEW_SLOTS = 1 << 16, 1 << 10
 Cells = dict[str, Column]
 
 
@@ -44,8 +46,17 @@ class Ordering:
     def inspect(self, df: DataFrame) -> "Ordering":
         """Count rows per key (map-side combined); for the hot keys, choose the borders of their blocks.
 
-        There are at most rows / block hot keys.
+        There are at most rows / block hot keys. A hot key makes its slot of hashed keys hot
+        too, so slots are counted first, and keys in crowded slots only.
         """
+        if self.keys:
+            slot = F.pmod(F.xxhash64(*self.keys), F.lit(SLOTS))
+            slots = df.groupBy(slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > self.block)
+            found = [r["_slot"] for r in slots.select("_slot").collect()]  # SLOTS numbers at most
+            if not found:
+                return replace(self, hot=None)
+            if len(found) <= FEW_SLOTS:
+                df = df.where(slot.isin(found))
         crowded = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > self.block)
         if self.keys:
             if crowded.isEmpty():

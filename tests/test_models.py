@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runloom.models import fits, passes, regimes
+from runloom.models import runs as run_cuts
 from runloom.models.discrete import DiscreteModel, class_number, normal_rows
 from runloom.models.gaussian import GaussianModel, bidiagonal
 from runloom.models.runs import segments
@@ -281,3 +282,18 @@ def test_nth_largest(spark):
     thin = sorted([v for i, v in enumerate(values) if i % 3 == 0], reverse=True)
     assert nth_largest(df, {"b": F.col("b"), "a": F.col("a")}, {"b": 20, "a": 7}) == {"b": thin[19], "a": ranked[6]}
     assert mean_of_top(df, F.col("a"), 10, ["a"], ranked[9])[0] == pytest.approx(np.mean(ranked[:10]))
+
+
+def test_rows_are_cut_once_to_train_and_decode(spark, observed, model, monkeypatch):
+    _, df = observed
+    for length in (8192, 4):  # whole runs, and one run in pieces
+        train, every = segments(df, ORDER, F.col("o"), length=length, distinct=True), segments(df, ORDER, F.col("o"), length=length, passes=False)
+        cuts = []
+        with monkeypatch.context() as patch:
+            patch.setattr(run_cuts, "cut_runs", lambda *a, made=run_cuts.cut_runs: cuts.append(1) or made(*a))
+            held, rows = run_cuts.both(df, ORDER, F.col("o"), length=length)
+        assert len(cuts) == 1 and (held.last_seg, rows.last_seg) == (train.last_seg, every.last_seg)
+        np.testing.assert_allclose(passes.expected_counts(held, model), passes.expected_counts(train, model))
+        a, b = (passes.decode(s, model).drop("log_scale").orderBy("source_row_index").collect() for s in (rows, every))
+        assert a == b and len(a) == df.count()
+        held.release(), train.release()

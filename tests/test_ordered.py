@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from runloom.operators import ordered
 from runloom.operators.ordered import Ordering, fill_down, number_breaks, over_key, with_next, with_place, with_previous
 from runloom.operators.sequences import assign_sequences, number_runs, run_lengths
 from runloom.operators.transitions import count_transitions, direction_shares, transition_differences
@@ -135,3 +136,15 @@ def test_transitions_stay_inside_runs(spark):
     assert round(shares["forward_share"], 6) == 0.666667 and round(shares["self_share"], 6) == 0.333333
     assert transition_differences(counts, counts).count() == 0
     assert direction_shares(counts.where("false")).first()["self_share"] == 1.0
+
+
+def test_hot_keys_are_those_of_a_full_count(spark, rows, monkeypatch):
+    """Keys that share a slot of hashed keys, or have nulls in some column, are told apart again; keys are not counted where no slot is crowded."""
+    want = {r["k"] for r in rows.groupBy("k").count().where("count > 16").collect()}
+    for slots, few in ((1, 1 << 10), (3, 1), (1 << 16, 1 << 10)):
+        monkeypatch.setattr(ordered, "SLOTS", slots)
+        monkeypatch.setattr(ordered, "FEW_SLOTS", few)
+        found = Ordering(("k",), "row", block=16).inspect(rows).hot.select("k").collect()
+        assert {r["k"] for r in found} == want and len(found) == len(want)
+    monkeypatch.setattr(ordered, "SLOTS", 1)
+    assert Ordering(("k",), "row", block=300).inspect(rows).hot is None  # a crowded slot without a crowded key
