@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import coerce, lexicon as lx
+from ..session import park
 from .episodes import FieldPlan
 from .tables import beside, codes_where, names_where, top_per_key, unpivot
 
@@ -112,7 +113,7 @@ def readiness(quality: DataFrame, explicit_source: str | None = None) -> DataFra
 
 
 def audit(df: DataFrame, plan: FieldPlan | None = None) -> dict[str, DataFrame]:
-    quality = field_quality(df)
+    quality = park(field_quality(df), "fields")  # a row per field, read by every part below
     coverage = with_sources(quality, plan) if plan else quality
     rows = df.agg(F.count(F.lit(1)).alias("rows_total"))
     explicit = plan.columns.get("explicit_sequence_id") if plan else None

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce
 from ..functions.names import find_column
+from ..session import park
 from . import frequency
 from .observation import ObservationRules, finish_columns, finish_like_columns
 from .tables import beside, codes_where, names_where, top_per_key
@@ -89,7 +90,7 @@ def audit(df: DataFrame, rules: ObservationRules | None = None, names: list[str]
     names = names or df.columns
     mapped = finish_columns(names, rules)
     score_column = find_column(names, rules.score_columns)
-    signals = finish_signals(df, rules, names)
+    signals = park(finish_signals(df, rules, names), "signals")  # a row per column, read by every part below
     tables = {
         "finish_signals": signals,
         "unsupported_values": unsupported_values(df, signals),

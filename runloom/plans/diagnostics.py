@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..models.discrete import DiscreteModel, class_number
 from ..models.passes import decode
-from ..models.runs import segments
+from ..models.runs import both, segments
 from ..models.semantics import Naming, name_decoded, names_table
 from ..operators import charts, cleaning, health, metadata_audit, observation_audit, profiles, sequence_audit, transitions
 from ..operators.episodes import FieldPlan, build_episodes, provenance
@@ -52,14 +52,14 @@ class Prepared:
 
 def prepare(rows: DataFrame, settings: Settings = Settings(), rules: ObservationRules | None = None, row: str = "source_row_index",
             blocks: dict[str, str] | None = None) -> Prepared:
-    """Type, clean, classify and cut the rows. The canonical table is written once."""
+    """Type, clean, classify and cut the rows. The classified rows and the canonical table are written once each."""
     tidied = tidy(rows, row, blocks=blocks)
     cleaned = cleaning.clean(tidied.rows, row, settings.across_sheets)
     names = [c for c in cleaned.columns if c != row]
     labels = tidied.labels() if settings.match_on == "source" else None
     plan = FeaturePlan.from_names(names)
-    fields = FieldPlan.from_names(names, settings.field_map).with_guessed_weight(cleaned)
-    full = engineer(observe(cleaned, rules, names, labels), plan)
+    full = park(engineer(observe(cleaned, rules, names, labels), plan), "observed")  # the audits and exports read it many times
+    fields = FieldPlan.from_names(names, settings.field_map).with_guessed_weight(full.select(*[F.col(f"`{c}`") for c in cleaned.columns]))
     episodes = park(build_episodes(full, fields, row), "episodes")
     return Prepared(tidied, full, episodes, fields, plan, names)
 
@@ -74,11 +74,10 @@ def train(episodes: DataFrame, settings: Settings = Settings(), classes: list[st
     if rows.isEmpty():
         raise ValueError("no row is eligible for training")
     order = Ordering(SHEET, "source_row_index").inspect(rows)
-    cut = dict(order=order, value=class_number(F.col("observed_zap_class"), classes))
-    seg = segments(rows, distinct=True, **cut)
+    seg, every = both(rows, order, class_number(F.col("observed_zap_class"), classes))
     model = DiscreteModel.initial(settings.n_states, classes, settings.topology).fit(seg, settings.max_iter, settings.tol)
     seg.release()
-    states = decode(segments(rows, passes=False, **cut), model).select("source_row_index", "hidden_state")
+    states = decode(every, model).select("source_row_index", "hidden_state")
     naming = name_decoded(semantic_view(rows).join(states, "source_row_index"), model.n)
     return model.reordered(naming.order, naming.names), naming
 
@@ -108,20 +107,21 @@ def report(prepared: Prepared, analysis: DataFrame, model: DiscreteModel, assign
     """Every summary table. `analysis` should be a written table: it is read many times."""
     order = Ordering(SHEET, "source_row_index").inspect(analysis)
     moves = park(transitions.named_transitions(transitions.count_transitions(analysis, order), model.names), "moves")
-    profile = profiles.state_profile(analysis)
-    observed, quality = profiles.observed_layer(analysis), profiles.sequence_quality(analysis)
+    # a row, or a row per state, each read by several of the tables below
+    profile = park(profiles.state_profile(analysis), "profile")
+    observed, quality = park(profiles.observed_layer(analysis), "observed"), park(profiles.sequence_quality(analysis), "quality")
     audits = {
         "observation": observation_audit.audit(prepared.cleaned, rules, prepared.names),
         "metadata": metadata_audit.audit(prepared.episodes, prepared.fields),
         "sequence": sequence_audit.audit(analysis, prepared.fields.columns, prepared.fields.columns["explicit_sequence_id"]),
     }
     state = park(health.model_health(analysis, moves, profile, observed, model.n, assigned, confidence), "health")
-    advice = health.recommend(health.votes(analysis, assigned), state, observed, quality)
+    advice = park(health.recommend(health.votes(analysis, assigned), state, observed, quality), "advice")
     flags = health.report_flags(audits["observation"]["summary"], observed, quality, state, audits["metadata"]["summary"])
     tables = {
         "transitions": moves, "directions": transitions.direction_shares(moves), "state_profile": profile,
         "observed_layer": observed, "sequence_quality": quality, "recommendation": advice, "report_flags": flags,
-        "run_summary": health.run_summary(analysis, observed, quality, state, advice),
+        "run_summary": park(health.run_summary(analysis, observed, quality, state, advice), "summary"),
     }
     audits["model"] = {"summary": state}
     shown = charts.chart_tables(analysis, transitions.top_transitions(moves), model.names)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from compare import compare, connect
 from runloom import catalog
+from runloom.catalog.binding import raw_rows
 from runloom.plans import diagnostics, facade, research
 from runloom.sources import cells as cs
 from runloom.sources import publish, sinks
@@ -102,3 +103,21 @@ def test_query_equals_sql(spark, sf, name):
 
 def test_every_twin_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_a_cycle_cleans_its_rows_once(spark, tmp_path):
+    """Every audit and export reads the classified rows from a written table; the input is read for these and for the raw export only."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def reads(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    source = raw_rows(spark, "/root/testdata/sf0.001").where("source_row_index < 200")
+    n = source.count()
+    out = diagnostics.run(source.mapInArrow(reads, source.schema), str(tmp_path), diagnostics.Settings(max_iter=2))
+    assert out.tables["run_summary"].first()["rows_total"] == out.analysis.count() > 0
+    assert n < seen.value <= 6 * n
+    prepared = diagnostics.prepare(source)
+    assert "Window" not in prepared.cleaned._jdf.queryExecution().toString()
