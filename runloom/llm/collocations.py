@@ -12,12 +12,16 @@ Each round takes R_k to R_(k+1):
 * merge-join: R_k with itself on the same piece and the next place, in one pass over
   the sorted block (a block holds whole pieces);
 * group-count: a block counts its own pairs first, so that a phrase reaches the
-  shuffle once per block however often it occurs, then Spark adds the counts;
+  shuffle once per block however often it occurs. Groups are dealt to buckets, and
+  what a block has for a bucket is one packed row, a piece; Spark brings the pieces
+  of a bucket together and a task adds their counts;
 * semi-join: the frequent groups go back to the blocks in which they occur, by block,
-  and the others leave the relation before the next round.
+  packed as well, and the others leave the relation before the next round.
 
 Groups are named by the pair of frequent phrases that they are made of (first k and
-last k words), whose ids are exact: nothing is hashed. Every part of a frequent
+last k words), whose ids are exact: hashes say which bucket a group is counted in,
+never which group it is. The number of buckets grows with the relation, so a bucket
+has `BUCKET` groups at most, about. Every part of a frequent
 phrase is frequent, so the counts of all cuts are at hand from earlier rounds. A
 candidate lies in a longer one that covers it just when it lies in one that is one
 word longer and covers it: the words between add no occurrences.
@@ -51,6 +55,8 @@ from . import arrow
 BLOCK_WORDS = 1 << 21
 #: Groups listed in one row.
 LISTED = 1 << 13
+#: Places of a relation for each bucket in which its groups are counted.
+BUCKET = 1 << 21
 #: Bytes that end a piece and bytes that part words, as the contract fixes them.
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
@@ -65,6 +71,16 @@ WORD_BLOCK = f"block bigint, {ENTRY}, words array<string>, counts array<int>"
 PAIR_BLOCK = f"block bigint, {ENTRY}, lefts array<bigint>, rights array<bigint>, counts array<int>"
 OF_BLOCK = [("block", pa.int64()), ("lang", pa.string()), ("n", pa.int32()), ("step", pa.binary()), ("code", pa.binary()), ("first", pa.int32())]
 WORDS = pa.schema([*OF_BLOCK, ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
+PIECE = "bucket int, block bigint, lang string, n int, codes binary, names array<binary>, counts binary"
+PIECES = pa.schema([
+    ("bucket", pa.int32()), ("block", pa.int64()), ("lang", pa.string()), ("n", pa.int32()), ("codes", pa.binary()), ("names", pa.list_(pa.binary())),
+    ("counts", pa.binary()),
+])
+KEPT_ROW = "block bigint, n int, codes binary, ids binary, id bigint, total bigint, lang string, word string, lefts bigint, rights bigint"
+KEPT = pa.schema([
+    ("block", pa.int64()), ("n", pa.int32()), ("codes", pa.binary()), ("ids", pa.binary()), ("id", pa.int64()), ("total", pa.int64()),
+    ("lang", pa.string()), ("word", pa.string()), ("lefts", pa.int64()), ("rights", pa.int64()),
+])
 PAIRS = pa.schema([*OF_BLOCK, ("lefts", pa.list_(pa.int64())), ("rights", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
 
 
@@ -76,6 +92,16 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd"), np.int32)
 
 
+def pack_wide(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, all lowest bytes first and so on: the upper ones hardly differ."""
+    return pa.compress(np.ascontiguousarray(numbers, "<i8").view("u1").reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_wide(data: bytes, n: int) -> np.ndarray:
+    plain = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd"), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(plain.T).view("<i8").reshape(n)
+
+
 def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all words in a row, their lengths, and whether a new piece begins before each."""
     texts = texts.cast(pa.large_string())
@@ -161,30 +187,123 @@ def word_blocks(docs: DataFrame, text: str, lang: str, block_words: int) -> Data
     return source.where(F.col("text") != "").mapInArrow(blocks, WORD_BLOCK)
 
 
-def frequent(counted: DataFrame, group: list[str], least: int) -> DataFrame:
-    """Semi-join of (block, code) entries with the groups counted `least` times or more.
+def bucket_of(lefts: np.ndarray, rights: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = lefts.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rights.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+
+
+def block_pieces(lists: pa.Table, buckets: int) -> pa.RecordBatch:
+    """Pieces of the groups in rows that list those of one block: words with their buckets, or pairs."""
+    lists = lists.combine_chunks()
+    n = pc.list_value_length(lists["counts"]).to_numpy()
+    codes = np.repeat(lists["first"].to_numpy() - np.cumsum(n) + n, n) + np.arange(n.sum())
+    flat = {c: pc.list_flatten(lists[c]).combine_chunks() for c in lists.column_names[3:]}
+    bucket = flat["bucket"].to_numpy() if "bucket" in flat else bucket_of(flat["lefts"].to_numpy(), flat["rights"].to_numpy(), buckets)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
+    codes, counts = codes[order], flat["counts"].to_numpy()[order]
+    if "words" in flat:
+        _, ends, data = flat["words"].cast(pa.large_string()).take(pa.array(order)).buffers()
+        ends, data = np.frombuffer(ends, np.int64), memoryview(data)
+        named = lambda a, z: [pa.compress(data[ends[a] : ends[z]], codec="zstd", asbytes=True), pack(np.diff(ends[a : z + 1]))]
+    else:
+        lefts, rights = flat["lefts"].to_numpy()[order], flat["rights"].to_numpy()[order]
+        named = lambda a, z: [pack_wide(np.diff(lefts[a:z], prepend=0)), pack_wide(rights[a:z])]
+    block, lang = lists["block"][0].as_py(), lists["lang"][0].as_py()
+    return pa.RecordBatch.from_pylist(
+        [
+            {"bucket": int(bucket[order[a]]), "block": block, "lang": lang, "n": int(z - a), "codes": pack(np.diff(codes[a:z], prepend=0)), "names": named(a, z), "counts": pack(counts[a:z])}
+            for a, z in itertools.pairwise(edges)
+        ],
+        PIECES,
+    )
 
-    Keeps `block` and `code`, adds the group's `id`, and on one row of each group its `total` and name.
+
+def pieces(relation: DataFrame, names: list[str], buckets: int) -> DataFrame:
+    """What each block has for each bucket, packed in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = pa.Table.from_batches([batch])
+            for block in pc.unique(lists["block"]):
+                yield block_pieces(lists.filter(pc.equal(lists["block"], block)), buckets)
+        arrow.finish()
+
+    lists = relation.where("step IS NULL").select("block", "lang", "first", *names, "counts")
+    if names == ["words"]:
+        lists = lists.withColumn("bucket", F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")))
+    return lists.mapInArrow(run, PIECE)
+
+
+def same_words(rows: list[dict]) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Which group each entry of pieces is, and the groups' languages and words. Pieces of a language stand together."""
+    own, words, langs = [], [], []
+    for lang, some in itertools.groupby(rows, lambda r: r["lang"]):
+        some = list(some)
+        lengths = np.concatenate([unpack(r["names"][1], r["n"]) for r in some])
+        offsets = np.append(0, np.cumsum(lengths, dtype=np.int64))
+        sizes = [int(unpack(r["names"][1], r["n"]).sum(dtype=np.int64)) for r in some]
+        data = b"".join(pa.decompress(r["names"][0], decompressed_size=size, codec="zstd", asbytes=True) for r, size in zip(some, sizes, strict=True))
+        coded = pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        own.append(coded.indices.to_numpy() + sum(map(len, words)))
+        words.append(coded.dictionary.cast(pa.string()))
+        langs.append(pa.repeat(pa.scalar(lang, pa.string()), len(coded.dictionary)))
+    return np.concatenate(own), {"lang": pa.concat_arrays(langs), "word": pa.concat_arrays(words)}
+
+
+def same_pairs(rows: list[dict]) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Which group each entry of pieces is, and the groups' parts, in ascending order."""
+    lefts, left = np.unique(np.concatenate([np.cumsum(unpack_wide(r["names"][0], r["n"])) for r in rows]), return_inverse=True)
+    rights, right = np.unique(np.concatenate([unpack_wide(r["names"][1], r["n"]) for r in rows]), return_inverse=True)
+    pairs, own = np.unique(left * len(rights) + right, return_inverse=True)
+    return own, {"lefts": pa.array(lefts[pairs // len(rights)]), "rights": pa.array(rights[pairs % len(rights)])}
+
+
+def frequent(counted: DataFrame, names: list[str], least: int) -> DataFrame:
+    """Semi-join of pieces with the groups counted `least` times or more.
+
+    A row for each piece that keeps groups, with their codes in the block and their ids, and a row for each of these groups.
     """
-    whole = W.partitionBy(*group)
-    # numbered after the exchange, where all rows of a group are in one task
-    counted = counted.repartition(*group).withColumn("spot", F.monotonically_increasing_id())
-    counted = counted.withColumn("total", F.sum(F.col("count").cast("bigint")).over(whole)).withColumn("id", F.min("spot").over(whole))
-    # what names a group stays on one of its rows only
-    lone = [F.when(F.col("id") == F.col("spot"), F.col(c)).alias(c) for c in ("total", *group)]
-    return counted.where(F.col("total") >= least).select("block", "code", "id", *lone)
+
+    def run(found: pa.Table) -> pa.Table:
+        rows = found.sort_by([("lang", "ascending"), ("block", "ascending")]).to_pylist()
+        own, group = same_words(rows) if names == ["words"] else same_pairs(rows)
+        counts = np.concatenate([unpack(r["counts"], r["n"]) for r in rows])
+        total = np.zeros(int(own.max()) + 1, np.int64)
+        np.add.at(total, own, counts)
+        kept = total >= least
+        ids = np.cumsum(kept) - 1 + (rows[0]["bucket"] << 32)
+        out, at = [], 0
+        for r in rows:
+            mine = own[at : at + r["n"]]
+            at += r["n"]
+            stay = kept[mine]
+            if stay.any():
+                codes = np.cumsum(unpack(r["codes"], r["n"]))[stay]
+                out.append({"block": r["block"], "n": len(codes), "codes": pack(np.diff(codes, prepend=0)), "ids": pack_wide(np.diff(ids[mine[stay]], prepend=0))})
+        group = {"id": pa.array(ids[kept]), "total": pa.array(total[kept])} | {c: g.filter(pa.array(kept)) for c, g in group.items()}
+        whole = pa.table([group.get(f.name, pa.nulls(int(kept.sum()), f.type)) for f in KEPT], schema=KEPT)
+        return pa.concat_tables([pa.Table.from_pylist(out, KEPT), whole])
+
+    return counted.groupBy("bucket").applyInArrow(run, KEPT_ROW)
 
 
 def joined(left: pa.Table, right: pa.Table) -> pa.Table:
     """Next relation of a block: what its semi-join keeps, merge-joined with itself on the next place.
 
-    `left` is the block's row, `right` the (code, id) of its frequent groups.
+    `left` is the block's row, `right` has the codes and ids of its frequent groups.
     """
     if not left.num_rows or not right.num_rows:
         return PAIRS.empty_table()
     row = left.to_pylist()[0]
     place, code = np.cumsum(unpack(row["step"], row["n"]), dtype=np.int64), unpack(row["code"], row["n"])
-    codes, ids = right["code"].to_numpy(), right["id"].to_numpy()
+    kept = right.to_pylist()
+    codes = np.concatenate([np.cumsum(unpack(r["codes"], r["n"])) for r in kept])
+    ids = np.concatenate([np.cumsum(unpack_wide(r["ids"], r["n"])) for r in kept])
+    order = np.argsort(ids)  # so that pairs come out in the order of their ids
+    codes, ids = codes[order], ids[order]
     own = np.full(max(int(code.max()), int(codes.max())) + 1, -1, np.int64)
     own[codes] = np.arange(len(codes))
     group = own[code]
@@ -200,17 +319,16 @@ def joined(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def extended(relation: DataFrame, kept: DataFrame) -> DataFrame:
-    """R_(k+1), before its semi-join, from R_k and the entries that R_k's semi-join keeps."""
+    """R_(k+1), before its semi-join, from R_k and the pieces that R_k's semi-join keeps."""
     blocks = relation.where("step IS NOT NULL").select("block", "lang", "n", "step", "code")
-    return blocks.groupBy("block").cogroup(kept.select("block", "code", "id").groupBy("block")).applyInArrow(joined, PAIR_BLOCK)
+    kept = kept.where("block IS NOT NULL").select("block", "n", "codes", "ids")
+    return blocks.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(joined, PAIR_BLOCK)
 
 
-def entries(relation: DataFrame, columns: list[str], *keep: str) -> DataFrame:
-    """A relation's counts: a row per block and group of the block."""
-    lists = relation.where("step IS NULL")
-    listed = lists.select("block", *keep, "first", F.posexplode(F.arrays_zip(*columns, "counts")).alias("at", "group"))
-    code, named = (F.col("first") + F.col("at")).alias("code"), [F.col(f"group.{c}").alias(c) for c in columns]
-    return listed.select("block", *keep, code, *named, F.col("group.counts").alias("count"))
+def met(relation: DataFrame, names: list[str], least: int) -> DataFrame:
+    """Group-count and semi-join of a parked relation."""
+    places = relation.agg(F.sum(F.col("n").cast("bigint"))).first()[0] or 0
+    return frequent(pieces(relation, names, max(1, -(-places // BUCKET))), names, least)
 
 
 def spelled(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -238,17 +356,17 @@ def mine(
     with Shelf(docs.sparkSession) as shelf:
         relation = shelf.put(word_blocks(docs, text, lang, block_words), "phrases-words")
         sizes = shelf.put(relation.groupBy("lang").agg(F.sum(F.col("n").cast("bigint")).alias("n")), "phrases-sizes")
-        kept = shelf.put(frequent(entries(relation, ["words"], "lang"), ["lang", "words"], least), "phrases-frequent")
+        kept = shelf.put(met(relation, ["words"], least), "phrases-frequent")
         one = F.array("total")
         groups = [shelf.put(
-            kept.where("total IS NOT NULL").select("id", "lang", F.array("words").alias("words"), "total", one.alias("firsts"), one.alias("lasts")), "phrases-1"
+            kept.where("id IS NOT NULL").select("id", "lang", F.array("word").alias("words"), "total", one.alias("firsts"), one.alias("lasts")), "phrases-1"
         )]
         for k in range(2, longest + 1):
             longer = shelf.put(extended(relation, kept), "phrases-pairs")
             shelf.drop(relation, kept)
             relation = longer
-            kept = shelf.put(frequent(entries(relation, ["lefts", "rights"]), ["lefts", "rights"], least), "phrases-frequent")
-            pairs = kept.where("total IS NOT NULL").select("id", "lefts", "rights", "total")
+            kept = shelf.put(met(relation, ["lefts", "rights"], least), "phrases-frequent")
+            pairs = kept.where("id IS NOT NULL").select("id", "lefts", "rights", "total")
             groups.append(shelf.put(spelled(pairs, groups[-1]), f"phrases-{k}"))
         return park(ranked(groups[1:], sizes, cover, top, scale), "phrases")
 

@@ -68,6 +68,36 @@ def test_phrases_over_many_blocks(spark, size):
     assert sorted(map(tuple, collocations.mine(docs, least=5, top=500, block_words=size).collect())) == want
 
 
+@pytest.mark.parametrize("bucket", [1, 40, 1 << 21])
+def test_phrases_counted_in_buckets(spark, monkeypatch, bucket):
+    """However many buckets there are, also more than groups, no group is lost or counted apart."""
+    monkeypatch.setattr(collocations, "BUCKET", bucket)
+    monkeypatch.setattr(collocations, "LISTED", 3)
+    draw = np.random.default_rng(6)
+    text = lambda: " ".join(draw.choice(["é", "B", "c", "same", "."], 40, p=[0.4, 0.3, 0.1, 0.05, 0.15]))
+    rows = [(i, text(), [None, "de"][i % 2], 1, "x") for i in range(20)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert sorted(map(tuple, collocations.mine(docs, least=3, top=500, block_words=100).collect())) == collocated(rows, 3, 4, 80, 500, 2_000_000)
+
+
+def test_pairs_are_shuffled_in_packed_rows():
+    """A row for each block and bucket, of a few bytes for each pair, with nothing left out."""
+    import pyarrow as pa
+
+    draw = np.random.default_rng(7)
+    pairs = np.unique(draw.integers(0, 20_000, (50_000, 2)) * (1, 1 << 33), axis=0)
+    lists = pa.table({"block": [5 << 32], "lang": ["en"], "first": pa.array([0], pa.int32()), "lefts": [pairs[:, 0]], "rights": [pairs[:, 1]], "counts": [np.ones(len(pairs), np.int32)]})
+    rows = collocations.block_pieces(lists, 16)
+    assert sorted(rows["bucket"].to_pylist()) == list(range(16)) and rows.nbytes < 7 * len(pairs)
+    got = []
+    for r in rows.to_pylist():
+        codes = np.cumsum(collocations.unpack(r["codes"], r["n"]))
+        lefts, rights = np.cumsum(collocations.unpack_wide(r["names"][0], r["n"])), collocations.unpack_wide(r["names"][1], r["n"])
+        assert collocations.unpack(r["counts"], r["n"]).tolist() == [1] * r["n"]
+        got += zip(codes.tolist(), lefts.tolist(), rights.tolist(), strict=True)
+    assert sorted(got) == [(i, a, b) for i, (a, b) in enumerate(pairs.tolist())]
+
+
 def test_words_of_any_bytes():
     import pyarrow as pa
 
