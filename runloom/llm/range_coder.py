@@ -19,7 +19,7 @@ import numpy as np
 BLOCK = 4096
 PRECISION = 18
 #: Blocks that advance together; more are done in turns.
-LANES = 2048
+LANES = 3072
 #: Slots of the order-1 and order-2 tables of a block.
 SLOTS1, SLOTS2 = 1024, 2048
 #: Chances are in parts of 2^CHANCE and move by 1/2^RATE of the way to what happened.
@@ -130,7 +130,7 @@ def _encode(blocks: list[np.ndarray], shares: Shares) -> list[bytes]:
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     lanes, steps = len(blocks), max(map(len, blocks), default=0)
     sizes = np.array([len(blocks[i]) for i in order])
-    symbols = np.zeros((steps, lanes), np.int64)
+    symbols = np.zeros((steps, lanes), np.int32)
     for lane, i in enumerate(order):
         symbols[: len(blocks[i]), lane] = blocks[i]
     state = State(lanes)
@@ -183,7 +183,7 @@ def _decode(coded: list[bytes], sizes: list[int], shares: Shares) -> list[np.nda
         code = (code << SHIFT) | data[np.arange(lanes), place]
         place += 1
     state = State(lanes)
-    symbols = np.zeros((steps, lanes), np.int64)
+    symbols = np.zeros((steps, lanes), np.int32)
     last_word = data.shape[1] - 1
     for t in range(steps):
         n = int(np.count_nonzero(length > t))

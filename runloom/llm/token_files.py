@@ -18,6 +18,7 @@ table writes an empty archive; other columns are left out.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 import zlib
@@ -32,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrow import slices
-from .bpe import ODD_SPACE, Kept, spread
+from .bpe import ENTRY, ODD_SPACE, byte_alphabet, spread
 from .range_coder import BLOCK, Shares, decode, encode
 from .warc import store
 
@@ -42,47 +43,155 @@ FILE_BYTES = 24 << 20
 #: Ids that a task holds before it closes a file.
 FILE_IDS = 12_000_000
 MANIFEST = "manifest.parquet"
-#: Bytes of a generation of kept chunks.
-KEPT_CHUNKS = 48 << 20
+#: Bytes of chunks, and of words of chunks, that are kept from one slice of texts to the next.
+KEPT_CHUNKS, KEPT_WORDS = 96 << 20, 40 << 20
+#: Strings whose ids are gathered at once.
+GATHERED = 1 << 20
+#: Chunks that NFC leaves as they are, and whose letters have one lower case each, whatever stands beside them.
+PLAIN = regex.compile(r"[\x00-\x1b!-\x7f\u00A1-\u00AC\u00AE-\u012F\u0131-\u024F]+")
+
+
+def word_pattern(spec: dict) -> regex.Pattern | None:
+    """What cuts lower-case chunks into words, if the file normalises and splits as `PLAIN` asks for: NFC, lower case, one pattern, bytes.
+
+    Each word then ends with the one token that has the word-end suffix.
+    """
+    steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    model = spec["model"]
+    if steps not in (["NFC", "Lowercase"], ["NFC", "Replace", "Lowercase"]) or [x["type"] for x in parts] != ["Split", "ByteLevel"] or spec["post_processor"]:
+        return None
+    if "Replace" in steps and (spec["normalizer"]["normalizers"][1]["pattern"], spec["normalizer"]["normalizers"][1]["content"]) != ({"Regex": r"\s+"}, " "):
+        return None
+    split, plain = parts
+    if (split["behavior"], split["invert"], plain["add_prefix_space"], plain["use_regex"]) != ("Removed", True, False, False) or "Regex" not in split["pattern"]:
+        return None
+    suffix = model.get("end_of_word_suffix")
+    if model["type"] != "BPE" or not suffix or any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "ignore_merges")):
+        return None
+    if not all(c in model["vocab"] and c + suffix in model["vocab"] for c in byte_alphabet()):
+        return None
+    pattern = regex.compile(split["pattern"]["Regex"] + r"|\n")
+    return None if pattern.groups else pattern
+
+
+class Known:
+    """Ids of strings, one string after another."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.ends, self.held = np.empty(0, "<i4"), np.zeros(1, np.int64), 0
+
+    def add(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys)), strict=True))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.held += ENTRY * len(keys) + sum(map(len, keys)) + 4 * len(ids)
+
+    def find(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all these strings, and how many each has."""
+        ids, lengths = [np.empty(0, "<i4")], [np.empty(0, np.int64)]
+        for start in range(0, len(keys), GATHERED):
+            some = keys[start : start + GATHERED]
+            at = np.fromiter(map(self.place.__getitem__, some), np.int64, len(some))
+            first = self.ends[at]
+            own = self.ends[at + 1] - first
+            ends = np.cumsum(own)
+            ids.append(self.ids[np.repeat(first - ends + own, own) + np.arange(ends[-1])])
+            lengths.append(own)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def forget(self) -> None:
+        """Bounds what is kept; a slice of texts needs no more than its own strings."""
+        if self.held > self.size:
+            self.clear()
 
 
 class LibraryEncoder:
-    """The tokenizers library over chunks between white space, which part words always."""
+    """The tokenizers library over chunks between white space, which part words always.
+
+    Many new chunks share few new words, so plain chunks are cut into words first and
+    the library encodes each new word once; all others it gets as they are.
+    """
 
     def __init__(self, content: bytes):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores
         from tokenizers import Tokenizer
 
+        spec = json.loads(content)
         self.tokenizer = Tokenizer.from_str(content.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        added = sorted((t["content"] for t in json.loads(content)["added_tokens"]), key=len, reverse=True)
+        added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.mark = added[0] if added else None
         self.mark_id = self.tokenizer.token_to_id(self.mark) if added else -1
-        self.chunks: dict[str, bytes] = Kept(self.one, KEPT_CHUNKS, 1)
-
-    def one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
-
-    def learn(self, texts: list[str]) -> None:
-        """Encodes the new chunks of several texts in one call, parted by a special token."""
-        new = {c for t in texts for c in t.split()}.difference(self.chunks)
-        new = [c for c in new if c not in self.chunks.old and not (self.special and "<" in c and self.special.search(c))]
-        if self.mark is None or not new:
-            return
-        ids = np.array(self.tokenizer.encode(f" {self.mark} ".join(new), add_special_tokens=False).ids, "<i4")
-        ends = np.flatnonzero(ids == self.mark_id)
-        starts = np.concatenate([[0], ends + 1])
-        raw = ids.tobytes()
-        for chunk, a, b in zip(new, starts.tolist(), [*ends.tolist(), len(ids)], strict=True):
-            self.chunks.put(chunk, raw[4 * a : 4 * b])
+        self.chunks, self.words = Known(KEPT_CHUNKS), Known(KEPT_WORDS)
+        self.pattern = word_pattern(spec)
+        if self.pattern:
+            suffix = spec["model"]["end_of_word_suffix"]
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for token, i in spec["model"]["vocab"].items() if token.endswith(suffix)]] = True
+
+    def one(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4")
+
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = [self.one(t) for t in texts]
+        return np.concatenate(made), np.array([len(m) for m in made])
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encodes the new ones among chunks, many in one call."""
+        new = list(set(chunks).difference(self.chunks.place))
+        special = [c for c in new if self.mark is None or ("<" in c or "<" not in self.mark) and self.special.search(c)]
+        new = list(set(new).difference(special)) if special else new
+        plain = [c for c in new if PLAIN.fullmatch(c)] if self.pattern else []
+        other = list(set(new).difference(plain)) if len(plain) < len(new) else []
+        for some, encoded in ((special, self.each), (plain, self.by_words), (other, self.by_marks)):
+            if some:
+                self.chunks.add(some, *encoded(some))
+
+    def by_marks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks and how many each has, from one text in which a special token parts them."""
+        ids = np.array(self.tokenizer.encode(f" {self.mark} ".join(chunks), add_special_tokens=False).ids, "<i4")
+        marks = ids == self.mark_id
+        return ids[~marks], np.diff(np.flatnonzero(marks), prepend=-1, append=len(ids)) - 1
+
+    def by_words(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks and how many each has, from those of their words."""
+        words = self.pattern.findall("\n".join(chunks).lower())
+        if "\n" not in self.words.place:
+            self.words.add(["\n"], np.empty(0, "<i4"), np.zeros(1, np.int64))
+        new = list(set(words).difference(self.words.place))
+        if new:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<i4")
+            lengths = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            self.words.add(new, *((ids, lengths) if len(lengths) == len(new) else self.each(new)))
+        ids, lengths = self.words.find(words)
+        part = np.fromiter((w == "\n" for w in words), bool, len(words))
+        ends = np.cumsum(lengths)
+        return ids, np.diff(np.append(ends[part], ends[-1]), prepend=0)
 
     def __call__(self, texts: list[str | None], end: bytes) -> list[bytes]:
         texts = [t or "" for t in texts]
         odd = [bool(ODD_SPACE.search(t)) for t in texts]
-        self.learn([t for t, o in zip(texts, odd, strict=True) if not o])
-        find = self.chunks.__getitem__
-        return [(self.one(t) if o else b"".join(map(find, t.split()))) + end for t, o in zip(texts, odd, strict=True)]
+        chunks: list[str] = []
+        stops = [0]
+        for t, o in zip(texts, odd, strict=True):
+            chunks += () if o else t.split()
+            stops.append(len(chunks))
+        self.learn(chunks)
+        ids, lengths = self.chunks.find(chunks)
+        stops = np.append(0, np.cumsum(lengths))[stops].tolist()
+        raw = memoryview(ids.tobytes())
+        made = [(self.one(t).tobytes() if o else bytes(raw[4 * a : 4 * z])) + end for t, o, a, z in zip(texts, odd, stops, stops[1:], strict=False)]
+        self.chunks.forget()
+        self.words.forget()
+        return made
 
 
 def packed(array: np.ndarray) -> bytes:
@@ -98,10 +207,19 @@ def unpacked(data: memoryview, at: int, kind: str) -> tuple[np.ndarray, int]:
     return np.frombuffer(zlib.decompress(body), kind, count), at + 12 + size
 
 
+def tally(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different ids, the place of each id among them, and how often they occur."""
+    if not len(ids) or int(ids.max()) >= 1 << 22:
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    names = np.flatnonzero(counts)
+    return names.astype("<u4"), (np.cumsum(counts > 0, dtype=np.int32) - 1)[ids], counts[names]
+
+
 def write_file(doc_ids: list[int | None], tokens: list[bytes]) -> bytes:
     """Contents of a file."""
     ids = np.frombuffer(b"".join(tokens), "<i4").view("<u4")
-    names, local, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    names, local, counts = tally(ids)
     blocks = [local[i : i + BLOCK] for i in range(0, len(local), BLOCK)]
     coded = encode(blocks, Shares(counts)) if blocks else []
     out = [MAGIC, packed(names), packed(counts.astype("<u8"))]

@@ -126,6 +126,40 @@ def test_token_files_keep_chunks_by_bytes(library, monkeypatch, kept):
         assert coder.chunks.held <= kept
 
 
+def test_words_are_encoded_once(library):
+    """Plain chunks get the library's ids from those of their words, each asked for once; all other chunks from the library itself."""
+    with open(catalog.vocabulary(), "rb") as file:
+        coder = token_files.LibraryEncoder(file.read())
+    asked = []
+    ask = coder.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(w for t in texts for w in t.split())
+            return ask.encode_batch_fast(texts, **options)
+
+        def encode(self, text, **options):
+            return ask.encode(text, **options)
+
+    coder.tokenizer = Counting()
+    letters = [c for c in map(chr, range(0x21, 0x250)) if not c.isspace()]
+    texts = ["Word, word. WORD! (word) word's 'Word'S''s word1 word12 'LL'll'd 'x", " ".join(letters), " ".join(f"a{c}B{c}{c}'{c}9" for c in letters)]
+    texts += [" ".join(a + b for a in letters[i::7] for b in letters[:40]) for i in range(7)]
+    texts += ["e\u0301 \u0130I \u03a3\u03a3 \u4e00\u4e8c \u1e9e\ufb01 \u0149", "a<|endoftext|>b <|ENDOFTEXT|> <|x|>", "a\x00b \x7f \x01", "", None, "a\x1cb"]
+    for batch in (texts[:1], texts, texts[::-1]):
+        got = [np.frombuffer(b, "<i4").tolist() for b in coder(batch, b"")]
+        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in batch]
+    assert asked.count("word") == 1 and len(asked) == len(set(asked))
+
+
+def test_ids_are_tallied():
+    for ids in ([3, 1, 3, 0], [7], [], [1 << 31, 5, 1 << 31]):
+        ids = np.array(ids, "<u4")
+        names, local, counts = token_files.tally(ids)
+        assert names.tolist() == sorted(set(ids.tolist())) and names[local].tolist() == ids.tolist()
+        assert counts.tolist() == [ids.tolist().count(n) for n in names.tolist()]
+
+
 def test_damage_is_found():
     data = bytearray(token_files.write_file([1, None], [np.arange(50, dtype="<i4").tobytes(), np.array([1], "<i4").tobytes()]))
     docs, lengths, ids = token_files.read_file(memoryview(data))
