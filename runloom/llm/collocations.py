@@ -84,22 +84,20 @@ KEPT = pa.schema([
 PAIRS = pa.schema([*OF_BLOCK, ("lefts", pa.list_(pa.int64())), ("rights", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
 
 
-def pack(numbers: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(numbers, np.int32), codec="zstd", asbytes=True)
+#: 64-bit numbers, as `pack` and `unpack` take them.
+WIDE = "<i8"
 
 
-def unpack(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd"), np.int32)
+def pack(numbers: np.ndarray, kind: str = "<i4") -> bytes:
+    """Numbers with all lowest bytes first and so on, compressed: the upper ones hardly differ."""
+    plain = np.ascontiguousarray(numbers, kind)
+    return pa.compress(plain.view("u1").reshape(-1, plain.itemsize).T.tobytes(), codec="zstd", asbytes=True)
 
 
-def pack_wide(numbers: np.ndarray) -> bytes:
-    """64-bit numbers, all lowest bytes first and so on: the upper ones hardly differ."""
-    return pa.compress(np.ascontiguousarray(numbers, "<i8").view("u1").reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
-
-
-def unpack_wide(data: bytes, n: int) -> np.ndarray:
-    plain = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd"), np.uint8).reshape(8, n)
-    return np.ascontiguousarray(plain.T).view("<i8").reshape(n)
+def unpack(data: bytes, n: int, kind: str = "<i4") -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    plain = np.frombuffer(pa.decompress(data, decompressed_size=width * n, codec="zstd"), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(plain.T).view(kind).reshape(n)
 
 
 def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,7 +208,7 @@ def block_pieces(lists: pa.Table, buckets: int) -> pa.RecordBatch:
         named = lambda a, z: [pa.compress(data[ends[a] : ends[z]], codec="zstd", asbytes=True), pack(np.diff(ends[a : z + 1]))]
     else:
         lefts, rights = flat["lefts"].to_numpy()[order], flat["rights"].to_numpy()[order]
-        named = lambda a, z: [pack_wide(np.diff(lefts[a:z], prepend=0)), pack_wide(rights[a:z])]
+        named = lambda a, z: [pack(np.diff(lefts[a:z], prepend=0), WIDE), pack(rights[a:z], WIDE)]
     block, lang = lists["block"][0].as_py(), lists["lang"][0].as_py()
     return pa.RecordBatch.from_pylist(
         [
@@ -255,8 +253,8 @@ def same_words(rows: list[dict]) -> tuple[np.ndarray, dict[str, pa.Array]]:
 
 def same_pairs(rows: list[dict]) -> tuple[np.ndarray, dict[str, pa.Array]]:
     """Which group each entry of pieces is, and the groups' parts, in ascending order."""
-    lefts, left = np.unique(np.concatenate([np.cumsum(unpack_wide(r["names"][0], r["n"])) for r in rows]), return_inverse=True)
-    rights, right = np.unique(np.concatenate([unpack_wide(r["names"][1], r["n"]) for r in rows]), return_inverse=True)
+    lefts, left = np.unique(np.concatenate([np.cumsum(unpack(r["names"][0], r["n"], WIDE)) for r in rows]), return_inverse=True)
+    rights, right = np.unique(np.concatenate([unpack(r["names"][1], r["n"], WIDE) for r in rows]), return_inverse=True)
     pairs, own = np.unique(left * len(rights) + right, return_inverse=True)
     return own, {"lefts": pa.array(lefts[pairs // len(rights)]), "rights": pa.array(rights[pairs % len(rights)])}
 
@@ -282,7 +280,7 @@ def frequent(counted: DataFrame, names: list[str], least: int) -> DataFrame:
             stay = kept[mine]
             if stay.any():
                 codes = np.cumsum(unpack(r["codes"], r["n"]))[stay]
-                out.append({"block": r["block"], "n": len(codes), "codes": pack(np.diff(codes, prepend=0)), "ids": pack_wide(np.diff(ids[mine[stay]], prepend=0))})
+                out.append({"block": r["block"], "n": len(codes), "codes": pack(np.diff(codes, prepend=0)), "ids": pack(np.diff(ids[mine[stay]], prepend=0), WIDE)})
         group = {"id": pa.array(ids[kept]), "total": pa.array(total[kept])} | {c: g.filter(pa.array(kept)) for c, g in group.items()}
         whole = pa.table([group.get(f.name, pa.nulls(int(kept.sum()), f.type)) for f in KEPT], schema=KEPT)
         return pa.concat_tables([pa.Table.from_pylist(out, KEPT), whole])
@@ -301,7 +299,7 @@ def joined(left: pa.Table, right: pa.Table) -> pa.Table:
     place, code = np.cumsum(unpack(row["step"], row["n"]), dtype=np.int64), unpack(row["code"], row["n"])
     kept = right.to_pylist()
     codes = np.concatenate([np.cumsum(unpack(r["codes"], r["n"])) for r in kept])
-    ids = np.concatenate([np.cumsum(unpack_wide(r["ids"], r["n"])) for r in kept])
+    ids = np.concatenate([np.cumsum(unpack(r["ids"], r["n"], WIDE)) for r in kept])
     order = np.argsort(ids)  # so that pairs come out in the order of their ids
     codes, ids = codes[order], ids[order]
     own = np.full(max(int(code.max()), int(codes.max())) + 1, -1, np.int64)

@@ -92,7 +92,7 @@ def test_pairs_are_shuffled_in_packed_rows():
     got = []
     for r in rows.to_pylist():
         codes = np.cumsum(collocations.unpack(r["codes"], r["n"]))
-        lefts, rights = np.cumsum(collocations.unpack_wide(r["names"][0], r["n"])), collocations.unpack_wide(r["names"][1], r["n"])
+        lefts, rights = np.cumsum(collocations.unpack(r["names"][0], r["n"], "<i8")), collocations.unpack(r["names"][1], r["n"], "<i8")
         assert collocations.unpack(r["counts"], r["n"]).tolist() == [1] * r["n"]
         got += zip(codes.tolist(), lefts.tolist(), rights.tolist(), strict=True)
     assert sorted(got) == [(i, a, b) for i, (a, b) in enumerate(pairs.tolist())]
