@@ -17,42 +17,54 @@ table writes an empty archive; other columns are left out.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrow import slices
-from .bpe import ENTRY, ODD_SPACE, byte_alphabet, spread
+from .arrow import finish, slices
+from .bpe import ENTRY, byte_alphabet, spread
 from .range_coder import BLOCK, Shares, decode, encode
 from .warc import store
 
-MAGIC = b"IDRC1\n"
+MAGIC = b"IDRC2\n"
 #: UTF-8 bytes of text for a file, about.
 FILE_BYTES = 24 << 20
 #: Ids that a task holds before it closes a file.
 FILE_IDS = 12_000_000
 MANIFEST = "manifest.parquet"
-#: Bytes of chunks, and of words of chunks, that are kept from one slice of texts to the next.
+#: UTF-8 bytes of texts that are encoded together.
+TOGETHER = 32 << 20
+#: Bytes of chunks and of words that are kept from one lot of texts to the next.
 KEPT_CHUNKS, KEPT_WORDS = 96 << 20, 40 << 20
-#: Strings whose ids are gathered at once.
-GATHERED = 1 << 20
-#: Chunks that NFC leaves as they are, and whose letters have one lower case each, whatever stands beside them.
-PLAIN = regex.compile(r"[\x00-\x1b!-\x7f\u00A1-\u00AC\u00AE-\u012F\u0131-\u024F]+")
-
-
-def word_pattern(spec: dict) -> regex.Pattern | None:
-    """What cuts lower-case chunks into words, if the file normalises and splits as `PLAIN` asks for: NFC, lower case, one pattern, bytes.
+#: Words that the library is asked for at once.
+ASKED = 1 << 16
+#: Characters that NFC leaves as they are and that have one lower case each, whatever stands beside them.
+PLAIN = regex.compile(r"[\x00-\x1b!-\x7f\u00A1-\u00AC\u00AE-\u012F\u0131-\u024F]")
+#: The pattern that `cut` follows.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Where the characters end that may be plain, and their kinds: letter, number, all else, not plain.
+LIMIT, LETTER, NUMBER, OTHER, ODD = 0x250, 0, 1, 2, 3
+KINDS = np.array([({"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER) if PLAIN.fullmatch(chr(c)) else ODD) for c in range(LIMIT + 1)], np.uint8)
+KINDS[LIMIT] = ODD
+LOWER = np.array([ord(chr(c).lower()) if PLAIN.fullmatch(chr(c)) else c for c in range(LIMIT)], "<u4")
+
+
+def cuts_words(spec: dict) -> bool:
+    """Whether the file normalises and splits as `PLAIN` and `cut` ask for: NFC, lower case, `WORDS`, bytes.
 
     Each word then ends with the one token that has the word-end suffix.
     """
@@ -60,19 +72,48 @@ def word_pattern(spec: dict) -> regex.Pattern | None:
     parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
     model = spec["model"]
     if steps not in (["NFC", "Lowercase"], ["NFC", "Replace", "Lowercase"]) or [x["type"] for x in parts] != ["Split", "ByteLevel"] or spec["post_processor"]:
-        return None
+        return False
     if "Replace" in steps and (spec["normalizer"]["normalizers"][1]["pattern"], spec["normalizer"]["normalizers"][1]["content"]) != ({"Regex": r"\s+"}, " "):
-        return None
+        return False
     split, plain = parts
-    if (split["behavior"], split["invert"], plain["add_prefix_space"], plain["use_regex"]) != ("Removed", True, False, False) or "Regex" not in split["pattern"]:
-        return None
+    if (split["behavior"], split["invert"], plain["add_prefix_space"], plain["use_regex"]) != ("Removed", True, False, False) or split["pattern"] != {"Regex": WORDS}:
+        return False
     suffix = model.get("end_of_word_suffix")
     if model["type"] != "BPE" or not suffix or any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "ignore_merges")):
-        return None
-    if not all(c in model["vocab"] and c + suffix in model["vocab"] for c in byte_alphabet()):
-        return None
-    pattern = regex.compile(split["pattern"]["Regex"] + r"|\n")
-    return None if pattern.groups else pattern
+        return False
+    return all(c in model["vocab"] and c + suffix in model["vocab"] for c in byte_alphabet())
+
+
+def cut(points: np.ndarray, starts: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+    """Words of plain chunks as `WORDS` finds them in lower case, and where each chunk's begin among them.
+
+    `points` are the code points of all chunks, `starts` where each begins and the last ends.
+    """
+    kind, low = KINDS[points], np.append(LOWER[points], np.zeros(3, "<u4"))
+    first = np.zeros(len(low), bool)
+    first[starts] = True
+    begins = first.copy()
+    begins[1 : len(kind)] |= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+    # an apostrophe that begins a word takes the letters of a contraction and no more
+    at = np.flatnonzero(begins[: len(kind)] & (low[: len(kind)] == ord("'")))
+    one, two, apart = low[at + 1], low[at + 2], first[at + 2]
+    at, one, two, apart = (x[~first[at + 1]] for x in (at, one, two, apart))
+    for long, found in (
+        (1, np.isin(one, [ord(c) for c in "stmd"])),
+        (2, ~apart & (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))),
+    ):
+        begins[at[found] + 1] = False
+        begins[at[found] + 1 + long] = True
+    low, begins = low[: len(kind)], begins[: len(kind)]
+    wide = np.append(0, np.cumsum(1 + (low >= 0x80) + (low >= 0x800)))
+    spots = np.append(np.flatnonzero(begins), len(low))
+    data = low.tobytes().decode("utf-32-le").encode()
+    words = pa.StringArray.from_buffers(len(spots) - 1, pa.py_buffer(wide[spots].astype(np.int32)), pa.py_buffer(data))
+    return words, np.append(0, np.cumsum(begins))[starts]
+
+
+def lists(ids: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(ids, pa.int32()))
 
 
 class Known:
@@ -84,114 +125,151 @@ class Known:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids, self.ends, self.held = np.empty(0, "<i4"), np.zeros(1, np.int64), 0
+        self.made, self.held = lists(np.empty(0, "<i4"), np.empty(0, int)), 0
 
     def add(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys)), strict=True))
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
-        self.ids = np.concatenate([self.ids, ids])
+        self.made = pa.concat_arrays([self.made, lists(ids, lengths)])
         self.held += ENTRY * len(keys) + sum(map(len, keys)) + 4 * len(ids)
 
-    def find(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all these strings, and how many each has."""
-        ids, lengths = [np.empty(0, "<i4")], [np.empty(0, np.int64)]
-        for start in range(0, len(keys), GATHERED):
-            some = keys[start : start + GATHERED]
-            at = np.fromiter(map(self.place.__getitem__, some), np.int64, len(some))
-            first = self.ends[at]
-            own = self.ends[at + 1] - first
-            ends = np.cumsum(own)
-            ids.append(self.ids[np.repeat(first - ends + own, own) + np.arange(ends[-1])])
-            lengths.append(own)
-        return np.concatenate(ids), np.concatenate(lengths)
+    def find(self, keys: list[str]) -> pa.ListArray:
+        """Ids of these strings."""
+        return self.made.take(pa.array([self.place[k] for k in keys], pa.int64()))
 
     def forget(self) -> None:
-        """Bounds what is kept; a slice of texts needs no more than its own strings."""
+        """Bounds what is kept; a lot of texts needs no more than its own strings."""
         if self.held > self.size:
             self.clear()
 
 
 class LibraryEncoder:
-    """The tokenizers library over chunks between white space, which part words always.
+    """The tokenizers library over chunks between ASCII white space, which parts words always.
 
-    Many new chunks share few new words, so plain chunks are cut into words first and
-    the library encodes each new word once; all others it gets as they are.
+    Each chunk of a lot of texts is looked at once. Many chunks share few words, so plain
+    chunks are cut into words first and the library encodes each new word once; all other
+    chunks it gets as they are.
     """
 
     def __init__(self, content: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         spec = json.loads(content)
-        self.tokenizer = Tokenizer.from_str(content.decode())
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.whole = Tokenizer.from_str(content.decode())
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        #: The same model for words that are normalised, cut and spelt in the byte alphabet already.
+        self.tokenizer = Tokenizer(self.whole.model)
+        self.tokenizer.pre_tokenizer = CharDelimiterSplit(" ")
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.mark = added[0] if added else None
-        self.mark_id = self.tokenizer.token_to_id(self.mark) if added else -1
-        self.chunks, self.words = Known(KEPT_CHUNKS), Known(KEPT_WORDS)
-        self.pattern = word_pattern(spec)
-        if self.pattern:
+        self.mark_id = self.whole.token_to_id(self.mark) if added else -1
+        self.chunks = Known(KEPT_CHUNKS)
+        self.words, self.made = pa.array([], pa.string()), lists(np.empty(0, "<i4"), np.empty(0, int))
+        self.alphabet = np.array([ord(c) for c in byte_alphabet()], "<u4")
+        self.kinds = np.full_like(KINDS, ODD)
+        if cuts_words(spec):
             suffix = spec["model"]["end_of_word_suffix"]
-            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends = np.zeros(self.whole.get_vocab_size(), bool)
             self.ends[[i for token, i in spec["model"]["vocab"].items() if token.endswith(suffix)]] = True
+            self.kinds = KINDS.copy()
+            self.kinds[[min(ord(t[0]), LIMIT) for t in added]] = ODD  # may begin a special token
 
     def one(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4")
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<i4")
 
     def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         made = [self.one(t) for t in texts]
         return np.concatenate(made), np.array([len(m) for m in made])
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encodes the new ones among chunks, many in one call."""
-        new = list(set(chunks).difference(self.chunks.place))
-        special = [c for c in new if self.mark is None or ("<" in c or "<" not in self.mark) and self.special.search(c)]
-        new = list(set(new).difference(special)) if special else new
-        plain = [c for c in new if PLAIN.fullmatch(c)] if self.pattern else []
-        other = list(set(new).difference(plain)) if len(plain) < len(new) else []
-        for some, encoded in ((special, self.each), (plain, self.by_words), (other, self.by_marks)):
-            if some:
-                self.chunks.add(some, *encoded(some))
-
     def by_marks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks and how many each has, from one text in which a special token parts them."""
-        ids = np.array(self.tokenizer.encode(f" {self.mark} ".join(chunks), add_special_tokens=False).ids, "<i4")
+        if self.mark is None:
+            return self.each(chunks)
+        ids = self.one(f" {self.mark} ".join(chunks))
         marks = ids == self.mark_id
         return ids[~marks], np.diff(np.flatnonzero(marks), prepend=-1, append=len(ids)) - 1
 
-    def by_words(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of chunks and how many each has, from those of their words."""
-        words = self.pattern.findall("\n".join(chunks).lower())
-        if "\n" not in self.words.place:
-            self.words.add(["\n"], np.empty(0, "<i4"), np.zeros(1, np.int64))
-        new = list(set(words).difference(self.words.place))
-        if new:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<i4")
-            lengths = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
-            self.words.add(new, *((ids, lengths) if len(lengths) == len(new) else self.each(new)))
-        ids, lengths = self.words.find(words)
-        part = np.fromiter((w == "\n" for w in words), bool, len(words))
-        ends = np.cumsum(lengths)
-        return ids, np.diff(np.append(ends[part], ends[-1]), prepend=0)
+    def as_they_are(self, chunks: list[str]) -> pa.ListArray:
+        """Ids of chunks, each asked for as a whole; those with special tokens alone."""
+        new = list(set(chunks).difference(self.chunks.place))
+        special = [c for c in new if self.special and self.special.search(c)]
+        other = list(set(new).difference(special))
+        for some, encoded in ((special, self.each), (other, self.by_marks)):
+            if some:
+                self.chunks.add(some, *encoded(some))
+        return self.chunks.find(chunks)
+
+    def ask(self, words: pa.StringArray) -> pa.ListArray:
+        """Ids of words, from one text of all of them."""
+        data, ends = flat(words)
+        spelt = np.insert(self.alphabet[data], ends[1:-1], ord(" ")).tobytes().decode("utf-32-le")
+        ids = np.array(self.tokenizer.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, "<i4")
+        lengths = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        return lists(*((ids, lengths) if len(lengths) == len(words) else self.each(words.to_pylist())))
+
+    def by_words(self, points: np.ndarray, starts: np.ndarray) -> pa.ListArray:
+        """Ids of plain chunks, from those of their words."""
+        words, parts = cut(points, starts)
+        coded = words.dictionary_encode()
+        new = coded.dictionary.filter(pc.is_null(pc.index_in(coded.dictionary, value_set=self.words)))
+        made = pa.concat_arrays([self.made, *(self.ask(new[at : at + ASKED]) for at in range(0, len(new), ASKED))])
+        words = pa.concat_arrays([self.words, new])
+        found = made.take(pc.index_in(coded.dictionary, value_set=words).take(coded.indices))
+        kept = words.nbytes + made.nbytes <= KEPT_WORDS
+        self.words, self.made = (words, made) if kept else (pa.array([], pa.string()), lists(np.empty(0, "<i4"), np.empty(0, int)))
+        return pa.ListArray.from_arrays(found.offsets.take(pa.array(parts)), found.values)
+
+    def encode(self, chunks: pa.StringArray) -> pa.ListArray:
+        """Ids of different chunks."""
+        data, ends = flat(chunks)
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+        starts = np.append(0, np.cumsum((data & 0xC0) != 0x80))[ends]
+        odd = np.append(0, np.cumsum(self.kinds[np.minimum(points, LIMIT)] == ODD))[starts]
+        plain = odd[1:] == odd[:-1]
+        if plain.all():
+            return self.by_words(points, starts)
+        sizes = np.diff(starts)
+        made = [self.as_they_are(chunks.filter(pa.array(~plain)).to_pylist())]
+        if plain.any():
+            made.append(self.by_words(points[np.repeat(plain, sizes)], np.append(0, np.cumsum(sizes[plain]))))
+        place = np.where(plain, np.cumsum(plain) - 1 + len(made[0]), np.cumsum(~plain) - 1)
+        return pa.concat_arrays(made).take(pa.array(place))
+
+    def all(self, texts: pa.StringArray, end: bytes) -> list[bytes]:
+        """Ids of whole texts, with `end` behind each; null counts as empty."""
+        parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        coded = parts.values.dictionary_encode()
+        found = self.encode(coded.dictionary).take(coded.indices)
+        self.chunks.forget()
+        stops = found.offsets.take(parts.offsets).to_numpy().tolist()
+        raw = memoryview(found.values.to_numpy().tobytes())
+        return [bytes(raw[4 * a : 4 * z]) + end for a, z in zip(stops, stops[1:], strict=False)]
 
     def __call__(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        odd = [bool(ODD_SPACE.search(t)) for t in texts]
-        chunks: list[str] = []
-        stops = [0]
-        for t, o in zip(texts, odd, strict=True):
-            chunks += () if o else t.split()
-            stops.append(len(chunks))
-        self.learn(chunks)
-        ids, lengths = self.chunks.find(chunks)
-        stops = np.append(0, np.cumsum(lengths))[stops].tolist()
-        raw = memoryview(ids.tobytes())
-        made = [(self.one(t).tobytes() if o else bytes(raw[4 * a : 4 * z])) + end for t, o, a, z in zip(texts, odd, stops, stops[1:], strict=False)]
-        self.chunks.forget()
-        self.words.forget()
-        return made
+        return self.all(pa.array(texts, pa.string()), end)
+
+
+def flat(strings: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of strings without nulls, one after another, and where they end, from 0."""
+    _, ends, data = strings.buffers()
+    ends = np.frombuffer(ends, np.int32)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int32)
+    data = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    return data, ends - ends[0]
+
+
+_READY: dict[str, LibraryEncoder] = {}
+
+
+def ready(content: bytes) -> LibraryEncoder:
+    """The encoder of a file's contents, made once in each Python worker; words that it met serve the worker's next tasks too."""
+    key = hashlib.sha256(content).hexdigest()
+    if key not in _READY:
+        _READY.clear()
+        _READY[key] = LibraryEncoder(content)
+    return _READY[key]
 
 
 def packed(array: np.ndarray) -> bytes:
@@ -273,7 +351,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 1, text: str =
 
         fs, folder = store(path)
         fs.create_dir(folder, recursive=True)
-        coder, last = LibraryEncoder(content.value), struct.pack("<i", end)
+        coder, last = ready(content.value), struct.pack("<i", end)
         part, turn = TaskContext.get().partitionId(), 0
         docs_held: list[int | None] = []
         tokens: list[bytes] = []
@@ -290,16 +368,32 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 1, text: str =
             held, turn = 0, turn + 1
             return row
 
-        for batch in batches:
-            for piece in slices(batch, 1):
-                made = coder(piece.column(1).to_pylist(), last)
-                docs_held += piece.column(0).to_pylist()
-                tokens += made
-                held += sum(map(len, made)) // 4
+        def add(pieces: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            whole = pa.Table.from_batches(pieces).combine_chunks()
+            for doc_id, made in zip(whole.column(0).to_pylist(), coder.all(whole.column(1).chunk(0), last), strict=True):
+                docs_held.append(doc_id)
+                tokens.append(made)
+                held += len(made) // 4
                 if held >= FILE_IDS:
                     yield close()
+
+        pieces: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            for piece in slices(batch, 1):
+                own = pc.sum(pc.binary_length(piece.column(1))).as_py() or 0
+                if pieces and size + own > TOGETHER:
+                    yield from add(pieces)
+                    pieces, size = [], 0
+                pieces.append(piece)
+                size += own
+        if pieces:
+            yield from add(pieces)
         if docs_held:
             yield close()
+        del pieces
+        finish()
 
     files = rows.select("doc_id", "text").mapInArrow(run, "part int, turn int, file string, n_docs bigint, n_ids bigint")
     files.write.parquet(f"{path}/{MANIFEST}")
