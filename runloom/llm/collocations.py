@@ -4,8 +4,9 @@ An occurrence relation R_k has one entry per place at which a frequent phrase of
 words begins. A place is a running number of words that skips one where a piece
 ends, so two neighbouring places always lie in one piece. Relations are kept sorted
 by place, packed in blocks of one language; they are tables in the shared folder.
-A block is one row with its packed places and codes, and rows that list the groups
-which the codes stand for, `LISTED` in each.
+A block is one row with its packed places and codes, and rows of the groups which the
+codes stand for: lists of `LISTED` words each in R_1, the pieces named below in the
+others.
 
 Each round takes R_k to R_(k+1):
 
@@ -14,14 +15,17 @@ Each round takes R_k to R_(k+1):
 * group-count: a block counts its own pairs first, so that a phrase reaches the
   shuffle once per block however often it occurs. Groups are dealt to buckets, and
   what a block has for a bucket is one packed row, a piece; Spark brings the pieces
-  of a bucket together and a task adds their counts;
+  of a bucket together and a task adds their counts. The join itself makes the pieces
+  of its pairs: lists of them, unpacked, would go to Python once more, many megabytes
+  at a time;
 * semi-join: the frequent groups go back to the blocks in which they occur, by block,
   packed as well, and the others leave the relation before the next round.
 
 Groups are named by the pair of frequent phrases that they are made of (first k and
 last k words), whose ids are exact: hashes say which bucket a group is counted in,
-never which group it is. The number of buckets grows with the relation, so a bucket
-has `BUCKET` groups at most, about. Every part of a frequent
+never which group it is. The number of buckets grows with the places of the relation
+(of pairs, with the places of the frequent phrases that they begin with, which are no
+fewer), so a bucket has `BUCKET` groups at most, about. Every part of a frequent
 phrase is frequent, so the counts of all cuts are at hand from earlier rounds. A
 candidate lies in a longer one that covers it just when it lies in one that is one
 word longer and covers it: the words between add no occurrences.
@@ -68,7 +72,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 ENTRY = "lang string, n int, step binary, code binary, first int"
 WORD_BLOCK = f"block bigint, {ENTRY}, words array<string>, counts array<int>"
-PAIR_BLOCK = f"block bigint, {ENTRY}, lefts array<bigint>, rights array<bigint>, counts array<int>"
+PAIR_BLOCK = "block bigint, lang string, n int, step binary, code binary, bucket int, codes binary, names array<binary>, counts binary"
 OF_BLOCK = [("block", pa.int64()), ("lang", pa.string()), ("n", pa.int32()), ("step", pa.binary()), ("code", pa.binary()), ("first", pa.int32())]
 WORDS = pa.schema([*OF_BLOCK, ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
 PIECE = "bucket int, block bigint, lang string, n int, codes binary, names array<binary>, counts binary"
@@ -82,6 +86,8 @@ KEPT = pa.schema([
     ("lang", pa.string()), ("word", pa.string()), ("lefts", pa.int64()), ("rights", pa.int64()),
 ])
 PAIRS = pa.schema([*OF_BLOCK, ("lefts", pa.list_(pa.int64())), ("rights", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
+#: A block's row, or one of its pieces.
+PACKED = pa.schema([*OF_BLOCK[:5], *(PIECES.field(c) for c in ("bucket", "codes", "names", "counts"))])
 
 
 #: 64-bit numbers, as `pack` and `unpack` take them.
@@ -219,8 +225,8 @@ def block_pieces(lists: pa.Table, buckets: int) -> pa.RecordBatch:
     )
 
 
-def pieces(relation: DataFrame, names: list[str], buckets: int) -> DataFrame:
-    """What each block has for each bucket, packed in a row."""
+def word_pieces(relation: DataFrame, buckets: int) -> DataFrame:
+    """What each block of R_1 has for each bucket, packed in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,10 +235,13 @@ def pieces(relation: DataFrame, names: list[str], buckets: int) -> DataFrame:
                 yield block_pieces(lists.filter(pc.equal(lists["block"], block)), buckets)
         arrow.finish()
 
-    lists = relation.where("step IS NULL").select("block", "lang", "first", *names, "counts")
-    if names == ["words"]:
-        lists = lists.withColumn("bucket", F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")))
-    return lists.mapInArrow(run, PIECE)
+    lists = relation.where("step IS NULL").select("block", "lang", "first", "words", "counts")
+    return lists.withColumn("bucket", F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))).mapInArrow(run, PIECE)
+
+
+def pair_pieces(relation: DataFrame) -> DataFrame:
+    """The same of a relation of pairs, as its join has made them."""
+    return relation.where("bucket IS NOT NULL").select(*PIECES.names)
 
 
 def same_words(rows: list[dict]) -> tuple[np.ndarray, dict[str, pa.Array]]:
@@ -288,16 +297,27 @@ def frequent(counted: DataFrame, names: list[str], least: int) -> DataFrame:
     return counted.groupBy("bucket").applyInArrow(run, KEPT_ROW)
 
 
-def joined(left: pa.Table, right: pa.Table) -> pa.Table:
+def joined(left: pa.Table, right: pa.Table, buckets: int) -> pa.Table:
     """Next relation of a block: what its semi-join keeps, merge-joined with itself on the next place.
 
     `left` is the block's row, `right` has the codes and ids of its frequent groups.
     """
     if not left.num_rows or not right.num_rows:
-        return PAIRS.empty_table()
-    row = left.to_pylist()[0]
+        return PACKED.empty_table()
+    rows = block_rows(PAIRS, left["block"][0].as_py(), left["lang"][0].as_py(), *meeting(left, right))
+    if rows.num_rows == 1:
+        return PACKED.empty_table()
+    lists = rows.slice(1).select(["block", "lang", "first", "lefts", "rights", "counts"])
+    return pa.concat_tables([
+        pa.table([t[f.name] if f.name in t.column_names else pa.nulls(t.num_rows, f.type) for f in PACKED], schema=PACKED)
+        for t in (rows.slice(0, 1).drop_columns(["counts"]), pa.Table.from_batches([block_pieces(lists, buckets)]))
+    ])
+
+
+def meeting(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array, pa.Array]:
+    """Places and codes of a block's pairs, and the pairs in the order of their ids: left and right parts and counts."""
+    row, kept = left.to_pylist()[0], right.to_pylist()
     place, code = np.cumsum(unpack(row["step"], row["n"]), dtype=np.int64), unpack(row["code"], row["n"])
-    kept = right.to_pylist()
     codes = np.concatenate([np.cumsum(unpack(r["codes"], r["n"])) for r in kept])
     ids = np.concatenate([np.cumsum(unpack(r["ids"], r["n"], WIDE)) for r in kept])
     order = np.argsort(ids)  # so that pairs come out in the order of their ids
@@ -307,26 +327,24 @@ def joined(left: pa.Table, right: pa.Table) -> pa.Table:
     group = own[code]
     place, group = place[group >= 0], group[group >= 0]
     meets = np.flatnonzero(np.diff(place) == 1)
-    if not len(meets):
-        return PAIRS.empty_table()
     pairs, code, counts = np.unique(group[meets] * len(ids) + group[meets + 1], return_inverse=True, return_counts=True)
-    return block_rows(
-        PAIRS, row["block"], row["lang"], np.diff(place[meets], prepend=0), code, pa.array(ids[pairs // len(ids)]), pa.array(ids[pairs % len(ids)]),
-        pa.array(counts),
-    )
+    return np.diff(place[meets], prepend=0), code, pa.array(ids[pairs // len(ids)]), pa.array(ids[pairs % len(ids)]), pa.array(counts)
 
 
-def extended(relation: DataFrame, kept: DataFrame) -> DataFrame:
+def extended(relation: DataFrame, kept: DataFrame, buckets: int) -> DataFrame:
     """R_(k+1), before its semi-join, from R_k and the pieces that R_k's semi-join keeps."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return joined(left, right, buckets)
+
     blocks = relation.where("step IS NOT NULL").select("block", "lang", "n", "step", "code")
     kept = kept.where("block IS NOT NULL").select("block", "n", "codes", "ids")
-    return blocks.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(joined, PAIR_BLOCK)
+    return blocks.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(run, PAIR_BLOCK)
 
 
-def met(relation: DataFrame, names: list[str], least: int) -> DataFrame:
-    """Group-count and semi-join of a parked relation."""
-    places = relation.agg(F.sum(F.col("n").cast("bigint"))).first()[0] or 0
-    return frequent(pieces(relation, names, max(1, -(-places // BUCKET))), names, least)
+def buckets_for(sizes: DataFrame, places: str) -> int:
+    """Buckets in which a relation of so many places is counted."""
+    return max(1, -(-(sizes.agg(F.sum(places)).first()[0] or 0) // BUCKET))
 
 
 def spelled(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -354,16 +372,16 @@ def mine(
     with Shelf(docs.sparkSession) as shelf:
         relation = shelf.put(word_blocks(docs, text, lang, block_words), "phrases-words")
         sizes = shelf.put(relation.groupBy("lang").agg(F.sum(F.col("n").cast("bigint")).alias("n")), "phrases-sizes")
-        kept = shelf.put(met(relation, ["words"], least), "phrases-frequent")
+        kept = shelf.put(frequent(word_pieces(relation, buckets_for(sizes, "n")), ["words"], least), "phrases-frequent")
         one = F.array("total")
         groups = [shelf.put(
             kept.where("id IS NOT NULL").select("id", "lang", F.array("word").alias("words"), "total", one.alias("firsts"), one.alias("lasts")), "phrases-1"
         )]
         for k in range(2, longest + 1):
-            longer = shelf.put(extended(relation, kept), "phrases-pairs")
+            longer = shelf.put(extended(relation, kept, buckets_for(groups[-1], "total")), "phrases-pairs")
             shelf.drop(relation, kept)
             relation = longer
-            kept = shelf.put(met(relation, ["lefts", "rights"], least), "phrases-frequent")
+            kept = shelf.put(frequent(pair_pieces(relation), ["lefts", "rights"], least), "phrases-frequent")
             pairs = kept.where("id IS NOT NULL").select("id", "lefts", "rights", "total")
             groups.append(shelf.put(spelled(pairs, groups[-1]), f"phrases-{k}"))
         return park(ranked(groups[1:], sizes, cover, top, scale), "phrases")

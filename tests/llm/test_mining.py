@@ -98,6 +98,23 @@ def test_pairs_are_shuffled_in_packed_rows():
     assert sorted(got) == [(i, a, b) for i, (a, b) in enumerate(pairs.tolist())]
 
 
+def test_joins_make_the_pieces_of_their_pairs(spark, monkeypatch):
+    """Relations of pairs are parked packed: no plan that counts pairs sends lists of them to Python."""
+    plans, put = [], collocations.Shelf.put
+
+    def spied(shelf, df, name="table"):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString(), df.dtypes))
+        return put(shelf, df, name)
+
+    monkeypatch.setattr(collocations.Shelf, "put", spied)
+    rows = [(i, "a b c a b d. a b", "en", 1, "x") for i in range(6)] + [(9, "p. q. p. q.", "fr", 1, "x")] * 3
+    got = collocations.mine(spark.createDataFrame(rows, DOCS), least=3)
+    assert sorted(map(tuple, got.collect())) == collocated(rows, 3, 4, 80, 2000, 2_000_000)
+    counted = [plan for name, plan, _ in plans if name == "phrases-frequent"]
+    assert [plan.count("MapInArrow") for plan in counted] == [1, 0, 0, 0]
+    assert all(("codes", "binary") in kinds and "array<bigint>" not in dict(kinds).values() for name, _, kinds in plans if name == "phrases-pairs")
+
+
 def test_words_of_any_bytes():
     import pyarrow as pa
 
